@@ -103,10 +103,10 @@ def _blocks(groups: DataFrame, depth: int, inside: list[str] | None) -> dict:
     found = groups.groupBy(F.substring("key", 1, depth).alias("block")).agg(
         F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most"), F.min("key").alias("key")
     )
-    return {r["block"]: r for r in found.collect()}
+    return {r[0]: {"size": r[1], "n": r[2], "most": r[3], "key": r[4]} for r in zip(*found.toArrow().to_pydict().values(), strict=True)}
 
 
-def plan_cuts(groups: DataFrame, shards: int, first_depth: int = 4, step: int = 2) -> tuple[int, list[str]]:
+def plan_cuts(groups: DataFrame, shards: int, first_depth: int = 3, step: int = 1) -> tuple[int, list[str]]:
     """Smallest capacity, and the first key of each shard but the first, over ``groups(key, size)``.
 
     ``key`` is unique lower-case hex of one length, evenly spread (a digest), so a level sends at
