@@ -1,16 +1,17 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
-``RankQueue`` keeps, for every merge rank, a heap of the linked-list positions where a pair of
-that rank starts.  Three levels of bitmaps mark the ranks that have entries, so the next rank is
-found by three find-first-set steps; entries whose pair has changed since are skipped.
+For every merge rank there is a bucket of the linked-list positions where a pair of that rank
+starts.  Three levels of bitmaps mark the ranks that have entries, so the next rank is found by
+three find-first-set steps; entries whose pair has changed since are skipped.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import sys
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -19,91 +20,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class RankQueue:
-    """Smallest rank first, then smallest position."""
-
-    __slots__ = ("buckets", "low", "mid", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}  # rank >> 6 -> bits of ranks
-        self.mid: dict[int, int] = {}  # rank >> 12 -> bits of low words
-        self.top = 0  # bits of mid words
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
+def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """Ids of one pre-token: always the lowest-ranked adjacent pair, the leftmost of equals.
+
+    ``after`` and ``before`` link the starts of the parts; the pair that starts at ``i`` is
+    ``piece[i : after[after[i]]]`` and ``now[i]`` its rank.  ``buckets[rank]`` is a heap of starts.
+    Bit r of ``low[r >> 6]`` marks a non-empty bucket, ``mid`` marks words of ``low`` and ``top``
+    words of ``mid``.  Entries whose pair has changed meanwhile are skipped.
+    """
+    get = ranks.get
+    whole = get(piece)
+    if whole is not None:
+        return (whole,)
+    n = len(piece)
+    now = [get(piece[i : i + 2]) for i in range(n - 1)]
+    now.append(None)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    mid: dict[int, int] = {}
+    top = 0
+    new = list(enumerate(now))
+    while True:
+        for i, rank in new:
+            if rank is None:
+                continue
+            bucket = buckets.get(rank)
+            if bucket:
+                heappush(bucket, i)
+                continue
+            buckets[rank] = [i]
+            a = rank >> 6
+            b = a >> 6
+            low[a] = low.get(a, 0) | 1 << (rank & 63)
+            mid[b] = mid.get(b, 0) | 1 << (a & 63)
+            top |= 1 << b
+        if not top:
+            break
+        b = (top & -top).bit_length() - 1
+        word = mid[b]
         a = b << 6 | (word & -word).bit_length() - 1
-        bits = self.low[a]
+        bits = low[a]
         rank = a << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
+        bucket = buckets[rank]
+        i = heappop(bucket)
         if not bucket:
-            self.low[a] = bits & (bits - 1)
-            if not self.low[a]:
-                self.mid[b] = word & (word - 1)
-                if not self.mid[b]:
-                    self.top &= self.top - 1
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always the lowest-ranked adjacent pair, the leftmost of equals."""
-    if piece in ranks:
-        return [ranks[piece]]
-    n = len(piece)
-    parts: list[bytes] = [piece[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    now = [-1] * n  # the rank of the pair that starts here; -1: none
-    queue = RankQueue()
-    get = ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            now[i] = rank
-            queue.push(rank, i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
+            low[a] = bits = bits & (bits - 1)
+            if not bits:
+                mid[b] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
+        new = []
         if now[i] != rank:
-            continue  # stale
+            continue
         j = after[i]
-        parts[i] += parts[j]
         k = after[i] = after[j]
-        now[j] = -1
+        now[j] = None
         if k < n:
             before[k] = i
-            r = get(parts[i] + parts[k], -1)
-            now[i] = r
-            if r >= 0:
-                queue.push(r, i)
+            now[i] = r = get(piece[i : after[k]])
+            new.append((i, r))
         else:
-            now[i] = -1
+            now[i] = None
         h = before[i]
         if h >= 0:
-            r = get(parts[h] + parts[i], -1)
-            if r != now[h]:
+            r = get(piece[h:k])
+            if r != now[h]:  # an equal rank still has its entry
                 now[h] = r
-                if r >= 0:
-                    queue.push(r, h)
-            # an equal rank keeps its entry, which is still in its bucket
+                new.append((h, r))
     out, i = [], 0
     while i < n:
-        out.append(ranks[parts[i]])
-        i = after[i]
-    return out
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
+    return tuple(out)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -111,25 +101,32 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class _Known(dict):
+    """Ids of recent pre-tokens: two generations, so frequent ones stay when the older goes."""
+
+    def __init__(self, ranks: dict[bytes, int], each: int, longest: int):
+        self.ranks, self.each, self.longest, self.older = ranks, each, longest, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = merge(piece.encode(), self.ranks)
+        if len(piece) <= self.longest:
+            if len(self) >= self.each:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes with one vocabulary; recent pre-tokens are remembered, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 600_000, longest: int = 64):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
         self.names = {r: str(r) for r in self.tokens}
-        codec = self
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> list[int]:
-                ids = merge(piece.encode(), codec.ranks)
-                if len(piece) <= longest:
-                    if len(self) >= remember:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.known = Known()
+        self.known = _Known(ranks, remember // 2, longest)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
@@ -140,7 +137,13 @@ class Codec:
 
 def _encoder(vocabulary, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(vocabulary.value), pattern)
+        # a Python worker runs many tasks and keeps what it has learned; one codec at a time
+        kept = sys.__dict__.setdefault("_pixelspark_codec", {})
+        name = hashlib.sha256(vocabulary.value + pattern.encode()).hexdigest()
+        if name not in kept:
+            kept.clear()
+            kept[name] = Codec(read_ranks(vocabulary.value), pattern)
+        codec = kept[name]
         names = codec.names.__getitem__
         for batch in batches:
             counts, digests, decoded, kept = [], [], [], []
