@@ -27,6 +27,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -53,5 +59,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_license_scan, op4_secret_scan, op7_toxicity, op8_decontamination, op9_byte_bpe, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_license_scan, op4_secret_scan, op5_ngram_jaccard, op7_toxicity, op8_decontamination, op9_byte_bpe, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}
