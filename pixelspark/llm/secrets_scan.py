@@ -202,3 +202,17 @@ def mask_secrets(text: str) -> str:
         out += [text[at:a], f"[{kind}]"]
         at = b
     return "".join([*out, text[at:]])
+
+
+def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        masked = pa.array([None if v is None else mask_secrets(v) for v in batch.column(0).to_pylist()], pa.string())
+        yield pa.record_batch([*batch.columns[1:], masked], names=[*batch.schema.names[1:], "__masked"])
+
+
+def redact(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with every secret in the text replaced by its kind in brackets; null stays null."""
+    others = [c for c in rows.columns if c != text_col]
+    slim = rows.select(F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in others))
+    schema = rows.select(*(F.col(f"`{c}`") for c in others)).schema.add("__masked", "string")
+    return slim.mapInArrow(_mask, schema).select(*(F.col("__masked").alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns))

@@ -192,6 +192,28 @@ def score(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return slim.mapInArrow(_scorer(shared), schema)
 
 
+def _held_out(column: str):
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def fit_labelled(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 3000) -> Model:
+    """Trains on documents and labels whose crc32(id as text) mod 3 is not 1.
+
+    The prior is the share of toxic ones among the labelled ids that may be read (0.1 if there
+    are none).  A document with several labels counts as toxic if any says so; null labels and
+    labels of unknown ids are ignored.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where(~_held_out("id") & F.col("id").isNotNull() & F.col("toxic").isNotNull())
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    prior = min(0.5, max(0.01, toxic / n)) if n and toxic else 0.1
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~_held_out("id") & F.col("id").isNotNull())
+    # at most ``positives`` ids, so they can be sent to every task
+    chosen = known.where("toxic = 1").orderBy(F.xxhash64("id"), "id").limit(positives).select("id", F.lit(True).alias("positive"))
+    texts = texts.join(F.broadcast(chosen), "id", "left").select("id", "text", F.coalesce("positive", F.lit(False)).alias("positive"))
+    return fit(texts, prior, positives=positives)
+
+
 def toxicity(
     documents: DataFrame,
     labels: DataFrame,
@@ -202,24 +224,11 @@ def toxicity(
 ) -> DataFrame:
     """Scores every document; labels are read only where crc32(id as text) mod 3 is not 1.
 
-    The prior is the share of toxic rows among the labels that may be read (0.1 if there are
-    none).  Scores come from the text alone.  Returns id, ``held_out``, ``score``, ``predicted``.
-    Null and empty texts get the score of no evidence; a document with several labels counts
-    as toxic if any says so; null labels and labels of unknown ids are ignored; without any
-    toxic label every score is near 0.  Repeated rows and null ids (held out: false) stay,
-    empty tables give an empty result, other columns are ignored.
+    Scores come from the text alone.  Returns id, ``held_out``, ``score``, ``predicted``.
+    Null and empty texts get the score of no evidence; without any toxic label every score is
+    below one half.  Repeated rows and null ids (held out: false) stay, empty tables give an
+    empty result, other columns are ignored.
     """
-    held = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where(~held("id") & F.col("id").isNotNull() & F.col("toxic").isNotNull())
-    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    prior = min(0.5, max(0.01, toxic / n)) if n and toxic else 0.1
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held("id") & F.col("id").isNotNull())
-    marked = known.where("toxic = 1").select("id", F.lit(True).alias("positive"))
-    # at most so many positive ids are needed; they are few enough to be sent to every task
-    chosen = marked.orderBy(F.xxhash64("id"), "id").limit(3000)
-    texts = texts.join(F.broadcast(chosen), "id", "left").select("id", "text", F.coalesce("positive", F.lit(False)).alias("positive"))
-    model = fit(texts, prior)
-    slim = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = score(slim, model).select("id", "score")
-    return scored.select(F.col("id").alias(id_col), held("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = fit_labelled(documents, labels, id_col, text_col, label_col)
+    scored = score(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).select("id", "score")
+    return scored.select(F.col("id").alias(id_col), _held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
