@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -59,5 +65,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_license_scan, op4_secret_scan, op5_ngram_jaccard, op7_toxicity, op8_decontamination, op9_byte_bpe, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_sharding, op3_license_scan, op4_secret_scan, op5_ngram_jaccard, op7_toxicity, op8_decontamination, op9_byte_bpe, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}
