@@ -79,12 +79,14 @@ def _index(spark: SparkSession, templates: tuple[Template, ...], idf: dict[str,
         words = t.text.split()
         mandatory = sorted({i for a, n in _places(t) for i in range(a, a + n)})
         # the index words are mandatory ones, so a verified place is never missed
-        chosen = sorted({words[i]: i for i in mandatory}.items(), key=lambda x: (-idf[x[0]], x[1]))[: 1 if t.base else rare]
+        ranked = sorted({words[i]: i for i in mandatory}.items(), key=lambda x: (-idf[x[0]], x[1]))
+        # common words would not narrow anything down; the phrases are verified in full anyway
+        chosen = [x for x in ranked if idf[x[0]] >= idf[ranked[0][0]] / 2][: 1 if t.base else rare]
         weights = [idf[w] for w in words]
         for word, i in chosen:
-            rows.append((word, i, t.name, t.label, t.base, words, mandatory, weights, sum(weights), len(chosen)))
+            rows.append((word, i, t.name, t.label, t.base, words, mandatory, mandatory[0], mandatory[-1], weights, sum(weights), len(chosen)))
     return spark.createDataFrame(
-        rows, "word string, offset int, template string, label string, base boolean, twords array<string>, mandatory array<int>, weights array<double>, weight double, asked int"
+        rows, "word string, offset int, template string, label string, base boolean, twords array<string>, mandatory array<int>, from int, to int, weights array<double>, weight double, asked int"
     )
 
 
@@ -99,7 +101,8 @@ def scan_licenses(
     """Licence wordings in every whole text.
 
     Words are runs of digits, a-z and non-ASCII characters after lower-casing A-Z.  A template
-    is found at a place when all of its index words (its ``rare`` rarest mandatory words) agree
+    is found at a place when all of its index words (up to ``rare`` of its rarest mandatory words, none with
+    less than half the IDF of the rarest) agree
     on it, all mandatory phrases stand there, and words worth ``least_share`` of its IDF match.  Index
     words come from the mandatory phrases, so requiring all of them loses nothing.  Words of a
     template before its mandatory phrases may lie before the text's start and count as missing.
@@ -126,13 +129,15 @@ def scan_licenses(
     index = F.broadcast(_index(spark, templates, idf, rare))
     found = placed_words(rows, id_col, text_col).join(index, "word", "left")
     here, start = F.col("pos") == F.col("n"), F.col("pos") - F.col("offset")
-    hit = F.col("template").isNotNull() & F.exists("mandatory", lambda i: start + i >= 0)
-    context = F.transform(F.sequence(F.lit(0), F.size("twords") - 1), lambda i: F.when(start + i >= 0, F.get("words", start + i)))
+    # no lambda expressions here: they would end the generated code and copy the words for each row
+    hit = F.col("template").isNotNull() & (start + F.col("from") >= 0) & (start + F.col("to") < F.col("n"))
+    context = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("twords") + F.least(start, F.lit(0)))
     found = found.where(here | hit).select(
         "id", "key", "n", here.alias("itself"), "template", "label", "base", "twords", "mandatory", "weights", "weight", "asked", F.when(hit, start).alias("start"), F.when(hit, context).alias("context")
     )
     found = scratch.keep(found)
-    same = F.transform(F.arrays_zip("twords", "context"), lambda z: F.coalesce(z["twords"] == z["context"], F.lit(False)))
+    shift = F.greatest(-F.col("start"), F.lit(0))  # words of the template before the text
+    same = F.transform("twords", lambda w, i: F.coalesce((i >= shift) & (F.get("context", i - shift) == w), F.lit(False)))
     met = (
         found.where("start is not null")
         .groupBy("id", "key", "template", "start")
