@@ -101,13 +101,13 @@ def _blocks(groups: DataFrame, depth: int, inside: list[str] | None) -> dict:
     if inside is not None:
         groups = groups.where(F.substring("key", 1, len(inside[0])).isin(inside))
     found = groups.groupBy(F.substring("key", 1, depth).alias("block")).agg(
-        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most"), F.min("key").alias("key")
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most")
     )
-    return {r[0]: {"size": r[1], "n": r[2], "most": r[3], "key": r[4]} for r in zip(*found.toArrow().to_pydict().values(), strict=True)}
+    return {r[0]: {"size": r[1], "n": r[2], "most": r[3]} for r in zip(*found.toArrow().to_pydict().values(), strict=True)}
 
 
-def plan_cuts(groups: DataFrame, shards: int, first_depth: int = 3, step: int = 1) -> tuple[int, list[str]]:
-    """Smallest capacity, and the first key of each shard but the first, over ``groups(key, size)``.
+def plan_cuts(groups: DataFrame, shards: int, first_depth: int = 4, step: int = 1) -> tuple[int, list[str]]:
+    """Smallest capacity, and a prefix that starts each shard but the first, over ``groups(key, size)``.
 
     ``key`` is unique lower-case hex of one length, evenly spread (a digest), so a level sends at
     most ``16 ** first_depth`` blocks, or ``16 ** step`` for each block that a cut may fall into,
@@ -133,7 +133,7 @@ def plan_cuts(groups: DataFrame, shards: int, first_depth: int = 3, step: int =
             split = {b for b in split if len(b) == depth} or split
         if not split:
             cuts = level_cuts(sizes, shards, hi)
-            return hi, [blocks[order[c]]["key"] for c in cuts[:-1] if c < len(order)]
+            return hi, [order[c] for c in cuts[:-1] if c < len(order)]
         width = min(map(len, split))
         split = {b for b in split if len(b) == width}
         depth = width + step
