@@ -10,7 +10,7 @@ from importlib import import_module
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("statistics", "maps", "sky", "filters")
+_MODULES = ("statistics", "maps", "sky", "filters", "segmentation", "apertures", "catalogues", "models")
 
 
 def query(sql: str | None = None) -> Callable:
