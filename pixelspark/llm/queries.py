@@ -39,6 +39,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=5, percent=75)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=100)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -65,5 +71,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_sharding, op3_license_scan, op4_secret_scan, op5_ngram_jaccard, op7_toxicity, op8_decontamination, op9_byte_bpe, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_sharding, op3_license_scan, op4_secret_scan, op5_ngram_jaccard, op6_suffix_dedup, op7_toxicity, op8_decontamination, op9_byte_bpe, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}
