@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 19
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
@@ -54,6 +55,16 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[data], starts
 
 
+def runs(texts: pa.Array, at_once: int) -> Iterator[pa.Array]:
+    """Slices of about ``at_once`` bytes, so memory follows the longest text and not the batch."""
+    size, a, held = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 0, 0
+    for b in range(len(texts)):
+        held += int(size[b])
+        if held >= at_once or b == len(texts) - 1:
+            yield texts.slice(a, b + 1 - a)
+            a, held = b + 1, 0
+
+
 def pieces(data: np.ndarray, separator: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of about ``size`` bytes that end behind a separator, so no word is cut."""
     a, n = 0, len(data)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .hashing import SPACES, joined_bytes, mix, pieces, word_hashes
+from .hashing import SPACES, joined_bytes, mix, pieces, runs, word_hashes
 from .scratch import Scratch
 
 TOKEN_BITS = 48
@@ -52,8 +52,16 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if step else values
 
 
-def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The distinct hashes of each text's shingles, sorted; one for all words of a shorter text."""
+def shingle_sets(texts: pa.Array, words: int, at_once: int = 4 << 20) -> Iterator[np.ndarray]:
+    """The distinct hashes of each text's shingles, sorted; one for all words of a shorter text.
+
+    Texts are taken in runs of about ``at_once`` bytes, so memory follows the longest text.
+    """
+    for part in runs(texts, at_once):
+        yield from _run_sets(part, words)
+
+
+def _run_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     data, firsts = joined_bytes(texts)
     hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in pieces(data, SPACES):
@@ -92,7 +100,7 @@ def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 _BLOCK = "part int, node binary, n binary, owner binary, token binary"
 
 
-def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, flush: int = 5_000_000) -> Iterator[pa.RecordBatch]:
+def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, flush: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Packed (token, document) blocks by part of the token range; a set once a task."""
     seen: set[int] = set()
     nodes, sizes, tokens, held = [], [], [], 0
@@ -220,6 +228,15 @@ def _with_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"))
 
 
+def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that share at least the smaller ``l`` tokens of their prefixes."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("l").alias(f"l{x}"), F.col("prefix").alias(f"p{x}"), F.col("layer").alias(f"y{x}")) for x in ("a", "b"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("l", F.least("la", "lb"))
+    # layers ascend along a prefix, so the tokens of up to layer l lead it
+    part = lambda x: F.slice(f"p{x}", F.lit(1), F.size(F.filter(f"y{x}", lambda y: y <= F.col("l"))))
+    return both.where(F.size(F.array_intersect(part("a"), part("b"))) >= F.col("l")).select("a", "b")
+
+
 def jaccard_components(
     rows: DataFrame,
     words: int = 5,
@@ -264,22 +281,28 @@ def jaccard_components(
     posts = sets.select("node", "n", "repeated", "l", F.explode(F.arrays_zip("prefix", "layer")).alias("z")).select("node", "n", "repeated", "l", F.col("z.prefix").alias("token"), F.col("z.layer").alias("layer"))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct((F.col("n") - F.col("repeated")).alias("own"), "node")).alias("p")).where("c > 1")
     posts = scratch.keep(posts.join(lists.select("token", "c", F.col("p.node").alias("pivot")), "token"))
-    long = posts.where(F.col("c") > short_list)
-    star = scratch.keep(_with_overlap(long.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets))
     linked = F.expr(f"100 * both >= {percent} * (na + nb - both)")
-    known = star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "both", linked.alias("linked"))
-    known = long.join(known, ["node", "pivot"], "left").select("token", "node", "n", "repeated", "l", "layer", F.coalesce("both", F.col("repeated")).alias("both"), F.coalesce("linked", F.lit(True)).alias("linked"))
-
-    def met(side: DataFrame, extra: str) -> DataFrame:
-        a, b = (side.select("token", *(F.col(c).alias(f"{c}_{x}") for c in side.columns if c != "token")) for x in ("a", "b"))
-        fit = f"node_a < node_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and greatest(layer_a, layer_b) <= least(l_a, l_b)"
-        return a.join(b, "token").where(F.expr(fit + extra)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("l_a", "l_b").alias("l"))
-
+    fit = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+
+    # short lists: every pair that meets in them often enough
+    a, b = (posts.where(F.col("c") <= short_list).select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "l", "layer"))) for x in ("a", "b"))
+    met = a.join(b, "token").where(F.expr(f"node_a < node_b and {fit} and greatest(layer_a, layer_b) <= least(l_a, l_b)"))
+    short = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l_a", "l_b")).alias("l")).where("shared >= l").select("a", "b")
+
+    # long lists: everything against the pivots first, then what the bound leaves of each pivot's members
+    star = posts.where(F.col("c") > short_list).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = scratch.keep(_with_overlap(star, sets).withColumn("linked", linked))
+    size = sets.select("node", F.col("n").alias("size"), "repeated")
+    member = scratch.keep(star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "both", "linked").join(size, "node"))
+    left = member.where(~F.col("linked"))
+    u, v = (df.select("pivot", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "both", "linked", "repeated")), F.col("size").alias(f"n_{x}")) for df, x in ((left, "a"), (member, "b")))
     bound = "least(both_a, both_b) + least(repeated_a - both_a, repeated_b - both_b)"
-    short = met(posts.where(F.col("c") <= short_list).select("token", "node", "n", "l", "layer"), "")
-    rest = met(known, f" and not (linked_a and linked_b) and (100 + {percent}) * ({bound}) >= {percent} * (n_a + n_b)")
-    pairs = short.unionByName(rest).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("l").alias("l")).where("shared >= l").select("a", "b")
-    found = _with_overlap(pairs, sets).where(linked).select("a", "b").unionByName(star.where(linked).select("a", "b"))
+    rest = u.join(v, "pivot").where(F.expr(f"(node_a < node_b or linked_b and node_a <> node_b) and {fit} and (100 + {percent}) * ({bound}) >= {percent} * (n_a + n_b)"))
+    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    rest = _meeting(rest, sets)
+
+    pairs = short.unionByName(rest).distinct()
+    found = _with_overlap(pairs, sets).where(linked).select("a", "b").unionByName(star.where("linked").select("a", "b"))
     comps = connected_components(found, scratch)
 
     least = base.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
