@@ -9,14 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-PIXELS = T.StructType.fromDDL("image_id STRING, band STRING, x INT, y INT, flux DOUBLE, mask INT")
-SEGMAP = T.StructType.fromDDL("image_id STRING, x INT, y INT, segID INT")
-SKYGRID = T.StructType.fromDDL("image_id STRING, gx INT, gy INT, xc DOUBLE, yc DOUBLE, sky DOUBLE, skyRMS DOUBLE")
-KERNEL = T.StructType.fromDDL("dx INT, dy INT, w DOUBLE")
-APERTURES = T.StructType.fromDDL("k INT, cx DOUBLE, cy DOUBLE, rad DOUBLE, ang DOUBLE, axrat DOUBLE, wt DOUBLE, rad_re DOUBLE, nser DOUBLE")
-IMAGES = T.StructType.fromDDL("image_id STRING, nx INT, ny INT, magzero DOUBLE, gain DOUBLE, pixscale DOUBLE, keyvalues MAP<STRING, STRING>")
+
+# DDL of the common relations, for readers with a given schema.
+PIXELS = "image_id STRING, band STRING, x INT, y INT, flux DOUBLE, mask INT"
+SEGMAP = "image_id STRING, x INT, y INT, segID INT"
+SKYGRID = "image_id STRING, gx INT, gy INT, xc DOUBLE, yc DOUBLE, sky DOUBLE, skyRMS DOUBLE"
+KERNEL = "dx INT, dy INT, w DOUBLE"
+APERTURES = "k INT, cx DOUBLE, cy DOUBLE, rad DOUBLE, ang DOUBLE, axrat DOUBLE, wt DOUBLE, rad_re DOUBLE, nser DOUBLE"
+IMAGES = "image_id STRING, nx INT, ny INT, magzero DOUBLE, gain DOUBLE, pixscale DOUBLE, keyvalues MAP<STRING, STRING>"
 
 
 def keys_of(df: DataFrame) -> list[str]:
