@@ -21,8 +21,7 @@ from pixelspark.llm.toxicity import fit_labelled, score
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7."""
     model = fit_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    slim = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
-    return score(slim, model).where("score < 0.7").select("doc.*")
+    return score(docs, model).where("score < 0.7").drop("score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
@@ -19,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import kept
+
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of one pre-token: always the lowest-ranked adjacent pair, the leftmost of equals.
@@ -137,27 +138,23 @@ class Codec:
 
 def _encoder(vocabulary, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a Python worker runs many tasks and keeps what it has learned; one codec at a time
-        kept = sys.__dict__.setdefault("_pixelspark_codec", {})
+        # what a worker has learned serves its later tasks too
         name = hashlib.sha256(vocabulary.value + pattern.encode()).hexdigest()
-        if name not in kept:
-            kept.clear()
-            kept[name] = Codec(read_ranks(vocabulary.value), pattern)
-        codec = kept[name]
+        codec = kept(name, lambda: Codec(read_ranks(vocabulary.value), pattern))
         names = codec.names.__getitem__
         for batch in batches:
-            counts, digests, decoded, kept = [], [], [], []
+            counts, digests, decoded, all_ids = [], [], [], []
             for text in batch.column(batch.num_columns - 1):
                 ids = codec.encode(text.as_py() or "")
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
-                    kept.append(ids)
+                    all_ids.append(ids)
             columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names_out = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names_out.append("ids")
             yield pa.record_batch(columns, names=names_out)
 

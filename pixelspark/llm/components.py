@@ -20,14 +20,14 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 2
     both = scratch.keep(
         links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
     )
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    n = both.count()  # at least one row for each node
+    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), n)
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("before"))
-        hooked = scratch.keep(hooked)
+        hooked = scratch.keep(labels.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("before")), n)
         jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
         nxt = hooked.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "before")
-        nxt = scratch.keep(nxt)
+        nxt = scratch.keep(nxt, n)
         changed = not nxt.where("component <> before").isEmpty()
         scratch.drop(labels, hooked)
         labels = nxt

@@ -21,12 +21,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import SPACES, joined_bytes, mix, pieces, runs, word_hashes
 from .scratch import Scratch
+from .workers import release
 
 TOKEN_BITS = 48
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -97,112 +99,150 @@ def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         yield pa.record_batch([batch.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64())], names=["id", "node", "n"])
 
 
-_BLOCK = "part int, node binary, n binary, owner binary, token binary"
+_BLOCK = "part int, kind int, node binary, a binary, b binary, c binary"
+_NAMES, _KINDS = ["part", "kind", "node", "a", "b", "c"], (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+DOCS, TOKENS = 0, 1
+# a document's number on the way: its bucket, the task that read it, and a count
+_BUCKET_SHIFT, _TASK_SHIFT = 44, 24
+MOST_PARTS = 1 << 18
 
 
-def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, flush: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """Packed (token, document) blocks by part of the token range; a set once a task."""
+def _row(*values) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)], names=_NAMES)
+
+
+def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Packed (token, document) blocks by part of the token range; a set once a task.
+
+    A document gets a short number for the way: its bucket (by the set's digest), the task, and a count,
+    so the numbers in a block are nearly consecutive and cost next to nothing.  A repeated task
+    gives the same numbers, as it reads the same rows.
+    """
+    task = TaskContext.get().partitionId()
     seen: set[int] = set()
-    nodes, sizes, tokens, held = [], [], [], 0
+    counts = [0] * parts
+    nodes, digests, sizes, tokens, held = [], [], [], [], 0
 
     def blocks() -> Iterator[pa.RecordBatch]:
-        token = np.concatenate(tokens)
-        owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), sizes)
+        node, digest, size = np.array(nodes, np.uint64), np.array(digests, np.int64).view(np.uint64), np.array(sizes, np.int64)
+        rank = np.argsort(node)
+        place = np.empty(len(node), np.uint32)
+        place[rank] = np.arange(len(node), dtype=np.uint32)
+        node, digest, ordered = node[rank], digest[rank], size[rank]
+        bucket = (node >> np.uint64(_BUCKET_SHIFT)).astype(np.int64)
+        for b in np.unique(bucket):
+            x, y = np.searchsorted(bucket, [b, b + 1])
+            yield _row(int(b), DOCS, pack(node[x:y], step=True), pack(digest[x:y]), pack(ordered[x:y]), b"")
+        token, owner = np.concatenate(tokens), np.repeat(place, size)
         order = np.argsort(token)
         token, owner = token[order], owner[order]
-        node, size = np.array(nodes, np.int64).view(np.uint64), np.array(sizes, np.uint64)
+        del order
         cuts = np.searchsorted(token, (np.arange(parts + 1, dtype=np.float64) * (2.0**TOKEN_BITS / parts)).astype(np.uint64))
         cuts[-1] = len(token)
         for p in range(parts):
             t, o = token[cuts[p] : cuts[p + 1]], owner[cuts[p] : cuts[p + 1]]
-            if not len(t):
-                continue
-            have = np.zeros(len(nodes), bool)
-            have[o] = True
-            place = np.cumsum(have) - 1
-            row = [p, pack(node[have]), pack(size[have]), pack(place[o]), pack(t, step=True)]
-            yield pa.record_batch([pa.array([x], k) for x, k in zip(row, (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "node", "n", "owner", "token"])
-
-    for batch in batches:
-        for s in shingle_sets(batch.column(0), words):
-            if not len(s):
-                continue
-            digest = set_digest(s)
-            if digest in seen:
-                continue
-            seen.add(digest)
-            nodes.append(digest)
-            sizes.append(len(s))
-            tokens.append(s >> np.uint64(64 - TOKEN_BITS))
-            held += len(s)
-            if held >= flush:
-                yield from blocks()
-                nodes, sizes, tokens, held = [], [], [], 0
-    if nodes:
-        yield from blocks()
-
-
-def _open(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(node, n, owner, token) of all blocks, owners counted through."""
-    columns: list[list[np.ndarray]] = [[], [], [], []]
-    base = 0
-    for row in zip(*(table.column(c) for c in ("node", "n", "owner", "token")), strict=True):
-        node, n, owner, token = (unpack(x.as_py()) for x in row)
-        for column, values in zip(columns, (node, n, owner.astype(np.int64) + base, token), strict=True):
-            column.append(values)
-        base += len(node)
-    return tuple(np.concatenate(c) for c in columns)
-
-
-_RETURN = "bucket int, node binary, n binary, k binary, token binary, df binary"
-
-
-def _repeated(table: pa.Table, buckets: int) -> pa.Table:
-    """Tokens of a part that more than one document holds, by bucket of the document."""
-    node, n, owner, token = _open(table)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    first = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)))
-    count = np.diff(np.append(first, len(token)))
-    df = np.repeat(count, count)
-    keep = df > 1
-    token, owner, df = token[keep], owner[keep], df[keep]
-    # what follows needs the order of rarities only; equal classes are ordered by token
-    rarity = np.minimum(255, (8 * np.log2(np.maximum(df, 1))).astype(np.int64))
-    bucket = (mix(node) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((owner, bucket[owner])) if len(owner) else owner
-    token, owner, rarity = token[order], owner[order], rarity[order]
-    ends = np.searchsorted(bucket[owner], np.arange(buckets + 1))
+            if len(t):
+                have = np.zeros(len(node), bool)
+                have[o] = True
+                yield _row(p, TOKENS, pack(node[have], step=True), pack((np.cumsum(have) - 1)[o]), pack(t, step=True), b"")
+
+    release()
+    try:
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), words):
+                if not len(s):
+                    continue
+                digest = set_digest(s)
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                bucket = ((digest ^ digest >> 29) & 0xFFFFFFFF) % parts
+                nodes.append(bucket << _BUCKET_SHIFT | task << _TASK_SHIFT | counts[bucket])
+                counts[bucket] += 1
+                digests.append(digest)
+                sizes.append(len(s))
+                tokens.append(s >> np.uint64(64 - TOKEN_BITS))
+                held += len(s)
+                if held >= flush:
+                    yield from blocks()
+                    nodes, digests, sizes, tokens, held = [], [], [], [], 0
+        if nodes:
+            yield from blocks()
+    finally:
+        release()
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Tokens of a part that more than one document holds, by bucket of the document; and what is on its way there."""
     rows: list[list] = [[], [], [], [], [], []]
-    for b in range(buckets):
-        o = owner[ends[b] : ends[b + 1]]
-        if not len(o):
-            continue
-        start = np.flatnonzero(np.diff(o, prepend=-1))
-        at = o[start]
-        row = (b, pack(node[at]), pack(n[at]), pack(np.diff(np.append(start, len(o)))), pack(token[ends[b] : ends[b + 1]]), pack(rarity[ends[b] : ends[b + 1]]))
-        for column, x in zip(rows, row, strict=True):
-            column.append(x)
-    kinds = (pa.int32(), *[pa.binary()] * 5)
-    return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["bucket", "node", "n", "k", "token", "df"])
+    cols: list[list[np.ndarray]] = [[], []]
+    for row in table.to_pylist():
+        if row["kind"] == DOCS:
+            for column, name in zip(rows, _NAMES, strict=True):
+                column.append(row[name])
+        else:
+            cols[0].append(unpack(row["node"])[unpack(row["a"]).astype(np.int64)])
+            cols[1].append(unpack(row["b"]))
+    if cols[0]:
+        node, token = np.concatenate(cols[0]), np.concatenate(cols[1])
+        del cols
+        order = np.argsort(token, kind="stable")
+        token, node = token[order], node[order]
+        first = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)))
+        count = np.diff(np.append(first, len(token)))
+        df = np.repeat(count, count)
+        keep = df > 1
+        token, node, df = token[keep], node[keep], df[keep]
+        # what follows needs the order of rarities only; equal classes are ordered by token
+        rarity = np.minimum(255, (8 * np.log2(np.maximum(df, 1))).astype(np.int64))
+        order = np.argsort(node, kind="stable")  # tokens stay in order within a document
+        token, node, rarity = token[order], node[order], rarity[order]
+        bucket = (node >> np.uint64(_BUCKET_SHIFT)).astype(np.int64)
+        for b in np.unique(bucket):
+            x, y = np.searchsorted(bucket, [b, b + 1])
+            o = node[x:y]
+            start = np.flatnonzero(np.diff(o, prepend=o[:1] ^ np.uint64(1)))
+            row = (int(b), TOKENS, pack(o[start], step=True), pack(np.diff(np.append(start, len(o)))), pack(token[x:y]), pack(rarity[x:y]))
+            for column, v in zip(rows, row, strict=True):
+                column.append(v)
+    out = pa.table([pa.array(c, k) for c, k in zip(rows, _KINDS, strict=True)], names=_NAMES)
+    release()
+    return out
 
 
 _PREFIX = "node long, n long, repeated long, l int, tokens array<long>, prefix array<long>, layer array<int>"
 
 
 def _prefixes(table: pa.Table, percent: int, longest: int, verify_cost: float) -> pa.Table:
-    """Documents whose prefix holds repeated tokens: those tokens, and the prefix of least cost."""
-    columns: list[list[np.ndarray]] = [[], [], [], []]
-    for row in zip(*(table.column(c) for c in ("node", "n", "k", "token", "df")), strict=True):
-        node, n, k, token, df = (unpack(x.as_py()) for x in row)
-        k = k.astype(np.int64)
-        for column, values in zip(columns, (np.repeat(node, k), np.repeat(n, k), token, df), strict=True):
-            column.append(values)
-    node, n, token, df = (np.concatenate(c) for c in columns)
-    order = np.lexsort((token, df, node))
-    node, n, token, df = node[order].view(np.int64), n[order].astype(np.int64), token[order], df[order].astype(np.float64)
-    first = np.flatnonzero(np.diff(node, prepend=node[:1] + 1)) if len(node) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(node))
+    """Documents whose prefix holds repeated tokens: those tokens, and the prefix of least cost.
+
+    Of equal sets from several tasks one stays.
+    """
+    docs: list[list[np.ndarray]] = [[], [], []]
+    cols: list[list[np.ndarray]] = [[], [], []]
+    for row in table.to_pylist():
+        if row["kind"] == DOCS:
+            for column, name in zip(docs, ("node", "a", "b"), strict=True):
+                column.append(unpack(row[name]))
+        else:
+            k = unpack(row["a"]).astype(np.int64)
+            for column, values in zip(cols, (np.repeat(unpack(row["node"]), k), unpack(row["b"]), unpack(row["c"])), strict=True):
+                column.append(values)
+    number, digest, size = (np.concatenate([np.zeros(0, np.uint64), *c]) for c in docs)
+    number_of, token, df = (np.concatenate([np.zeros(0, np.uint64), *c]) for c in cols)
+    del cols, docs
+    order = np.lexsort((number, digest))
+    leads = order[np.diff(digest[order], prepend=digest[order][:1] ^ np.uint64(1)) != 0]
+    leads = leads[np.argsort(number[leads])]
+    number, digest, size = number[leads], digest[leads].view(np.int64), size[leads].astype(np.int64)
+    at = np.minimum(np.searchsorted(number, number_of), max(len(number) - 1, 0))
+    keep = number[at] == number_of if len(number) else np.zeros(len(number_of), bool)
+    at, token, df = at[keep], token[keep], df[keep]
+    order = np.lexsort((token, df, at))
+    at, token, df = at[order], token[order], df[order].astype(np.float64)
+    node, n = digest[at], size[at]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    last = np.append(first, len(at))[1:]
     out: list[list] = [[], [], [], [], [], [], []]
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         size, held = int(n[a]), b - a
@@ -219,7 +259,9 @@ def _prefixes(table: pa.Table, percent: int, longest: int, verify_cost: float) -
         for column, x in zip(out, row, strict=True):
             column.append(x)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "n", "repeated", "l", "tokens", "prefix", "layer"])
+    made = pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "n", "repeated", "l", "tokens", "prefix", "layer"])
+    release()
+    return made
 
 
 def _with_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,6 +288,7 @@ def jaccard_components(
     longest: int = 8,
     verify_cost: float = 8.0,
     short_list: int = 16,
+    part_tokens: int = 1_000_000,
 ) -> DataFrame:
     """Components of documents that link at a shingle similarity of ``percent`` or more.
 
@@ -272,11 +315,12 @@ def jaccard_components(
     total = base.agg(F.sum("n")).first()[0] or 0
     if not total:
         return base.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2_000_000))
+    parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens)))
     blocks = slim.select("text").mapInArrow(partial(_post, words=words, parts=parts), _BLOCK)
-    back = blocks.groupBy("part").applyInArrow(lambda t: _repeated(t, parts), _RETURN)
-    prefixes = back.groupBy("bucket").applyInArrow(lambda t: _prefixes(t, percent, longest, verify_cost), _PREFIX)
+    back = blocks.groupBy("part").applyInArrow(lambda t: _repeated(t), _BLOCK)
+    prefixes = back.groupBy("part").applyInArrow(lambda t: _prefixes(t, percent, longest, verify_cost), _PREFIX)
     sets = scratch.keep(prefixes)
+    n = sets.count()  # documents that may have partners
 
     posts = sets.select("node", "n", "repeated", "l", F.explode(F.arrays_zip("prefix", "layer")).alias("z")).select("node", "n", "repeated", "l", F.col("z.prefix").alias("token"), F.col("z.layer").alias("layer"))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct((F.col("n") - F.col("repeated")).alias("own"), "node")).alias("p")).where("c > 1")
@@ -293,7 +337,7 @@ def jaccard_components(
     star = posts.where(F.col("c") > short_list).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     star = scratch.keep(_with_overlap(star, sets).withColumn("linked", linked))
     size = sets.select("node", F.col("n").alias("size"), "repeated")
-    member = scratch.keep(star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "both", "linked").join(size, "node"))
+    member = scratch.keep(star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "both", "linked").join(size, "node"), 4 * n)
     left = member.where(~F.col("linked"))
     u, v = (df.select("pivot", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "both", "linked", "repeated")), F.col("size").alias(f"n_{x}")) for df, x in ((left, "a"), (member, "b")))
     bound = "least(both_a, both_b) + least(repeated_a - both_a, repeated_b - both_b)"

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+ROWS_A_FILE = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,9 +37,12 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The table as written and read again; with an estimate of its rows, in few files if it is small."""
         path = f"{self.root}/{self.n}"
         self.n += 1
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The base patterns and least lengths, in the order of their kinds.
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -214,5 +215,5 @@ def redact(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` with every secret in the text replaced by its kind in brackets; null stays null."""
     others = [c for c in rows.columns if c != text_col]
     slim = rows.select(F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in others))
-    schema = rows.select(*(F.col(f"`{c}`") for c in others)).schema.add("__masked", "string")
+    schema = T.StructType([*(rows.schema[c] for c in others), T.StructField("__masked", T.StringType())])
     return slim.mapInArrow(_mask, schema).select(*(F.col("__masked").alias(c) if c == text_col else F.col(f"`{c}`") for c in rows.columns))

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .hashing import MARKS, joined_bytes, pieces, word_hashes
+from .hashing import MARKS, joined_bytes, pieces, runs, word_hashes
+from .workers import release
 
 BITS = 22
 
@@ -50,6 +52,7 @@ def _presence(texts: pa.Array, table: np.ndarray | None) -> Iterator[tuple[np.nd
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of P and of U that hold each bucket: one row for each task and class."""
+    release()
     counts = np.zeros((2, 1 << BITS), dtype=np.int32)
     seen = [0, 0]
     for batch in batches:
@@ -138,10 +141,12 @@ def fit(texts: DataFrame, prior: float, positives: int = 3000, unlabelled: int =
     are made on the executors; the driver gets at most ``tasks`` count vectors and the sample's
     feature lists.
     """
-    order = F.xxhash64("id")
-    p = texts.where("positive").orderBy(order, "id").limit(positives)
-    u = texts.withColumn("positive", F.lit(False)).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled)
-    sample = p.unionByName(u).select("text", "positive").repartition(tasks).persist()
+    # ids first: they are small to sort; then the texts of the chosen ids, a bounded broadcast
+    ids = texts.select("id", "positive")
+    p = ids.where("positive").select("id").orderBy(F.xxhash64("id"), "id").limit(positives).withColumn("positive", F.lit(True))
+    u = ids.select("id").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled).withColumn("positive", F.lit(False))
+    chosen = F.broadcast(p.unionByName(u).distinct())
+    sample = texts.select("id", "text").join(chosen, "id").select("text", "positive").repartition(tasks).persist()
     try:
         counts, seen = np.zeros((2, 1 << BITS)), [0, 0]
         for r in sample.mapInArrow(_document_counts, "c int, n long, at array<int>, k array<int>").toArrow().to_batches():
@@ -165,17 +170,24 @@ def fit(texts: DataFrame, prior: float, positives: int = 3000, unlabelled: int =
     return Model(chosen, weights, bias)
 
 
-def _scorer(model):
+def _scorer(model, text_col: str, at_once: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = Model(*model.value)
         table, width = m.table(), len(m.buckets) + 1
         weights = np.append(m.weights, 0.0)
-        for batch in batches:
-            pairs = [np.unique(rows * width + hit) for rows, hit in _presence(batch.column(0), table)]
+
+        def scores(texts: pa.Array) -> np.ndarray:
+            pairs = [np.unique(rows * width + hit) for rows, hit in _presence(texts, table)]
             pairs = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *pairs]))
-            g = np.bincount(pairs // width, weights[pairs % width], minlength=batch.num_rows) + m.bias
-            score = pa.array(0.5 * (1 + np.tanh(g / 2)), pa.float64())
-            yield pa.record_batch([*batch.columns[1:], score], names=[*batch.schema.names[1:], "score"])
+            g = np.bincount(pairs // width, weights[pairs % width], minlength=len(texts)) + m.bias
+            return 0.5 * (1 + np.tanh(g / 2))
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            parts = [scores(part) for part in runs(texts, at_once)]
+            score = pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+            yield pa.record_batch([*batch.columns, score], names=[*batch.schema.names, "score"])
 
     return run
 
@@ -186,10 +198,8 @@ def score(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     A column named ``score`` is replaced.
     """
     shared = rows.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.bias))  # at most 4096 features by default
-    others = [c for c in rows.columns if c != "score"]
-    slim = rows.select(F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in others))
-    schema = rows.select(*(F.col(f"`{c}`") for c in others)).schema.add("score", "double")
-    return slim.mapInArrow(_scorer(shared), schema)
+    slim = rows.drop("score")
+    return slim.mapInArrow(_scorer(shared, text_col), T.StructType([*slim.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def _held_out(column: str):
