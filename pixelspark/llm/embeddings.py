@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +53,11 @@ def _verify(cosine: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-            dots = np.einsum("ij,ij->i", a, b) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+            # lengths may differ from pair to pair, so sums run over stretches of the flat values
+            ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            a, b = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3))
+            dot, aa, bb = (np.add.reduceat(v, np.append(0, ends[:-1])) for v in (a * b, a * a, b * b))
+            dots = dot / (np.sqrt(aa) * np.sqrt(bb))
             yield batch.select([0, 1]).filter(pa.array(dots >= cosine))
 
     return run
