@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import ORACLES  # noqa: F401
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,4 +74,3 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_sharding, op3_license_scan, op4_secret_scan, op5_ngram_jaccard, op6_suffix_dedup, op7_toxicity, op8_decontamination, op9_byte_bpe, op10_embedding_dedup)}
-ORACLES: dict[str, str] = {}
