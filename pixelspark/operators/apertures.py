@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,23 +209,94 @@ def random_apertures(pixels: DataFrame, diameter: float, n: int, seed: int = 1,
     return got.where(F.col("n") > 0.98 * full).agg(F.count(F.lit(1)).alias("N"), ((F.percentile("flux", 0.84) - F.percentile("flux", 0.16)) / 2).alias("err"))
 
 
-def isophotes(pixels: DataFrame, levels: list[float], magzero: float = 0.0, pixscale: float = 1.0) -> DataFrame:
-    """APR-13, APR-14, WIN-2: a moment ellipse of the pixels strictly between each two levels of enclosed flux."""
-    from .stats import moments, shape
+def moment_ellipse(pixels: DataFrame, scale: float = 2**0.5, pixscale: float = 1.0) -> DataFrame:
+    """APR-13: an ellipse for each segID from flux-weighted moments; ``radav`` is the mean radius.
+
+    Semi-axes are ``scale`` times the root of the covariance's eigenvalues.
+    """
+    from ..functions.geometry import cov_angle, cov_eigenvalues
+    from .stats import by_segment, moments, usable
+
+    keys = by_segment(pixels)
+    mom = moments(pixels)
+    w = F.greatest("flux", F.lit(0.0))
+    far = F.sqrt(F.pow(F.col("x") - 0.5 - F.col("xcen"), 2) + F.pow(F.col("y") - 0.5 - F.col("ycen"), 2))
+    mean = usable(pixels).join(mom.select(*keys, "xcen", "ycen"), keys).groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(w * far), F.sum(w)), F.avg(far)).alias("radav"))
+    hi, lo = (F.sqrt(F.abs(v)) for v in cov_eigenvalues("xsd", "ysd", "covxy"))
+    return mom.join(mean, keys).select(
+        *keys, "xcen", "ycen", (hi * scale * pixscale).alias("radhi"), (lo * scale * pixscale).alias("radlo"), (F.col("radav") * pixscale).alias("radav"), F.try_divide(lo, hi).alias("axrat"), cov_angle("xsd", "ysd", "covxy").alias("ang"), F.lit(0.0).alias("box"), "xsd", "ysd", "covxy", F.try_divide("covxy", F.col("xsd") * F.col("ysd")).alias("corxy")
+    )
+
+
+def simplex(f, start: np.ndarray, step: np.ndarray, lower: np.ndarray, upper: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Nelder and Mead's minimiser inside bounds."""
+    inside = lambda p: np.minimum(np.maximum(p, lower), upper)
+    pts = [inside(start), *(inside(start + np.eye(len(start))[i] * step) for i in range(len(start)))]
+    val = [f(p) for p in pts]
+    for _ in range(rounds):
+        order = np.argsort(val)
+        pts, val = [pts[i] for i in order], [val[i] for i in order]
+        if val[-1] - val[0] < 1e-12:
+            break
+        mid = np.mean(pts[:-1], axis=0)
+        try_at = lambda t: (p := inside(mid + t * (pts[-1] - mid)), f(p))
+        p, v = try_at(-1.0)
+        if v < val[0]:
+            q, u = try_at(-2.0)
+            p, v = (q, u) if u < v else (p, v)
+        elif v >= val[-2]:
+            p, v = try_at(-0.5 if v < val[-1] else 0.5)
+            if v >= val[-1]:
+                pts = [pts[0], *(inside((pts[0] + x) / 2) for x in pts[1:])]
+                val = [val[0], *(f(x) for x in pts[1:])]
+                continue
+        pts[-1], val[-1] = p, v
+    return pts[int(np.argmin(val))]
+
+
+def superellipse(pixels: DataFrame, ellipses: DataFrame, pixscale: float = 1.0) -> DataFrame:
+    """APR-13 with ``dobox``: radius, angle, axial ratio and box by least variance of the scaled radius about one.
+
+    A fit that ends on a bound is dropped for the moment ellipse.
+    """
+    both = pixels.where("segID > 0 and flux is not null").join(ellipses.select("segID", "xcen", "ycen", "radhi", "radlo", "axrat", "ang"), "segID")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = pdf.iloc[0]
+        dx, dy = pdf["x"].to_numpy() - 0.5 - e["xcen"], pdf["y"].to_numpy() - 0.5 - e["ycen"]
+        w = np.maximum(pdf["flux"].to_numpy(), 0)
+        lower, upper = np.array([e["radhi"] / 10, 0, -2, -1]), np.array([e["radhi"] * 10, 180, 0, 1])
+        out = [e["segID"], e["xcen"], e["ycen"], e["radhi"] * pixscale, e["radlo"] * pixscale, e["axrat"], e["ang"], 0.0]
+        if w.sum() > 0 and e["radhi"] > 0 and e["axrat"] > 0 and np.isfinite(e["ang"]):
+
+            def cost(p: np.ndarray) -> float:
+                t = np.radians(p[1])
+                u, v = np.abs(dx * np.cos(t) + dy * np.sin(t)) / 10 ** p[2], np.abs(-dx * np.sin(t) + dy * np.cos(t))
+                r = (u ** (2 + p[3]) + v ** (2 + p[3])) ** (1 / (2 + p[3])) / p[0]
+                return float((w * (r - 1) ** 2).sum() / w.sum())
+
+            start = np.array([e["radhi"], e["ang"], max(np.log10(e["axrat"]), -1.9), 0.0])
+            best = simplex(cost, start, np.array([e["radhi"] / 5, 10, -0.1, 0.2]), lower, upper)
+            if (best > lower).all() and (best < upper).all():
+                out[3:] = [best[0] * pixscale, best[0] * 10 ** best[2] * pixscale, 10 ** best[2], best[1], best[3]]
+        return pd.DataFrame([out], columns=["segID", "xcen", "ycen", "radhi", "radlo", "axrat", "ang", "box"])
+
+    return both.groupBy("segID").applyInPandas(run, "segID long, xcen double, ycen double, radhi double, radlo double, axrat double, ang double, box double")
+
+
+def isophotes(pixels: DataFrame, levels: list[float], magzero: float = 0.0, pixscale: float = 1.0) -> DataFrame:
+    """APR-14, WIN-2: the moment ellipse of the pixels strictly between each two levels of enclosed flux."""
     keys = keys_of(pixels)
     good = pixels.where("segID > 0 and flux is not null")
     order = Window.partitionBy(*keys, "segID").orderBy(F.desc("flux"), "y", "x")
     run = good.withColumn("frac", F.try_divide(F.sum("flux").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("flux").over(Window.partitionBy(*keys, "segID"))))
     bins = F.coalesce(*(F.when((F.col("frac") > a) & (F.col("frac") < b), i) for i, (a, b) in enumerate(zip(levels, levels[1:], strict=False))))
     run = run.withColumn("bin", bins).where("bin is not null").withColumn("segID", F.col("segID") * len(levels) + F.col("bin"))
-    cat = shape(moments(run.withColumn("flux", F.greatest("flux", F.lit(0.0)))))
+    cat = moment_ellipse(run, pixscale=pixscale)
     sums = run.groupBy(*keys, "segID").agg(F.sum("flux").alias("flux"), F.count(F.lit(1)).alias("N"), F.max("frac").alias("fluxfrac"))
     out = cat.join(sums, [*keys, "segID"])
-    # the radius of a uniform ring of this shape: twice the deviation
     return out.select(
-        *keys, F.floor(F.col("segID") / len(levels)).alias("segID"), (F.col("segID") % len(levels)).alias("segellipseID"), "fluxfrac", "xcen", "ycen", (F.col("semimaj") * pixscale).alias("radhi"), (F.col("semimin") * pixscale).alias("radlo"), (F.sqrt(F.col("semimaj") * F.col("semimin")) * pixscale).alias("radav"),
-        "axrat", "ang", "xsd", "ysd", "covxy", "corxy", "flux", "N", flux_to_sb(F.col("flux") / F.col("N"), magzero, pixscale).alias("SB"),
+        *keys, F.floor(F.col("segID") / len(levels)).alias("segID"), (F.col("segID") % len(levels)).alias("segellipseID"), "fluxfrac", "xcen", "ycen", "radhi", "radlo", "radav", "axrat", "ang", "box", "xsd", "ysd", "covxy", "corxy", "flux", "N", flux_to_sb(F.col("flux") / F.col("N"), magzero, pixscale).alias("SB")
     )
 
 

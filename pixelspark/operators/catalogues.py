@@ -60,3 +60,24 @@ def share_flux(segstats: DataFrame, share: DataFrame, normalise: bool = False) -
     both = s.join(segstats.select("segID", "flux", "mag", "N50", "N90", "N100"), "segID")
     sums = {"flux": "w * flux", "flux2": "w * flux * flux", "fluxmag": "w * power(10D, -0.4D * mag)", "N50": "w * N50", "N90": "w * N90", "N100": "w * N100"}
     return both.groupBy("outID").agg(*(F.sum(F.expr(e)).alias(n) for n, e in sums.items()))
+
+
+def nearest(left: DataFrame, right: DataFrame, radius: float, x: str = "xcen", y: str = "ycen", key: str = "segID") -> DataFrame:
+    """JN-9: for each row of ``left`` the nearest row of ``right`` within ``radius``: (key, match, dist).
+
+    Rows of the right go to the nine cells around theirs, so it is an equi-join on cells.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    a = left.select(F.col(key), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("cx"), cell(y).alias("cy"))
+    b = right.select(F.col(key).alias("match"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("ox"), cell(y).alias("oy"), F.explode(around).alias("o"))
+    b = b.select("match", "bx", "by", (F.col("ox") + F.col("o.i")).alias("cx"), (F.col("oy") + F.col("o.j")).alias("cy"))
+    dist = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
+    met = a.join(b, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
+    return met.groupBy(key).agg(F.min(F.struct("dist", "match")).alias("m")).select(key, "m.match", "m.dist")
+
+
+def label_at(catalogue: DataFrame, segmap: DataFrame, x: str = "xmax", y: str = "ymax") -> DataFrame:
+    """JN-8: ``label``: what a map holds at the pixel of each position."""
+    at = segmap.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("segID").alias("label"))
+    return catalogue.withColumns({"__x": F.ceil(x).cast("int"), "__y": F.ceil(y).cast("int")}).join(at, ["__x", "__y"], "left").drop("__x", "__y")

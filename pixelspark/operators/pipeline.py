@@ -221,6 +221,24 @@ def multiband(pixels: DataFrame, detect_bands: list[str], bands: list[str], conf
     return Run(frames)
 
 
+def fit_with_extra(image: DataFrame, sources: DataFrame, psf: kernels.Kernel, c: Config, rounds: int = 5) -> DataFrame:
+    """FIT-6: PSF photometry, detection on what it leaves, and photometry again with the found sources.
+
+    ``image`` has x, y, flux, sigma; extra sources get keys above the present ones.  Returns the rows of
+    ``sources`` from the second fit and the extra ones with ``extra`` true.
+    """
+    first = models.psf_fit(image, sources, psf, c.nx, c.ny, rounds, magzero=c.magzero)
+    whole = F.floor(F.col("xcen") + 0.5) - 0.5, F.floor(F.col("ycen") + 0.5) - 0.5
+    model = filters.render_points(first.select(whole[0].alias("xcen"), whole[1].alias("ycen"), "flux"), psf, c.nx, c.ny).withColumnRenamed("flux", "model")
+    left = image.join(model, ["x", "y"], "left").select("x", "y", (F.col("flux") - F.coalesce("model", F.lit(0.0))).alias("flux"))
+    found = detect(left, c).segstats.where("flux > 0 and xcen is not null")
+    shift = F.broadcast(sources.agg(F.max("k").alias("shift")))
+    extra = found.crossJoin(shift).select((F.col("segID") + F.coalesce("shift", F.lit(0))).alias("k"), "xcen", "ycen", "flux")
+    every = sources.select("k", "xcen", "ycen", "flux").unionByName(extra)
+    again = models.psf_fit(image, every, psf, c.nx, c.ny, rounds, magzero=c.magzero)
+    return again.join(sources.select("k", F.lit(False).alias("extra")), "k", "left").withColumn("extra", F.coalesce("extra", F.lit(True)))
+
+
 def propagate(pixels: DataFrame, segmap: DataFrame, lam: float = 1e-4, rounds: int = 1000) -> DataFrame:
     """SEG-8: every pixel takes the label it is reached from at the least cost.
 

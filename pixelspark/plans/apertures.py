@@ -10,7 +10,7 @@ from ..operators import stats as S
 from .fixtures import f1, f2, f4, with_fixtures
 from .maps import IN_POLY, POLY_SQL, POLYGON, xy
 from .registry import query
-from .statistics import r
+from .statistics import _MOMENTS, r
 
 _SUB = "g AS (SELECT i, j FROM (SELECT unnest([-0.375e0, -0.125e0, 0.125e0, 0.375e0]) AS i), (SELECT unnest([-0.375e0, -0.125e0, 0.125e0, 0.375e0]) AS j))"
 _CIRCLE = f"""{_SUB}, c AS (SELECT k, x, y, flux, count(*) FILTER ((x - 0.5e0 - cx + i) ** 2 + (y - 0.5e0 - cy + j) ** 2 <= rad * rad) / 16e0 AS cover FROM f2 JOIN f4 ON abs(x - 0.5e0 - cx) <= rad + 1 AND abs(y - 0.5e0 - cy) <= rad + 1, g GROUP BY ALL)"""
@@ -102,7 +102,7 @@ def apr_segment_phot(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def apr_isophotes(spark: SparkSession, d: str) -> DataFrame:
-    """APR-13, APR-14, WIN-2."""
+    """APR-14, WIN-2."""
     out = A.isophotes(f2(spark, d).drop("mask"), [0.0, 0.4, 0.8, 1.0])
     return out.select(F.col("segID").cast("long").alias("segID"), F.col("segellipseID").cast("long").alias("segellipseID"), "flux", "N", *r("fluxfrac"), *r("xcen", "ycen", digits=5))
 
@@ -125,3 +125,24 @@ def apr_outline(spark: SparkSession, d: str) -> DataFrame:
     """SNK-5: vertices of ellipses."""
     out = A.outline(f4(spark, d).withColumnsRenamed({"cx": "xcen", "cy": "ycen"}).withColumn("box", F.lit(0.0)))
     return out.select(F.col("k").cast("long").alias("k"), F.col("i").cast("long").alias("i"), *r("px", "py", digits=5))
+
+
+@query(
+    with_fixtures(
+        "f2",
+        _MOMENTS
+        + """, e AS (SELECT *, (xsd ** 2 + ysd ** 2) / 2 AS h, sqrt(((xsd ** 2 - ysd ** 2) / 2) ** 2 + covxy ** 2) AS q FROM m)
+  SELECT segID::BIGINT AS segID, round(sqrt(2 * abs(h + q)), 5) AS radhi, round(sqrt(2 * abs(h - q)), 5) AS radlo, round(sqrt(abs(h - q)) / sqrt(abs(h + q)), 5) AS axrat, round(sum(greatest(flux, 0) * sqrt((px - e.xcen) ** 2 + (py - e.ycen) ** 2)) / sum(greatest(flux, 0)), 5) AS radav FROM e JOIN s USING (segID) GROUP BY ALL""",
+    )
+)
+def apr_moment_ellipse(spark: SparkSession, d: str) -> DataFrame:
+    """APR-13."""
+    out = A.moment_ellipse(f2(spark, d))
+    return out.select(F.col("segID").cast("long").alias("segID"), *r("radhi", "radlo", "axrat", "radav", digits=5))
+
+
+@query()
+def apr_superellipse(spark: SparkSession, d: str) -> DataFrame:
+    """APR-13 with a box fit."""
+    px = f2(spark, d).where("segID between 1 and 60")
+    return A.superellipse(px, A.moment_ellipse(px))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogues as C
 from ..operators import stats as S
-from .fixtures import f2, f5, grid, with_fixtures
+from .fixtures import f2, f4, f5, grid, with_fixtures
 from .maps import xy
 from .registry import query
 from .statistics import r
@@ -67,3 +67,23 @@ def dbl_share(spark: SparkSession, d: str) -> DataFrame:
     share = one.unionByName(stats.select("segID", ((F.col("segID") + 1) % 7).alias("outID"), F.lit(2.0).alias("w")))
     out = C.share_flux(stats, share, normalise=True)
     return out.select(F.col("outID").cast("long").alias("outID"), *r("flux", "N100", digits=5), *r("fluxmag", digits=9))
+
+
+@query(
+    with_fixtures(
+        "f4",
+        "p AS (SELECT a.k, b.k AS match, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS dist FROM f4 a JOIN f4 b ON a.k % 2 = 0 AND b.k % 2 = 1) SELECT k::BIGINT AS segID, match::BIGINT AS match, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dist, match) AS rn FROM p WHERE dist <= 20) WHERE rn = 1",
+    )
+)
+def jn_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """JN-9."""
+    src = f4(spark, d).select(F.col("k").alias("segID"), F.col("cx").alias("xcen"), F.col("cy").alias("ycen"))
+    out = C.nearest(src.where("segID % 2 = 0"), src.where("segID % 2 = 1"), 20.0)
+    return out.select(F.col("segID").cast("long").alias("segID"), F.col("match").cast("long").alias("match"), *r("dist"))
+
+
+@query(with_fixtures("f2 f4", "SELECT k::BIGINT AS k, segID::BIGINT AS label FROM f4 LEFT JOIN f2 ON f2.x = ceil(cx) AND f2.y = ceil(cy)"))
+def jn_label_at(spark: SparkSession, d: str) -> DataFrame:
+    """JN-8."""
+    out = C.label_at(f4(spark, d), f2(spark, d), "cx", "cy")
+    return out.select(F.col("k").cast("long").alias("k"), F.col("label").cast("long").alias("label"))

@@ -111,12 +111,22 @@ def fit_psf(spark: SparkSession, d: str) -> DataFrame:
     return D.psf_fit(image, src, PSF, 64, 500, rounds=3)
 
 
-@query()
+@query(
+    with_fixtures(
+        "f2 f4",
+        f"""k(dx, dy, w) AS (VALUES {_K}), s AS (SELECT k, cx, cy, rad * 100 AS f, floor(cx + 0.5e0)::INT AS px, floor(cy + 0.5e0)::INT AS py FROM f4),
+  m AS (SELECT s.k, cx, cy, f2.x, f2.y, f2.flux, f * w AS m FROM s, k JOIN f2 ON f2.x = px + dx AND f2.y = py + dy),
+  c AS (SELECT k, sum(flux * (x - 0.5e0)) / nullif(sum(flux), 0) AS nx, sum(flux * (y - 0.5e0)) / nullif(sum(flux), 0) AS ny FROM m WHERE flux > 10 GROUP BY 1),
+  e AS (SELECT k, sum(flux * share) AS flux FROM (SELECT *, m / sum(m) OVER (PARTITION BY x, y) AS share FROM m) GROUP BY 1)
+  SELECT s.k::BIGINT AS k, round(cx + greatest(-0.5, least(0.5, coalesce(nx - cx, 0))), 5) AS xcen, round(cy + greatest(-0.5, least(0.5, coalesce(ny - cy, 0))), 5) AS ycen, round(e.flux, 5) AS flux FROM s LEFT JOIN c ON c.k = s.k LEFT JOIN e ON e.k = s.k""",
+    )
+)
 def fit_recentre(spark: SparkSession, d: str) -> DataFrame:
     """FIT-4, FIT-5."""
     image = f2(spark, d).select("x", "y", "flux", F.lit(10.0).alias("sigma"))
     src = f4(spark, d).select("k", F.col("cx").alias("xcen"), F.col("cy").alias("ycen"), (F.col("rad") * 100).alias("flux"))
-    return D.psf_recentre(image, src, PSF).drop("flux").join(D.psf_extract(image, src, PSF), "k", "left")
+    out = D.psf_recentre(image, src, PSF).drop("flux").join(D.psf_extract(image, src, PSF), "k", "left")
+    return out.select(F.col("k").cast("long").alias("k"), *r("xcen", "ycen", "flux", digits=5))
 
 
 @query()
@@ -140,7 +150,18 @@ def cat_multiband(spark: SparkSession, d: str) -> DataFrame:
     return P.multiband(f5(spark, d), ["A", "R"], ["A", "N", "R"], CONFIG, c).cat_tot
 
 
-@query()
+@query(
+    with_fixtures(
+        "f2",
+        """t AS (SELECT *, min(flux) OVER w AS lo, max(flux) OVER w AS hi FROM f2 WHERE segID BETWEEN 1 AND 100 WINDOW w AS (PARTITION BY segID)),
+  g AS (SELECT segID, x, y, CASE WHEN hi = lo THEN 0 ELSE least(floor((flux - lo) / (hi - lo) * 8), 7) END AS g FROM t),
+  q AS (SELECT a.segID, a.g AS a, b.g AS b FROM g a JOIN g b ON a.segID = b.segID AND (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1)), p AS (SELECT segID, a, b FROM q UNION ALL SELECT segID, b, a FROM q),
+  c AS (SELECT segID, a, b, count(*) / sum(count(*)) OVER (PARTITION BY segID) AS p FROM p GROUP BY 1, 2, 3),
+  m AS (SELECT segID, sum(p * p) AS asm, sum(p * (a - b) ** 2) AS contrast, sum(p * a) AS ma, sum(p * a * a) AS maa, sum(p * a * b) AS mab, sum(p / (1 + (a - b) ** 2)) AS idm, sum(-p * ln(p)) AS entropy FROM c GROUP BY 1)
+  SELECT segID::BIGINT AS segID, round(asm, 10) AS asm, round(contrast, 10) AS contrast, round((mab - ma * ma) / nullif(maa - ma * ma, 0), 5) AS correlation, round(idm, 6) AS idm, round(entropy, 6) AS entropy FROM m""",
+    )
+)
 def agg_texture(spark: SparkSession, d: str) -> DataFrame:
     """AGG-25."""
-    return P.texture(f2(spark, d).where("segID <= 100"))
+    out = P.texture(f2(spark, d).where("segID <= 100"))
+    return out.select(F.col("segID").cast("long").alias("segID"), *r("asm", "contrast", digits=10), *r("correlation", digits=5), *r("idm", "entropy"))

@@ -254,3 +254,26 @@ def test_propagation_fills_the_image(spark):
     seeds = spark.createDataFrame([(1, 2, 1), (6, 2, 2)], "x int, y int, segID int")
     got = {(r["x"], r["y"]): r["segID"] for r in P.propagate(px, seeds).collect()}
     assert len(got) == 18 and got[2, 2] == 1 and got[5, 1] == 2
+
+
+def test_superellipse_of_a_uniform_disc(spark):
+    xx, yy = np.meshgrid(np.arange(41) - 20.0, np.arange(41) - 20.0, indexing="ij")
+    a = ((xx / 8) ** 2 + (yy / 16) ** 2 <= 1).astype(float)
+    px = image(spark, a).withColumn("segID", F.when(F.col("flux") > 0, 1).otherwise(0))
+    e = A.moment_ellipse(px).first()
+    assert e["axrat"] == pytest.approx(0.5, abs=0.02) and e["radhi"] == pytest.approx(16 / 2**0.5, rel=0.03)
+    got = A.superellipse(px, A.moment_ellipse(px)).first()
+    assert got["axrat"] == pytest.approx(0.5, abs=0.05)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from pixelspark.streaming.photometry import stream_segment_flux
+
+    df = spark.createDataFrame([("a", i % 3, float(i)) for i in range(30)], "image_id string, segID int, flux double")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_segment_flux(stream).writeStream.outputMode("complete").format("memory").queryName("seg_out").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = stream_segment_flux(df)
+    assert sorted(map(tuple, spark.table("seg_out").collect())) == sorted(map(tuple, want.collect()))
