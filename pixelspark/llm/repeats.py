@@ -32,12 +32,14 @@ from pyspark.sql import types as T
 from .hashing import _powers, mix
 from .jaccard import TOKEN_BITS, pack, unpack
 from .scratch import Scratch
+from .workers import release
 
 _BLOB = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 _FIELDS = ["bucket", "kind", "a", "b", "c", "d", "e"]
 _TYPES = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-TEXT, RUNS, CUTS = 0, 1, 2
+TEXT, RUNS, CUTS, KNOWN = 0, 1, 2, 3
 PIECE = 1 << 19
+AT_ONCE = 1 << 12
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -64,7 +66,8 @@ def runs_of(data: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarr
         first = np.flatnonzero(np.diff(where, prepend=-1))
         length = np.diff(np.append(first, starts))
         anchor = where[first]
-        out.append((first + a, length, anchor - first, grams[anchor] >> np.uint64(64 - TOKEN_BITS)))
+        # least hashes crowd at the low end, so they are spread again
+        out.append((first + a, length, anchor - first, mix(grams[anchor] + np.uint64(1)) >> np.uint64(64 - TOKEN_BITS)))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
@@ -107,23 +110,46 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
         yield v.as_py() or b""
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, k: int, parts: int, flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """Runs by part of the range of anchor hashes: (owner keys, owner, start, length and anchor, hash)."""
+def _anchors(batches: Iterator[pa.RecordBatch], window: int, k: int, parts: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs by part of the range of anchor hashes: owner keys, owner, start, shape (length, anchor, known), hash.
+
+    An anchor that occurs again among the runs at hand is known to repeat: its runs go to the buckets of
+    their texts at once, and one of them, marked so, to the part.  However frequent an anchor is, its
+    part gets it once from each lot of runs.
+    """
+    release()
     keys, sizes, cols, held = [], [], [], 0
 
+    def block(number: int, kind: int, ids: np.ndarray, owner: np.ndarray, first: np.ndarray, shape: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+        have, at = np.unique(owner, return_inverse=True)
+        return _batch([(number, kind, pack(ids[have], step=True), pack(at), pack(first), pack(shape), pack(token))])
+
     def blocks() -> Iterator[pa.RecordBatch]:
         first, length, place, token = (np.concatenate(c) for c in zip(*cols, strict=True))
         owner = np.repeat(np.arange(len(keys)), sizes)
         order = np.argsort(token, kind="stable")
-        token = token[order]
-        cuts = np.searchsorted(token, (np.arange(parts + 1, dtype=np.float64) * (2.0**TOKEN_BITS / parts)).astype(np.uint64))
-        cuts[-1] = len(token)
+        first, shape, token, owner = first[order], (length * 512 + place * 2)[order], token[order], owner[order]
+        new = np.diff(token, prepend=token[:1] ^ np.uint64(1)) != 0
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(token)))
+        known = np.repeat(count > 1, count)
         ids = np.array(keys, np.int64).view(np.uint64)
+        lead = start
+        mark = shape[lead] + (count > 1)
+        cuts = np.searchsorted(token[lead], (np.arange(parts + 1, dtype=np.float64) * (2.0**TOKEN_BITS / parts)).astype(np.uint64))
+        cuts[-1] = len(lead)
         for p in range(parts):
-            o = order[cuts[p] : cuts[p + 1]]
-            if len(o):
-                have, at = np.unique(owner[o], return_inverse=True)
-                yield _batch([(p, RUNS, pack(ids[have]), pack(at), pack(first[o]), pack(length[o] * 256 + place[o]), pack(token[cuts[p] : cuts[p + 1]], step=True))])
+            x = slice(cuts[p], cuts[p + 1])
+            if cuts[p + 1] > cuts[p]:
+                yield block(p, RUNS, ids, owner[lead[x]], first[lead[x]], mark[x], token[lead[x]])
+        again = np.flatnonzero(known)
+        bucket = _bucket_of(ids[owner[again]], parts)
+        again = again[np.argsort(bucket, kind="stable")]
+        bucket = _bucket_of(ids[owner[again]], parts)
+        for b in np.unique(bucket):
+            x, y = np.searchsorted(bucket, [b, b + 1])
+            o = again[x:y]
+            yield block(int(b), KNOWN, ids, owner[o], first[o], shape[o], token[o])
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
@@ -139,6 +165,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, k: int, parts: int,
                 keys, sizes, cols, held = [], [], [], 0
     if keys:
         yield from blocks()
+    release()
 
 
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -146,26 +173,34 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _repeated_runs(table: pa.Table, buckets: int) -> pa.Table:
-    """Runs of a part whose anchor occurs more than once, by bucket of their text."""
+    """Runs of a part whose anchor occurs more than once, by bucket of their text; known ones pass through."""
     cols: list[list[np.ndarray]] = [[], [], [], []]
-    for row in zip(*(table.column(c) for c in "abcde"), strict=True):
-        ids, at, first, shape, token = (unpack(x.as_py()) for x in row)
+    rows = []
+    for bucket, kind, *row in zip(*(table.column(c) for c in _FIELDS), strict=True):
+        row = [x.as_py() for x in row]
+        if kind.as_py() == KNOWN:
+            rows.append((bucket.as_py(), RUNS, *row))
+            continue
+        ids, at, first, shape, token = map(unpack, row)
         for col, v in zip(cols, (ids[at.astype(np.int64)], first, shape, token), strict=True):
             col.append(v)
-    key, first, shape, token = (np.concatenate(c) for c in cols)
-    order = np.argsort(token, kind="stable")
-    t = token[order]
-    same = np.diff(t) == 0
-    order = order[np.append(same, False) | np.insert(same, 0, False)]
-    bucket = _bucket_of(key[order], buckets)
-    order = order[np.lexsort((first[order], key[order], bucket))]
-    bucket = _bucket_of(key[order], buckets)
-    rows = []
-    for b in np.unique(bucket):
-        o = order[np.searchsorted(bucket, b) : np.searchsorted(bucket, b, side="right")]
-        ids, at = np.unique(key[o], return_inverse=True)
-        rows.append((int(b), RUNS, pack(ids), pack(at), pack(first[o]), pack(shape[o]), pack(token[o])))
-    return pa.Table.from_batches([_batch(rows)])
+    if cols[0]:
+        key, first, shape, token = (np.concatenate(c) for c in cols)
+        order = np.argsort(token, kind="stable")
+        t = token[order]
+        same = np.diff(t) == 0
+        order = order[np.append(same, False) | np.insert(same, 0, False)]
+        order = order[(shape[order] & np.uint64(1)) == 0]  # the others have been sent
+        bucket = _bucket_of(key[order], buckets)
+        order = order[np.lexsort((first[order], key[order], bucket))]
+        bucket = _bucket_of(key[order], buckets)
+        for b in np.unique(bucket):
+            o = order[np.searchsorted(bucket, b) : np.searchsorted(bucket, b, side="right")]
+            ids, at = np.unique(key[o], return_inverse=True)
+            rows.append((int(b), RUNS, pack(ids, step=True), pack(at), pack(first[o]), pack(shape[o]), pack(token[o])))
+    out = pa.Table.from_batches([_batch(rows)])
+    release()
+    return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -205,7 +240,7 @@ def _open_bucket(table: pa.Table) -> tuple[dict[int, bytes], tuple[np.ndarray, .
         return texts, (z, z, z, z, z.view(np.uint64)), cuts
     key, first, shape, token = (np.concatenate(c) for c in cols)
     order = np.lexsort((first, key))
-    return texts, (key[order], first[order], shape[order] >> 8, shape[order] & 255, token[order]), cuts
+    return texts, (key[order], first[order], shape[order] >> 9, shape[order] >> 1 & 255, token[order]), cuts
 
 
 def _earliest(texts: dict[int, bytes], runs: tuple[np.ndarray, ...], window: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -239,6 +274,7 @@ def _collect(table: pa.Table, window: int, parts: int) -> pa.Table:
         o = np.flatnonzero(part == p)
         body = zstandard.ZstdCompressor(level=3).compress(b"".join(strings[i] for i in o))
         rows.append((int(p), RUNS, pack(key[o].view(np.uint64)), body, pack(first[o]), pack(length[o] * 256 + place[o]), pack(token[o])))
+    release()
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -314,18 +350,19 @@ def _resolve(table: pa.Table, window: int, k: int, buckets: int) -> pa.Table:
         places, m = reach + window, len(docs)
         matrix = np.zeros((places, m), np.uint8)
         begin, size = reach - place[docs], length[docs] + window - 1
-        joined = np.frombuffer(b"".join(strings[i] for i in docs.tolist()), np.uint8)
-        offset = np.cumsum(size) - size
-        row = np.arange(len(joined)) - np.repeat(offset, size) + np.repeat(begin, size)
-        matrix[row, np.repeat(np.arange(m), size)] = joined
-        del joined, row
-        mine, tok = rank[docs], token[docs]
+        for x in range(0, m, AT_ONCE):  # the places of all symbols at once would take 32 bytes each
+            part = slice(x, min(x + AT_ONCE, m))
+            joined = np.frombuffer(b"".join(strings[i] for i in docs[part].tolist()), np.uint8)
+            n = size[part]
+            row = np.arange(len(joined)) + np.repeat(begin[part] - np.cumsum(n) + n, n)
+            matrix[row, np.repeat(np.arange(part.start, part.stop), n)] = joined
+        del best, strings, joined, row
+        mine, past = rank[docs], begin + length[docs]
         gone = np.zeros((reach + 1, m), bool)
         for c, by, differs in sort_columns(matrix, window):
             if c > reach:
                 continue
-            live = (begin[by] <= c) & (c < begin[by] + length[docs][by])
-            # equal windows have one anchor; a hash in common is not enough to differ, the bytes decide
+            live = (begin[by] <= c) & (c < past[by])
             group = np.cumsum(differs)[live]
             at = by[live]
             if not len(at):
@@ -337,7 +374,7 @@ def _resolve(table: pa.Table, window: int, k: int, buckets: int) -> pa.Table:
         up, down = np.nonzero(edge.T == 1), np.nonzero(edge.T == -1)
         for j, a, b in zip(up[0].tolist(), up[1].tolist(), down[1].tolist(), strict=True):
             removed.append((int(docs[j]), a - int(begin[j]), b - int(begin[j])))
-        del tok
+        del matrix
     if not removed:
         return pa.Table.from_batches([_batch([])])
     run, a, b = (np.array(c, np.int64) for c in zip(*removed, strict=True))
@@ -347,7 +384,8 @@ def _resolve(table: pa.Table, window: int, k: int, buckets: int) -> pa.Table:
     for x in np.unique(bucket):
         o = np.flatnonzero(bucket == x)
         ids, at = np.unique(owner[o], return_inverse=True)
-        rows.append((int(x), CUTS, pack(ids.view(np.uint64)), pack(at), pack(from_[o]), pack(to[o]), b""))
+        rows.append((int(x), CUTS, pack(ids.view(np.uint64), step=True), pack(at), pack(from_[o]), pack(to[o]), b""))
+    release()
     return pa.Table.from_batches([_batch(rows)])
 
 
