@@ -11,6 +11,7 @@ rest adds to the score by IDF.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,9 +121,8 @@ def scan_licenses(
     vocabulary = sorted({w for t in templates for w in t.text.split()})
     text = F.col(text_col)
     present = rows.select(F.explode(F.array_intersect(word_array(text), F.array(*map(F.lit, vocabulary)))).alias("word"))
-    counted = present.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    files = F.broadcast(rows.agg(F.count(F.lit(1)).alias("files")))
-    counts = {r["word"]: r["idf"] for r in counted.crossJoin(files).select("word", F.log((F.col("files") + 1) / (F.col("df") + 0.5)).alias("idf")).collect()}
+    files = rows.count()
+    counts = {r["word"]: log((files + 1) / (r["df"] + 0.5)) for r in present.groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
     most = max([1.0, *counts.values()]) + 1
     idf = {w: max(0.01, counts.get(w, most)) for w in vocabulary}
 
