@@ -44,6 +44,9 @@ class Scratch:
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         df.write.parquet(path)
+        if self.n == 1:  # goes when the driver ends
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
