@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as L
 from ..operators import kernels as B
-from .fixtures import f1, f2, f3, f4, with_fixtures
+from .fixtures import f1, f2, f3, f4, height, with_fixtures
 from .maps import xy
 from .registry import query
 from .statistics import r
@@ -85,7 +85,7 @@ _K = ", ".join(f"({i}, {j}, {w!r}e0)" for i, j, w in PSF)
 def fit_render(spark: SparkSession, d: str) -> DataFrame:
     """FLT-9."""
     src = f4(spark, d).select(F.col("cx").alias("xcen"), F.col("cy").alias("ycen"), (F.col("rad") * 100).alias("flux"))
-    out = L.render_points(src, PSF, 64, 500)
+    out = L.render_points(src, PSF, 64, height(spark, d))
     return out.select(*xy(out), *r("flux"))
 
 

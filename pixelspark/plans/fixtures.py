@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NY2 = 500  # rows of F2
+NY2 = 500  # rows of F2 in the SQL; the plans take all
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,16 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flux = f1(spark, sf_dir).where(F.col("y") <= NY2).select("x", "y", F.floor(F.col("flux") * 1000).cast("double").alias("flux"))
+    flux = f1(spark, sf_dir).select("x", "y", F.floor(F.col("flux") * 1000).cast("double").alias("flux"))
     block = F.expr("(x - 1) div 8 + 8 * ((y - 1) div 10) + 1").cast("int")
     return flux.select("x", "y", "flux", F.when(F.col("flux") < -300, 1).otherwise(0).alias("mask"), F.when(F.col("flux") > 0, block).otherwise(0).alias("segID"))
 
 
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of F2: the largest y of the whole table."""
+    return table(spark, sf_dir, "embeddings").agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).cast("int")).first()[0]
+
+
 def grid(spark: SparkSession, nx: int, ny: int) -> DataFrame:
     """SET-5: every pixel of an image."""
     xs = spark.range(1, nx + 1).select(F.col("id").cast("int").alias("x"))

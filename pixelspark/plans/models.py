@@ -10,7 +10,7 @@ from ..operators import pipeline as P
 from ..operators import stats as S
 from .catalogues import CONFIG
 from .filters import _K, PSF
-from .fixtures import f2, f3, f4, f5, with_fixtures
+from .fixtures import f2, f3, f4, f5, height, with_fixtures
 from .registry import query
 from .statistics import _MOMENTS, r
 
@@ -108,7 +108,7 @@ def fit_psf(spark: SparkSession, d: str) -> DataFrame:
     """FIT-1: three rounds on F2."""
     image = f2(spark, d).select("x", "y", "flux", F.lit(10.0).alias("sigma"))
     src = f4(spark, d).select("k", F.col("cx").alias("xcen"), F.col("cy").alias("ycen"), (F.col("rad") * 100).alias("flux"))
-    return D.psf_fit(image, src, PSF, 64, 500, rounds=3)
+    return D.psf_fit(image, src, PSF, 64, height(spark, d), rounds=3)
 
 
 @query(

@@ -9,7 +9,7 @@ from ..operators import kernels as B
 from ..operators import segments as G
 from ..operators import stats as S
 from ..operators.watershed import watershed
-from .fixtures import NY2, f2, f6, with_fixtures
+from .fixtures import NY2, f2, f6, height, with_fixtures
 from .maps import xy
 from .registry import query
 from .statistics import r
@@ -34,7 +34,7 @@ def sparse(spark: SparkSession, d: str) -> DataFrame:
 def seg_dilate(spark: SparkSession, d: str) -> DataFrame:
     """SEG-7, SEG-6, JN-6: even labels grow by a disc."""
     seg = sparse(spark, d)
-    out = G.dilate(seg, DISC, 64, NY2, expand=seg.where("segID % 2 = 0").select("segID").distinct())
+    out = G.dilate(seg, DISC, 64, height(spark, d), expand=seg.where("segID % 2 = 0").select("segID").distinct())
     return out.select(*xy(out), F.col("segID").cast("long").alias("segID"))
 
 
@@ -47,7 +47,7 @@ def seg_dilate(spark: SparkSession, d: str) -> DataFrame:
 )
 def seg_dilate_edges(spark: SparkSession, d: str) -> DataFrame:
     """SEG-7 sending edge pixels only."""
-    out = G.dilate_edges(sparse(spark, d), DISC, 64, NY2)
+    out = G.dilate_edges(sparse(spark, d), DISC, 64, height(spark, d))
     return out.select(*xy(out), F.col("segID").cast("long").alias("segID"))
 
 
@@ -114,11 +114,11 @@ _STATS = """SELECT segID, sum(flux) AS flux, max(px) * 1000 + max(py) AS uniqueI
 )
 def seg_merge(spark: SparkSession, d: str) -> DataFrame:
     """SEG-11, SET-4."""
-    one = f2(spark, d).drop("mask")
+    one, ny = f2(spark, d).drop("mask"), height(spark, d)
     two = one.withColumn("segID", F.when(F.col("flux") > 20, F.expr("x div 11 + 6 * (y div 7) + 1").cast("int")).otherwise(0))
 
     def stats(px: DataFrame) -> DataFrame:
-        top = S.brightest(px).select("segID", G.unique_id(F.col("xmax"), F.col("ymax"), NY2).alias("uniqueID"))
+        top = S.brightest(px).select("segID", G.unique_id(F.col("xmax"), F.col("ymax"), ny).alias("uniqueID"))
         return S.segment_flux(px).join(top, "segID")
 
     out = G.merge_maps(one.select("x", "y", "segID"), two.select("x", "y", "segID"), stats(one), stats(two))

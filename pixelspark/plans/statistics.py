@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import units as U
 from ..operators import maps as M
 from ..operators import stats as S
-from .fixtures import NY2, f1, f2, with_fixtures
+from .fixtures import NY2, f1, f2, height, with_fixtures
 from .registry import query
 
 
@@ -113,7 +113,7 @@ def agg_reflect(spark: SparkSession, d: str) -> DataFrame:
 )
 def agg_boundary(spark: SparkSession, d: str) -> DataFrame:
     """AGG-11, JN-5."""
-    return S.boundary(f2(spark, d), 64, NY2).select(*(F.col(c).cast("long").alias(c) for c in ("segID", "Nedge", "Nsky", "Nobject", "Nborder", "Nmask")), *r("edge_frac"), F.col("flag_border").cast("long").alias("flag_border"))
+    return S.boundary(f2(spark, d), 64, height(spark, d)).select(*(F.col(c).cast("long").alias(c) for c in ("segID", "Nedge", "Nsky", "Nobject", "Nborder", "Nmask")), *r("edge_frac"), F.col("flag_border").cast("long").alias("flag_border"))
 
 
 @query(with_fixtures("f2", 'SELECT segID::BIGINT AS segID, count(*) AS "orig_N", count(*) FILTER (mask <= 0) AS "mask_N", round(count(*) FILTER (mask <= 0) / count(*), 6) AS frac FROM f2 GROUP BY 1'))
@@ -216,4 +216,4 @@ def scl_membership(spark: SparkSession, d: str) -> DataFrame:
 def agg_segstats(spark: SparkSession, d: str) -> DataFrame:
     """AGG-10 with SCL-21, UDF-1 and UDF-2: the whole catalogue; its parts have SQL of their own."""
     px = f2(spark, d).withColumns({"sky": (F.col("x") % 7).cast("double"), "skyRMS": 10.0 + F.col("y") % 5})
-    return S.segment_stats(px, 64, NY2, magzero=30.0, gain=2.0, pixscale=0.339, rotstats=True, boundstats=True, cor_err={10.0: 0.1, 100.0: 0.02})
+    return S.segment_stats(px, 64, height(spark, d), magzero=30.0, gain=2.0, pixscale=0.339, rotstats=True, boundstats=True, cor_err={10.0: 0.1, 100.0: 0.02})
