@@ -24,24 +24,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model).where("score < 0.7").drop("score")
 
 
+def keyed(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a number ``__row`` of each row's own; written, so that it is the same in every use."""
+    return Scratch(spark, name).keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of near copies; documents without words stay.
+    """One row of each component of near copies; documents without words stay.
 
-    Rows without an id go where their text also has one with an id.
+    That with the smallest id stays, of equal ids the first row; rows without an id come last.  Every row
+    is judged by its own text, whatever other rows have its id or none.
     """
-    comps = jaccard_components(docs.select("doc_id", "text"))
-    comps = Scratch(spark, "near-copies").keep(comps)
-    gone = comps.where("not (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    repeated = comps.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    rows = keyed(spark, docs, "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("id")
+    comps = jaccard_components(rows.select(place, "text"), id_col="id")
+    gone = Scratch(spark, "near-copies").keep(comps.where("id <> component_id").select("id.__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    found = contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    """Rows without a benchmark window, each judged by its own text."""
+    rows = keyed(spark, docs, "rows")
+    found = contamination(rows.select("__row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    return rows.join(found.where("contaminated").select("__row"), "__row", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,20 @@ def test_odd_rows_survive(spark):
     assert sorted(r["doc_id"] for r in docs.collect()) == [1, 2, 3, 4]
 
 
+def test_rows_are_judged_one_by_one(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    rows = lambda *of: spark.createDataFrame([(i, t, None, None, None) for i, t in of], schema)
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    copy, own, twice = "a b c d e f", "clean words of its own here", "null twins with the same few words"
+    docs = rows((7, copy), (9, copy), (None, copy), (None, own), (None, twice), (None, twice), (3, copy), (3, "another text under the same id"), (7, "kept although the other row goes"))
+    expected = [(3, copy), (3, "another text under the same id"), (7, "kept although the other row goes"), (None, own), (None, twice)]
+    assert left(corpus_pipeline.drop_near_copies(spark, docs, DATA)) == sorted(expected, key=repr)
+
+    leak = max((r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()), key=len)
+    docs = rows((None, leak), (None, own), (None, copy), (5, leak), (5, own), (6, copy))
+    assert left(corpus_pipeline.drop_contaminated(spark, docs, DATA)) == sorted([(None, own), (None, copy), (5, own), (6, copy)], key=repr)
+
+
 def test_registered_query_names():
     import __spark_entry__
 
