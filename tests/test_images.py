@@ -194,6 +194,22 @@ def test_psf_update_is_the_minimum(spark):
     assert got["flux"] == pytest.approx(100)
 
 
+def test_gain_is_that_of_all_bins(spark):
+    rng = np.random.default_rng(3)
+    n = 150_000  # mostly different pairs of flux and sky; the brightest are the noisiest
+    sky = 10_000 + np.arange(n) // 10 / 10
+    flux = np.round(sky + rng.normal(0, np.where(np.arange(n) < 110_000, 20.0, 400.0)))
+    px = spark.createDataFrame([(float(f), float(s)) for f, s in zip(flux, sky, strict=True)], "flux double, sky double")
+    low = min(flux.min(), 0.0)
+
+    def cost(g):
+        v, m = flux - low, np.round(sky - low, 1)
+        return -(v * g * np.log(m * g) - m * g + np.log(g)).sum() + sum(math.lgamma(x * g + 1) for x in v.tolist())
+
+    got = D.gain_estimate(px)
+    assert cost(got) < min(cost(got * 0.99), cost(got * 1.01))
+
+
 def test_deblended_flux_is_shared_out_whole(spark):
     a = np.zeros((12, 8))
     a[2:10, 2:6] = np.random.default_rng(1).uniform(1, 9, (8, 4))
