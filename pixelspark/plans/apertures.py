@@ -144,5 +144,5 @@ def apr_moment_ellipse(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def apr_superellipse(spark: SparkSession, d: str) -> DataFrame:
     """APR-13 with a box fit."""
-    px = f2(spark, d).where("segID between 1 and 60")
+    px = f2(spark, d)
     return A.superellipse(px, A.moment_ellipse(px))

@@ -28,3 +28,10 @@ def test_queries_on_f2_equal_the_sql_without_its_bound(spark, name):
     result = con.execute(sql)
     order = [c[0] for c in result.description]
     assert sorted(map(tuple, got.select(*order).collect())) == sorted(result.fetchall())
+
+
+def test_superellipse_of_every_segment(spark):
+    d = "/root/testdata/sf0.001"
+    labels = fixtures.f2(spark, d).where("segID > 0").select("segID").distinct()
+    got = registry.queries()["apr_superellipse"](spark, d).select("segID").distinct()
+    assert labels.count() == 400 and got.count() == 400
