@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as D
 from ..operators import pipeline as P
+from ..operators import segments as G
 from ..operators import stats as S
 from .catalogues import CONFIG
 from .filters import _K, PSF
@@ -68,6 +69,11 @@ def dbl_line(spark: SparkSession, d: str) -> DataFrame:
     return _out(D.deblend_line(px.where("segID > 0").select("x", "y", "flux", "segID"), groups_of(spark, px), stats))
 
 
+def all_groups(px: DataFrame) -> DataFrame:
+    """The groups of touching segments of the whole map."""
+    return G.group_segments(px.select("x", "y", "segID"))[0]
+
+
 def _stats(px: DataFrame) -> DataFrame:
     return S.segment_flux(px).join(S.brightest(px), "segID").withColumns({"ang": F.lit(0.0), "axrat": F.lit(0.8)})
 
@@ -76,14 +82,14 @@ def _stats(px: DataFrame) -> DataFrame:
 def dbl_spline(spark: SparkSession, d: str) -> DataFrame:
     """DBL-2 (spline), DBL-5."""
     px = f2(spark, d)
-    return D.deblend_iterative(px.where("segID > 0").select("x", "y", "flux", "segID"), groups_of(spark, px), _stats(px))
+    return D.deblend_iterative(px.where("segID > 0").select("x", "y", "flux", "segID"), all_groups(px), _stats(px))
 
 
 @query()
 def dbl_psf(spark: SparkSession, d: str) -> DataFrame:
     """DBL-4."""
     px = f2(spark, d)
-    return D.deblend_psf(px.where("segID > 0").select("x", "y", "flux", "segID"), groups_of(spark, px), _stats(px), PSF)
+    return D.deblend_psf(px.where("segID > 0").select("x", "y", "flux", "segID"), all_groups(px), _stats(px), PSF)
 
 
 @query(

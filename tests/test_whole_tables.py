@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pixelspark.operators import segments
 from pixelspark.plans import fixtures, registry
 
 DATA = "/root/testdata/sf0.1"
@@ -35,3 +36,12 @@ def test_superellipse_of_every_segment(spark):
     labels = fixtures.f2(spark, d).where("segID > 0").select("segID").distinct()
     got = registry.queries()["apr_superellipse"](spark, d).select("segID").distinct()
     assert labels.count() == 400 and got.count() == 400
+
+
+@pytest.mark.parametrize("name", ["dbl_spline", "dbl_psf"])
+def test_every_group_is_deblended(spark, name):
+    d = "/root/testdata/sf0.001"
+    groups = segments.group_segments(fixtures.f2(spark, d).select("x", "y", "segID"))[0].where("Ngroup > 1")
+    expected = groups.select("groupID", F.explode("segIDs").alias("segID")).collect()
+    got = registry.queries()[name](spark, d).select("groupID", "segID").collect()
+    assert len(expected) > 9 and sorted(map(tuple, got)) == sorted(map(tuple, expected))
