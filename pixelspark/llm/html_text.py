@@ -9,6 +9,7 @@ lines around them, list items get markers and hang, table cells are padded into
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 
@@ -45,7 +46,6 @@ IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
 }
 #: End tags do not reach through these.
 BARRIERS = frozenset(["table", "td", "th", "caption"])
-MAX_DEPTH = 150
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/><]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
@@ -70,7 +70,7 @@ def _attributes(source: str) -> dict[str, str]:
 def build(html: str) -> Node:
     """The tree of a page; children are nodes and strings (entities decoded)."""
     root = Node("body", {})
-    stack, depth_lost = [root], 0
+    stack = [root]
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -147,8 +147,7 @@ def build(html: str) -> Node:
             end = html.find(">", close.start()) if close else -1
             at = n if end < 0 else end + 1
             continue
-        if len(stack) < MAX_DEPTH:  # deeper elements become siblings; their text stays
-            stack.append(node)
+        stack.append(node)
     return root
 
 
@@ -385,7 +384,14 @@ def title_of(root: Node) -> str | None:
 def extract(html: str) -> tuple[str, str | None]:
     """Visible text of a page, laid out, and its title."""
     root = build(html)
-    return "\n".join(layout(root)), title_of(root)
+    # The renderer takes at most four frames a level, and no page is deeper than its tags; calls from Python
+    # to Python do not use the C stack, so only the counter of frames has to allow for it.
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(min(2**31 - 1, before + 4 * html.count("<")))
+    try:
+        return "\n".join(layout(root)), title_of(root)
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +407,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     Returns the id, ``text`` and ``title``.  A null page gives a null text, an empty one an empty
     text; a page without tags is text.  Hidden elements (by element, the ``hidden`` attribute
     or an inline ``display: none`` or ``visibility: hidden``) are left out with all they hold.  Elements
-    nested deeper than 150 become siblings, so no text is lost.  Rows are independent: repeated
+    may be nested to any depth.  Rows are independent: repeated
     rows and null ids stay, an empty table gives an empty result, other columns are ignored.
     """
     kind = dict(pages.dtypes)[id_col]

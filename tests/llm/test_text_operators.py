@@ -157,3 +157,14 @@ def test_html_rows(spark):
     got = extract_text(df).collect()
     assert sorted((r["page_id"] or 0, r["text"] or "", r["title"] or "") for r in got) == [(0, "y", ""), (1, "", ""), (2, "", ""), (2, "x", "T")]
     assert extract_text(df.limit(0)).isEmpty()
+
+
+def test_deep_elements_keep_their_rules():
+    page = "<div hidden>no</div><audio>no</audio><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>cc<td>d</table><pre>x\n  y</pre>"
+    flat = extract(page)[0]
+    assert "no" not in flat and "- one" in flat
+    for tag in ("b", "div", "span"):
+        assert extract(f"<{tag}>" * 400 + page)[0] == flat
+    assert extract("<div>" * 200 + "in" + "</div>" * 200 + "<p>after")[0] == "in\n\nafter"
+    for deep in ("<span>", "<div>", "<table><tr><td>", "<div><pre>"):
+        assert extract(deep * 20_000 + "end")[0] == "end"
