@@ -219,11 +219,15 @@ class Flow:
 
 def _int(value: str | None, default: int) -> int:
     try:
-        return max(0, min(1000, int(value))) if value else default
+        return int(value) if value else default
     except ValueError:
         return default
 
 
+def _span(value: str | None) -> int:
+    return max(1, min(1000, _int(value, 1)))
+
+
 def _cells(table: Node) -> tuple[list[list[str]], list[list[tuple[int, Node]]]]:
     """Captions as lines, and for each row (column, cell), spans taken into account."""
     captions, rows, taken = [], [], {}
@@ -235,14 +239,18 @@ def _cells(table: Node) -> tuple[list[list[str]], list[list[tuple[int, Node]]]]:
             if child.tag == "tr":
                 row, column = [], 0
                 for cell in child.children:
-                    if isinstance(cell, str) or not visible(cell):
+                    if isinstance(cell, str):
+                        if cell.strip():  # shown before the table
+                            captions.append([_SPACE.sub(" ", cell).strip()])
+                        continue
+                    if not visible(cell):
                         continue
                     while taken.get(column, 0) > 0:
                         column += 1
                     row.append((column, cell))
-                    for c in range(column, column + max(1, _int(cell.attrs.get("colspan"), 1))):
-                        taken[c] = max(taken.get(c, 0), max(1, _int(cell.attrs.get("rowspan"), 1)))
-                    column += max(1, _int(cell.attrs.get("colspan"), 1))
+                    for c in range(column, column + _span(cell.attrs.get("colspan"))):
+                        taken[c] = max(taken.get(c, 0), _span(cell.attrs.get("rowspan")))
+                    column += _span(cell.attrs.get("colspan"))
                 for c in taken:
                     taken[c] -= 1
                 rows.append(row)
@@ -260,7 +268,7 @@ def _cells(table: Node) -> tuple[list[list[str]], list[list[tuple[int, Node]]]]:
 
 def _table(table: Node) -> list[str]:
     captions, rows = _cells(table)
-    filled = [[(c, layout(cell), max(1, _int(cell.attrs.get("colspan"), 1))) for c, cell in row] for row in rows]
+    filled = [[(c, layout(cell), _span(cell.attrs.get("colspan"))) for c, cell in row] for row in rows]
     width: dict[int, int] = {}
     for row in filled:
         for c, lines, span in row:

@@ -168,3 +168,9 @@ def test_deep_elements_keep_their_rules():
     assert extract("<div>" * 200 + "in" + "</div>" * 200 + "<p>after")[0] == "in\n\nafter"
     for deep in ("<span>", "<div>", "<table><tr><td>", "<div><pre>"):
         assert extract(deep * 20_000 + "end")[0] == "end"
+
+
+def test_text_of_a_row_and_large_list_numbers():
+    assert extract("<table><tr>note <td>a</td><td>b</td> more</tr></table>")[0] == "note\nmore\na  b"
+    assert extract("<ol start=2001><li>a<li>b</ol>")[0] == "2001. a\n2002. b"
+    assert extract("<ol start=-3><li>a</ol>")[0] == "-3. a"
