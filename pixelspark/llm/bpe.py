@@ -1,18 +1,19 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 For every merge rank there is a bucket of the linked-list positions where a pair of that rank
-starts.  Three levels of bitmaps mark the ranks that have entries, so the next rank is found by
-three find-first-set steps; entries whose pair has changed since are skipped.
+starts.  Two levels of bitmaps, of 256 bits a word, mark the ranks that have entries, so the next rank is found
+by two find-first-set steps; entries whose pair has changed since are skipped.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -21,80 +22,93 @@ from pyspark.sql import functions as F
 from .workers import kept
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Ids of one pre-token: always the lowest-ranked adjacent pair, the leftmost of equals.
+class RankQueue:
+    """The next merge of a pre-token: a bucket of linked-list positions for every rank.
 
-    ``after`` and ``before`` link the starts of the parts; the pair that starts at ``i`` is
-    ``piece[i : after[after[i]]]`` and ``now[i]`` its rank.  ``buckets[rank]`` is a heap of starts.
-    Bit r of ``low[r >> 6]`` marks a non-empty bucket, ``mid`` marks words of ``low`` and ``top``
-    words of ``mid``.  Entries whose pair has changed meanwhile are skipped.
+    Bit ``r & 255`` of ``low[r >> 8]`` marks a non-empty bucket and bit a of ``top`` a word of ``low`` that is not
+    zero, so two find-first-set steps give the lowest rank.  A bucket is a heap, for the leftmost of equal
+    ranks.  All are empty again after each pre-token and serve the next.
     """
-    get = ranks.get
-    whole = get(piece)
-    if whole is not None:
-        return (whole,)
-    n = len(piece)
-    now = [get(piece[i : i + 2]) for i in range(n - 1)]
-    now.append(None)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    buckets: dict[int, list[int]] = {}
-    low: dict[int, int] = {}
-    mid: dict[int, int] = {}
-    top = 0
-    new = list(enumerate(now))
-    while True:
-        for i, rank in new:
-            if rank is None:
-                continue
-            bucket = buckets.get(rank)
-            if bucket:
-                heappush(bucket, i)
-                continue
-            buckets[rank] = [i]
-            a = rank >> 6
-            b = a >> 6
-            low[a] = low.get(a, 0) | 1 << (rank & 63)
-            mid[b] = mid.get(b, 0) | 1 << (a & 63)
-            top |= 1 << b
-        if not top:
-            break
-        b = (top & -top).bit_length() - 1
-        word = mid[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        bits = low[a]
-        rank = a << 6 | (bits & -bits).bit_length() - 1
-        bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
-            low[a] = bits = bits & (bits - 1)
-            if not bits:
-                mid[b] = word = word & (word - 1)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        size = max(ranks.values(), default=0) + 1
+        self.buckets: list[list[int]] = [[] for _ in range(size)]
+        self.low = [0] * ((size >> 8) + 1)
+        self.bit = [1 << i for i in range(256)]
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token: always the lowest-ranked adjacent pair, the leftmost of equals.
+
+        ``after`` and ``before`` link the starts of the parts; the pair that starts at ``i`` is
+        ``piece[i : after[after[i]]]`` and ``now[i]`` its rank.  Entries whose pair has changed
+        since they were queued are skipped.
+        """
+        get = self.ranks.get
+        whole = get(piece)
+        if whole is not None:
+            return [whole]
+        buckets, low, bit = self.buckets, self.low, self.bit
+        n, top = len(piece), 0
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [get(piece[i : i + 2]) for i in range(n - 1)]
+        now.append(None)
+        for i, r in enumerate(now):
+            if r is not None:
+                bucket = buckets[r]
+                if not bucket:
+                    a = r >> 8
+                    low[a] |= bit[r & 255]
+                    top |= 1 << a
+                bucket.append(i)  # ascending, so a heap
+        while top:
+            a = (top & -top).bit_length() - 1
+            word = low[a]
+            first = word & -word
+            rank = (a << 8) + first.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                low[a] = word = word ^ first
                 if not word:
                     top &= top - 1
-        new = []
-        if now[i] != rank:
-            continue
-        j = after[i]
-        k = after[i] = after[j]
-        now[j] = None
-        if k < n:
-            before[k] = i
-            now[i] = r = get(piece[i : after[k]])
-            new.append((i, r))
-        else:
-            now[i] = None
-        h = before[i]
-        if h >= 0:
-            r = get(piece[h:k])
-            if r != now[h]:  # an equal rank still has its entry
-                now[h] = r
-                new.append((h, r))
-    out, i = [], 0
-    while i < n:
-        k = after[i]
-        out.append(ranks[piece[i:k]])
-        i = k
-    return tuple(out)
+            if now[i] != rank:
+                continue
+            j = after[i]
+            k = after[i] = after[j]
+            now[j] = None
+            new = []
+            if k < n:
+                before[k] = i
+                now[i] = r = get(piece[i : after[k]])
+                if r is not None:
+                    new.append((r, i))
+            else:
+                now[i] = None
+            h = before[i]
+            if h >= 0:
+                r = get(piece[h:k])
+                if r != now[h]:  # an equal rank still has its entry
+                    now[h] = r
+                    if r is not None:
+                        new.append((r, h))
+            for r, i in new:
+                bucket = buckets[r]
+                if bucket:
+                    heappush(bucket, i)
+                else:
+                    bucket.append(i)
+                    a = r >> 8
+                    low[a] |= bit[r & 255]
+                    top |= 1 << a
+        out, i = [], 0
+        while i < n:
+            k = after[i]
+            out.append(get(piece[i:k]))
+            i = k
+        return out
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -103,37 +117,46 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _Known(dict):
-    """Ids of recent pre-tokens: two generations, so frequent ones stay when the older goes."""
+    """What recent pre-tokens became: two generations, so frequent ones stay when the older goes.
 
-    def __init__(self, ranks: dict[bytes, int], each: int, longest: int):
-        self.ranks, self.each, self.longest, self.older = ranks, each, longest, {}
+    An entry holds the decimal ids joined by commas, the bytes its ids decode to, and the ids as int32.
+    """
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = merge(piece.encode(), self.ranks)
+    def __init__(self, codec: Codec, each: int, longest: int):
+        self.codec, self.each, self.longest, self.older = codec, each, longest, {}
+
+    def __missing__(self, piece: str) -> tuple[str, bytes, bytes]:
+        entry = self.older.get(piece)
+        if entry is None:
+            ids = self.codec.merge(piece.encode())
+            entry = (",".join(map(str, ids)), self.codec.decode(ids), array("i", ids).tobytes())
         if len(piece) <= self.longest:
             if len(self) >= self.each:
                 self.older = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[piece] = entry
+        return entry
 
 
 class Codec:
     """Encodes and decodes with one vocabulary; recent pre-tokens are remembered, up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 600_000, longest: int = 64):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
+        self.merge = RankQueue(ranks).merge
         self.tokens = {r: t for t, r in ranks.items()}
-        self.names = {r: str(r) for r in self.tokens}
-        self.known = _Known(ranks, remember // 2, longest)
+        self.known = _Known(self, remember // 2, longest)
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
+        return array("i", self.coded(text)[2]).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def coded(self, text: str) -> tuple[str, bytes, bytes]:
+        """Decimal ids joined by commas, the bytes they decode to, and the ids as int32, of a whole text."""
+        names, decoded, ids = zip(*map(self.known.__getitem__, self.find(text)), strict=True) if text else ((), (), ())
+        return ",".join(names), b"".join(decoded), b"".join(ids)
 
 
 def _encoder(vocabulary, pattern: str, with_ids: bool):
@@ -141,20 +164,19 @@ def _encoder(vocabulary, pattern: str, with_ids: bool):
         # what a worker has learned serves its later tasks too
         name = hashlib.sha256(vocabulary.value + pattern.encode()).hexdigest()
         codec = kept(name, lambda: Codec(read_ranks(vocabulary.value), pattern))
-        names = codec.names.__getitem__
         for batch in batches:
-            counts, digests, decoded, all_ids = [], [], [], []
+            counts, digests, sources, all_ids = [], [], [], []
             for text in batch.column(batch.num_columns - 1):
-                ids = codec.encode(text.as_py() or "")
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                names, decoded, ids = codec.coded(text.as_py() or "")
+                counts.append(len(ids) // 4)
+                digests.append(hashlib.sha256(names.encode()).hexdigest())
+                sources.append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
                     all_ids.append(ids)
-            columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(sources, pa.string())]
             names_out = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.frombuffer(b"".join(all_ids), np.int32))))
                 names_out.append("ids")
             yield pa.record_batch(columns, names=names_out)
 

@@ -11,7 +11,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pixelspark.llm.bpe import Codec, encode_documents, merge, read_ranks
+from pixelspark.llm.bpe import Codec, RankQueue, encode_documents, read_ranks
 from pixelspark.llm.html_text import extract, extract_text
 from pixelspark.llm.licenses import scan_licenses
 from pixelspark.llm.secrets_scan import base_spans, confirmed_spans, mask_secrets, redact, scan_secrets
@@ -53,7 +53,7 @@ def test_bpe_cache_generations_change_nothing():
 
 def test_merge_takes_the_leftmost_of_equal_ranks():
     ranks = {bytes([i]): i for i in range(97, 101)} | {b"aa": 200}
-    assert merge(b"aaa", ranks) == (200, 97)
+    assert RankQueue(ranks).merge(b"aaa") == [200, 97]
 
 
 def test_bpe_rows(odd):
