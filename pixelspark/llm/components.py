@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Smallest reachable node for every node of ``links(a, b)``; returns ``(node, component)``.
 
     Every round takes the smallest label over a node's neighbours and then follows the labels
@@ -22,7 +22,7 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 2
     )
     n = both.count()  # at least one row for each node
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), n)
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
         hooked = scratch.keep(labels.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("before")), n)
         jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -32,5 +32,5 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 2
         scratch.drop(labels, hooked)
         labels = nxt
         if not changed:
+            scratch.drop(both)
             return labels.select("node", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,13 +8,15 @@ those prefixes before it is verified.
 
 The rarity of a shingle is counted over all documents without moving a row for each of them:
 tokens travel as sorted, packed blocks to the part of the token range they belong to, and only
-tokens that occur more than once travel back to their documents.  A document's tokens that do
-not come back are its own; they lead its prefix and can match nothing, and shared tokens are
-all among those that came back, so verification needs no other.
+tokens that occur more than once travel back to their documents, under short dense ids.  A document's
+tokens that do not come back are its own; they lead its prefix and can match nothing, and shared tokens
+are all among those that came back, so verification needs no other.  Tokens that a first pass finds hot
+(a line in a share of all documents) are known to be repeated: they never meet in a part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -93,34 +95,117 @@ def set_digest(tokens: np.ndarray) -> int:
     return int((mix(total[:1]) * _ODD[1] + mix(total[1:] + _ODD[2])).view(np.int64)[0])
 
 
-def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _often(tokens: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that occur ``least`` times or more, and how often."""
+    t = np.concatenate([np.zeros(0, np.uint64), *tokens]) >> np.uint64(64 - TOKEN_BITS)
+    cell = (t >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)
+    t = t[np.bincount(cell, minlength=1 << 22)[cell] >= least]
+    token, count = np.unique(t, return_counts=True)
+    return token[count >= least], count[count >= least]
+
+
+def _describe(batches: Iterator[pa.RecordBatch], words: int, least: int = 8, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Id, digest and size of each set; and, marked ``often``, tokens frequent in a lot of distinct sets."""
+    seen: set[int] = set()
+    held, n, names = [], 0, ["id", "node", "n", "often"]
+
+    def frequent(kind: pa.DataType) -> pa.RecordBatch:
+        token, count = _often(held, least)
+        return pa.record_batch([pa.nulls(len(token), kind), pa.array(token.astype(np.int64)), pa.array(count), pa.array(np.ones(len(token), bool))], names=names)
+
+    kind = None
     for batch in batches:
-        sets = [(set_digest(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column(1), words)]
-        yield pa.record_batch([batch.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64())], names=["id", "node", "n"])
+        kind, node, size = batch.schema.field(0).type, [], []
+        for s in shingle_sets(batch.column(1), words):
+            digest = set_digest(s) if len(s) else None
+            node.append(digest)
+            size.append(len(s))
+            if digest is not None and digest not in seen:
+                seen.add(digest)
+                held.append(s)
+                n += len(s)
+                if n >= flush:
+                    yield frequent(kind)
+                    held, n = [], 0
+        yield pa.record_batch([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(np.zeros(len(node), bool))], names=names)
+    if kind is not None:
+        yield frequent(kind)
+    release()
 
 
 _BLOCK = "part int, kind int, node binary, a binary, b binary, c binary"
 _NAMES, _KINDS = ["part", "kind", "node", "a", "b", "c"], (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-DOCS, TOKENS = 0, 1
-# a document's number on the way: its bucket, the task that read it, and a count
-_BUCKET_SHIFT, _TASK_SHIFT = 44, 24
-MOST_PARTS = 1 << 18
+# what a row carries: documents (numbers, digests, sizes), tokens on the way to their part (numbers, the place of
+# each token's number, tokens), or repeated tokens on the way to their documents (numbers, tokens of each, ids, rarities)
+DOCS, TOKENS, READY = 0, 1, 2
+# a document's number on the way: its bucket, the task that read it, and a count; 63 bits
+_BUCKET_SHIFT, _TASK_SHIFT = 41, 20
+MOST_PARTS, MOST_TASKS, MOST_SETS = 1 << 22, 1 << 21, 1 << 20
 
 
 def _row(*values) -> pa.RecordBatch:
     return pa.record_batch([pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)], names=_NAMES)
 
 
-def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _bounds(parts: int, step: int) -> np.ndarray:
+    """Where every ``step``-th part of the token range begins, and its end."""
+    starts = (np.arange(0, parts, step, dtype=np.float64) * (2.0**TOKEN_BITS / parts)).astype(np.uint64)
+    return np.append(starts, np.uint64(1 << TOKEN_BITS))
+
+
+def _buckets(number: np.ndarray, step: int) -> Iterator[tuple[int, slice]]:
+    """Stretches of ascending document numbers by bucket, ``step`` buckets at once."""
+    bucket = (number >> np.uint64(_BUCKET_SHIFT)).astype(np.int64) // step
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(first.tolist(), np.append(first, len(bucket))[1:].tolist(), strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
+def _doc_rows(number: np.ndarray, digest: np.ndarray, size: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
+    """Documents by bucket; numbers ascend."""
+    for b, x in _buckets(number, step):
+        yield _row(b, DOCS, pack(number[x], step=True), pack(digest[x]), pack(size[x]), b"")
+
+
+def _token_rows(number: np.ndarray, owner: np.ndarray, token: np.ndarray, parts: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Tokens by part; tokens ascend, ``owner`` is the place of each one's document in ``number``, which ascends."""
+    cuts = np.searchsorted(token, _bounds(parts, step))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        o = owner[cuts[p] : cuts[p + 1]]
+        have = np.zeros(len(number), bool)
+        have[o] = True
+        yield _row(p, TOKENS, pack(number[have], step=True), pack((np.cumsum(have) - 1)[o]), pack(token[cuts[p] : cuts[p + 1]], step=True), b"")
+
+
+def _ready_rows(number: np.ndarray, token: np.ndarray, rarity: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
+    """Repeated tokens by bucket of their document; one number for each token, in any order."""
+    order = np.argsort(number, kind="stable")
+    number, token, rarity = number[order], token[order], rarity[order]
+    for b, x in _buckets(number, step):
+        o = number[x]
+        start = np.flatnonzero(np.diff(o, prepend=o[:1] ^ np.uint64(1)))
+        yield _row(b, READY, pack(o[start], step=True), pack(np.diff(np.append(start, len(o)))), pack(token[x]), pack(rarity[x]))
+
+
+def _rarity(df: np.ndarray) -> np.ndarray:
+    """Classes of document frequency; equal classes are ordered by token."""
+    return np.minimum(255, (8 * np.log2(np.maximum(df, 1))).astype(np.int64))
+
+
+def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, step: int, hot, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Packed (token, document) blocks by part of the token range; a set once a task.
 
     A document gets a short number for the way: its bucket (by the set's digest), the task, and a count,
     so the numbers in a block are nearly consecutive and cost next to nothing.  A repeated task
-    gives the same numbers, as it reads the same rows.
+    gives the same numbers, as it reads the same rows.  Hot tokens need no part: they are known to be
+    repeated and have their rarity, so they go to the buckets of their documents at once.
     """
     task = TaskContext.get().partitionId()
+    if task >= MOST_TASKS:
+        raise ValueError(f"more than {MOST_TASKS} input partitions: read the table in larger ones")
+    hot_token, hot_rarity = hot.value
     seen: set[int] = set()
-    counts = [0] * parts
+    counts: dict[int, int] = {}
     nodes, digests, sizes, tokens, held = [], [], [], [], 0
 
     def blocks() -> Iterator[pa.RecordBatch]:
@@ -128,23 +213,21 @@ def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, flush: int
         rank = np.argsort(node)
         place = np.empty(len(node), np.uint32)
         place[rank] = np.arange(len(node), dtype=np.uint32)
-        node, digest, ordered = node[rank], digest[rank], size[rank]
-        bucket = (node >> np.uint64(_BUCKET_SHIFT)).astype(np.int64)
-        for b in np.unique(bucket):
-            x, y = np.searchsorted(bucket, [b, b + 1])
-            yield _row(int(b), DOCS, pack(node[x:y], step=True), pack(digest[x:y]), pack(ordered[x:y]), b"")
+        node = node[rank]
+        yield from _doc_rows(node, digest[rank], size[rank], step)
         token, owner = np.concatenate(tokens), np.repeat(place, size)
         order = np.argsort(token)
         token, owner = token[order], owner[order]
         del order
-        cuts = np.searchsorted(token, (np.arange(parts + 1, dtype=np.float64) * (2.0**TOKEN_BITS / parts)).astype(np.uint64))
-        cuts[-1] = len(token)
-        for p in range(parts):
-            t, o = token[cuts[p] : cuts[p + 1]], owner[cuts[p] : cuts[p + 1]]
-            if len(t):
-                have = np.zeros(len(node), bool)
-                have[o] = True
-                yield _row(p, TOKENS, pack(node[have], step=True), pack((np.cumsum(have) - 1)[o]), pack(t, step=True), b"")
+        if len(hot_token):
+            a, b = np.searchsorted(token, hot_token), np.searchsorted(token, hot_token, side="right")
+            which = np.repeat(np.arange(len(hot_token)), b - a)
+            at = np.arange(len(which)) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)
+            yield from _ready_rows(node[owner[at]], which, hot_rarity[which], step)
+            rest = np.ones(len(token), bool)
+            rest[at] = False
+            token, owner = token[rest], owner[rest]
+        yield from _token_rows(node, owner, token, parts, step)
 
     release()
     try:
@@ -157,8 +240,10 @@ def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, flush: int
                     continue
                 seen.add(digest)
                 bucket = ((digest ^ digest >> 29) & 0xFFFFFFFF) % parts
-                nodes.append(bucket << _BUCKET_SHIFT | task << _TASK_SHIFT | counts[bucket])
-                counts[bucket] += 1
+                count = counts[bucket] = counts.get(bucket, -1) + 1
+                if count >= MOST_SETS:
+                    raise ValueError(f"more than {MOST_SETS} sets of one bucket in a task: read the table in smaller partitions")
+                nodes.append(bucket << _BUCKET_SHIFT | task << _TASK_SHIFT | count)
                 digests.append(digest)
                 sizes.append(len(s))
                 tokens.append(s >> np.uint64(64 - TOKEN_BITS))
@@ -172,17 +257,59 @@ def _post(batches: Iterator[pa.RecordBatch], words: int, parts: int, flush: int
         release()
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Tokens of a part that more than one document holds, by bucket of the document; and what is on its way there."""
-    rows: list[list] = [[], [], [], [], [], []]
+def _spread(batches: Iterator[pa.RecordBatch], parts: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Blocks for several parts at once, dealt out to each part: the second half of an exchange to very many."""
+    lots: dict[int, list[list[np.ndarray]]] = {kind: [[], [], []] for kind in (DOCS, TOKENS, READY)}
+    held = 0
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        columns = {kind: [np.concatenate([np.zeros(0, np.uint64), *c]) for c in lot] for kind, lot in lots.items()}
+        number, digest, size = columns[DOCS]
+        order = np.argsort(number)
+        yield from _doc_rows(number[order], digest[order], size[order], 1)
+        number, token, _ = columns[TOKENS]
+        number, owner = np.unique(number, return_inverse=True)
+        order = np.argsort(token)
+        yield from _token_rows(number, owner[order], token[order], parts, 1)
+        yield from _ready_rows(*columns[READY], 1)
+        for lot in lots.values():
+            for c in lot:
+                c.clear()
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            number, kind = unpack(row["node"]), row["kind"]
+            if kind == DOCS:
+                values = number, unpack(row["a"]), unpack(row["b"])
+            elif kind == TOKENS:
+                token = unpack(row["b"])
+                values = number[unpack(row["a"]).astype(np.int64)], token, token[:0]
+            else:
+                values = np.repeat(number, unpack(row["a"]).astype(np.int64)), unpack(row["b"]), unpack(row["c"])
+            for column, v in zip(lots[kind], values, strict=True):
+                column.append(v)
+            held += len(values[0])
+            if held >= flush:
+                yield from blocks()
+                held = 0
+    yield from blocks()
+    release()
+
+
+def _repeated(table: pa.Table, parts: int, step: int, hot: int) -> pa.Table:
+    """Tokens of a part that more than one document holds, by bucket of the document; and what is on its way there.
+
+    Repeated tokens get short ids, dense over all parts: the ``i``-th of part p is ``hot + i * parts + p``.
+    """
+    out: list[pa.RecordBatch] = []
     cols: list[list[np.ndarray]] = [[], []]
+    p = table.column("part")[0].as_py() if table.num_rows else 0
     for row in table.to_pylist():
-        if row["kind"] == DOCS:
-            for column, name in zip(rows, _NAMES, strict=True):
-                column.append(row[name])
-        else:
+        if row["kind"] == TOKENS:
             cols[0].append(unpack(row["node"])[unpack(row["a"]).astype(np.int64)])
             cols[1].append(unpack(row["b"]))
+        else:
+            out.append(_row(row["part"] // step, *(row[name] for name in _NAMES[1:])))
     if cols[0]:
         node, token = np.concatenate(cols[0]), np.concatenate(cols[1])
         del cols
@@ -190,27 +317,28 @@ def _repeated(table: pa.Table) -> pa.Table:
         token, node = token[order], node[order]
         first = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)))
         count = np.diff(np.append(first, len(token)))
-        df = np.repeat(count, count)
-        keep = df > 1
-        token, node, df = token[keep], node[keep], df[keep]
-        # what follows needs the order of rarities only; equal classes are ordered by token
-        rarity = np.minimum(255, (8 * np.log2(np.maximum(df, 1))).astype(np.int64))
-        order = np.argsort(node, kind="stable")  # tokens stay in order within a document
-        token, node, rarity = token[order], node[order], rarity[order]
-        bucket = (node >> np.uint64(_BUCKET_SHIFT)).astype(np.int64)
-        for b in np.unique(bucket):
-            x, y = np.searchsorted(bucket, [b, b + 1])
-            o = node[x:y]
-            start = np.flatnonzero(np.diff(o, prepend=o[:1] ^ np.uint64(1)))
-            row = (int(b), TOKENS, pack(o[start], step=True), pack(np.diff(np.append(start, len(o)))), pack(token[x:y]), pack(rarity[x:y]))
-            for column, v in zip(rows, row, strict=True):
-                column.append(v)
-    out = pa.table([pa.array(c, k) for c, k in zip(rows, _KINDS, strict=True)], names=_NAMES)
+        keep = np.repeat(count > 1, count)
+        count = count[count > 1]
+        name = np.repeat(np.arange(len(count), dtype=np.uint64) * np.uint64(parts) + np.uint64(hot + p), count)
+        out += _ready_rows(node[keep], name, np.repeat(_rarity(count), count), step)
     release()
-    return out
+    return pa.Table.from_batches(out, pa.schema(list(zip(_NAMES, _KINDS, strict=True))))
+
+
+_PREFIX = "node long, n long, repeated long, l int, tokens binary, prefix array<long>, layer array<int>"
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Ascending non-negative integers in as few bytes as the largest needs."""
+    values = np.ascontiguousarray(values, dtype=np.uint64)
+    width = max(1, (int(values[-1]).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-_PREFIX = "node long, n long, repeated long, l int, tokens array<long>, prefix array<long>, layer array<int>"
+def widen(data: bytes) -> np.ndarray:
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    return out.view(np.uint64).reshape(-1)
 
 
 def _prefixes(table: pa.Table, percent: int, longest: int, verify_cost: float) -> pa.Table:
@@ -255,19 +383,33 @@ def _prefixes(table: pa.Table, percent: int, longest: int, verify_cost: float) -
         cost = others[lengths - 1] * (1 + verify_cost / np.arange(1, longest + 1))
         best = int(cost[: held - one + 1].argmin()) + 1
         length = min(one + best - 1, held)
-        row = (node[a], size, held, best, np.sort(token[a:b]).astype(np.int64), token[a : a + length].astype(np.int64), np.maximum(1, np.arange(length) - one + 2).astype(np.int32))
+        row = (node[a], size, held, best, narrow(np.sort(token[a:b])), token[a : a + length].astype(np.int64), np.maximum(1, np.arange(length) - one + 2).astype(np.int32))
         for column, x in zip(out, row, strict=True):
             column.append(x)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
     made = pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "n", "repeated", "l", "tokens", "prefix", "layer"])
     release()
     return made
 
 
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of the intersections of the sets ``ta`` and ``tb``."""
+    for batch in batches:
+        a, b = batch.column("ta"), batch.column("tb")
+        both, last, v = np.zeros(batch.num_rows, np.int64), None, None
+        for i in range(batch.num_rows):
+            u, packed = widen(a[i].as_py()), b[i].as_py()
+            if packed != last:
+                last, v = packed, widen(packed)
+            at = np.searchsorted(u, v)
+            both[i] = np.count_nonzero(u[np.minimum(at, len(u) - 1)] == v)
+        yield pa.record_batch([*batch.select(["a", "b", "na", "nb"]).columns, pa.array(both)], names=["a", "b", "na", "nb", "both"])
+
+
 def _with_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``both``, the exact size of the intersection, and the sizes ``na`` and ``nb``."""
+    """Adds ``both``, the size of the intersection, and the sizes ``na`` and ``nb``."""
     a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in ("a", "b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na long, nb long, both long")
 
 
 def _meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,6 +431,8 @@ def jaccard_components(
     verify_cost: float = 8.0,
     short_list: int = 16,
     part_tokens: int = 1_000_000,
+    often: int = 4096,
+    fan: int = 4096,
 ) -> DataFrame:
     """Components of documents that link at a shingle similarity of ``percent`` or more.
 
@@ -311,15 +455,30 @@ def jaccard_components(
     scratch = Scratch(spark, "jaccard")
     kind = dict(rows.dtypes)[id_col]
     slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = scratch.keep(slim.mapInArrow(partial(_describe, words=words), f"id {kind}, node long, n long"))
+    described = scratch.keep(slim.mapInArrow(partial(_describe, words=words), f"id {kind}, node long, n long, often boolean"))
+    base = described.where("not often").drop("often")
     total = base.agg(F.sum("n")).first()[0] or 0
     if not total:
         return base.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens)))
-    blocks = slim.select("text").mapInArrow(partial(_post, words=words, parts=parts), _BLOCK)
-    back = blocks.groupBy("part").applyInArrow(lambda t: _repeated(t), _BLOCK)
-    prefixes = back.groupBy("part").applyInArrow(lambda t: _prefixes(t, percent, longest, verify_cost), _PREFIX)
-    sets = scratch.keep(prefixes)
+    # each hot token has at least 1 / 65536 of all occurrences, so there are at most 65536
+    frequent = described.where("often").groupBy("node").agg(F.sum("n").alias("df")).where(F.col("df") >= max(often, total >> 16)).toArrow()
+    token, df = (frequent.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(token)
+    hot = spark.sparkContext.broadcast((token[order].astype(np.uint64), _rarity(df[order])))
+    n_hot = len(token)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-total // part_tokens)))
+    step = 1 if parts <= fan else -(-parts // math.isqrt(parts))
+
+    def dealt(blocks: DataFrame):
+        """The blocks by part; to many parts in two exchanges, as one lot would leave next to nothing for each."""
+        if step > 1:
+            blocks = blocks.repartition(-(-parts // step), "part").mapInArrow(lambda it: _spread(it, parts), _BLOCK)
+        return blocks.groupBy("part")
+
+    blocks = slim.select("text").mapInArrow(lambda it: _post(it, words, parts, step, hot), _BLOCK)
+    back = dealt(blocks).applyInArrow(lambda t: _repeated(t, parts, step, n_hot), _BLOCK)
+    sets = scratch.keep(dealt(back).applyInArrow(lambda t: _prefixes(t, percent, longest, verify_cost), _PREFIX))
+    scratch.forget()
     n = sets.count()  # documents that may have partners
 
     posts = sets.select("node", "n", "repeated", "l", F.explode(F.arrays_zip("prefix", "layer")).alias("z")).select("node", "n", "repeated", "l", F.col("z.prefix").alias("token"), F.col("z.layer").alias("layer"))
@@ -348,6 +507,8 @@ def jaccard_components(
     pairs = short.unionByName(rest).distinct()
     found = _with_overlap(pairs, sets).where(linked).select("a", "b").unionByName(star.where("linked").select("a", "b"))
     comps = connected_components(found, scratch)
+    scratch.drop(posts, star, member, sets)
+    scratch.forget()
 
     least = base.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     joined = comps.join(least, "node")

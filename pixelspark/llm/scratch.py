@@ -38,11 +38,11 @@ class Scratch:
         self.n = 0
 
     def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """The table as written and read again; with an estimate of its rows, in few files if it is small."""
+        """The table as written and read again; with an estimate of its rows, dealt into few files if it is small."""
         path = f"{self.root}/{self.n}"
         self.n += 1
         if rows is not None:
-            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+            df = df.repartition(max(1, -(-rows // ROWS_A_FILE)))
         df.write.parquet(path)
         if self.n == 1:  # goes when the driver ends
             root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -56,3 +56,7 @@ class Scratch:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def forget(self) -> None:
+        """Lets Spark's cleaner delete the shuffles of what has been written: it acts when the driver collects garbage."""
+        self.spark._jvm.System.gc()

@@ -68,15 +68,16 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("seed,short_list", [(1, 16), (2, 1), (3, 1)])
-def test_jaccard_equals_brute_force(spark, seed, short_list):
+@pytest.mark.parametrize("seed,short_list,more", [(1, 16, {}), (2, 1, {}), (3, 1, {}), (4, 4, {"often": 10}), (5, 1, {"often": 10, "fan": 4, "part_tokens": 40}), (6, 16, {"fan": 2})])
+def test_jaccard_equals_brute_force(spark, seed, short_list, more):
+    """Also with hot tokens (``often``) and with exchanges in two steps (``fan``)."""
     rows = corpus(seed)
     sets, u = {i: shingles(t) for i, t in rows}, Union()
     for a, sa in sets.items():
         for b, sb in sets.items():
             if a < b and sa and sb and 100 * len(sa & sb) >= 75 * len(sa | sb):
                 u.join(a, b)
-    got = jaccard.jaccard_components(frame(spark, rows), short_list=short_list).collect()
+    got = jaccard.jaccard_components(frame(spark, rows), short_list=short_list, **more).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), u.find(r["doc_id"]))
@@ -91,6 +92,8 @@ def test_jaccard_odd_rows(spark):
 
 
 def test_pack_round_trip():
+    for v in (np.array([0], np.uint64), np.array([3, 255, 2**40], np.uint64)):
+        assert (jaccard.widen(jaccard.narrow(v)) == v).all()
     for v in (np.array([], np.uint64), np.array([0, 5, 2**47], np.uint64), np.sort(np.random.default_rng(1).integers(0, 2**48, 999)).astype(np.uint64)):
         assert (jaccard.unpack(jaccard.pack(v)) == v).all() and (jaccard.unpack(jaccard.pack(v, step=True)) == v).all()
 
