@@ -7,6 +7,7 @@ hold benchmark windows go; secrets are masked; what is left is encoded.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """The documents with a number ``__row`` of each row's own; written, so that it is the same in every use."""
+    """The documents with a key ``__row`` of each row's own, the same in every use.
+
+    Rows of a Parquet table have one already: their file (64 bits of its path's hash) and place in it.
+    Other rows are numbered and written.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("__row"))
+        except AnalysisException:
+            pass  # not Parquet
     return Scratch(spark, name).keep(docs.withColumn("__row", F.monotonically_increasing_id()))
 
 
@@ -38,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = keyed(spark, docs, "rows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("id")
     comps = jaccard_components(rows.select(place, "text"), id_col="id")
+    # written first: Spark sees its size, and sends a small one to the texts instead of dealing the texts out
     gone = Scratch(spark, "near-copies").keep(comps.where("id <> component_id").select("id.__row"))
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
@@ -46,7 +57,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows without a benchmark window, each judged by its own text."""
     rows = keyed(spark, docs, "rows")
     found = contamination(rows.select("__row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
-    return rows.join(found.where("contaminated").select("__row"), "__row", "left_anti").select(*docs.columns)
+    gone = Scratch(spark, "contaminated").keep(found.where("contaminated").select("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
