@@ -56,9 +56,17 @@ def test_odd_rows_survive(spark):
     assert sorted(r["doc_id"] for r in docs.collect()) == [1, 2, 3, 4]
 
 
-def test_rows_are_judged_one_by_one(spark):
+@pytest.mark.parametrize("stored", [False, True])
+def test_rows_are_judged_one_by_one(spark, tmp_path, stored):
     schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
-    rows = lambda *of: spark.createDataFrame([(i, t, None, None, None) for i, t in of], schema)
+
+    def rows(*of):
+        made = spark.createDataFrame([(i, t, None, None, None) for i, t in of], schema)
+        if not stored:
+            return made
+        made.write.mode("overwrite").parquet(str(tmp_path))  # a file for each partition
+        return spark.read.parquet(str(tmp_path))
+
     left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
     copy, own, twice = "a b c d e f", "clean words of its own here", "null twins with the same few words"
     docs = rows((7, copy), (9, copy), (None, copy), (None, own), (None, twice), (None, twice), (3, copy), (3, "another text under the same id"), (7, "kept although the other row goes"))
