@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -119,17 +118,17 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class _Known(dict):
     """What recent pre-tokens became: two generations, so frequent ones stay when the older goes.
 
-    An entry holds the decimal ids joined by commas, the bytes its ids decode to, and the ids as int32.
+    An entry holds the decimal ids joined by commas and the bytes its ids decode to.
     """
 
     def __init__(self, codec: Codec, each: int, longest: int):
         self.codec, self.each, self.longest, self.older = codec, each, longest, {}
 
-    def __missing__(self, piece: str) -> tuple[str, bytes, bytes]:
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
         entry = self.older.get(piece)
         if entry is None:
             ids = self.codec.merge(piece.encode())
-            entry = (",".join(map(str, ids)), self.codec.decode(ids), array("i", ids).tobytes())
+            entry = (",".join(map(str, ids)), self.codec.decode(ids))
         if len(piece) <= self.longest:
             if len(self) >= self.each:
                 self.older = dict(self)
@@ -151,12 +150,16 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return array("i", self.coded(text)[2]).tolist()
+        return numbers(self.coded(text)[0]).tolist()
 
-    def coded(self, text: str) -> tuple[str, bytes, bytes]:
-        """Decimal ids joined by commas, the bytes they decode to, and the ids as int32, of a whole text."""
-        names, decoded, ids = zip(*map(self.known.__getitem__, self.find(text)), strict=True) if text else ((), (), ())
-        return ",".join(names), b"".join(decoded), b"".join(ids)
+    def coded(self, text: str) -> tuple[str, bytes]:
+        """Decimal ids joined by commas and the bytes they decode to, of a whole text."""
+        names, decoded = zip(*map(self.known.__getitem__, self.find(text)), strict=True) if text else ((), ())
+        return ",".join(names), b"".join(decoded)
+
+
+def numbers(joined: str) -> np.ndarray:
+    return np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32)
 
 
 def _encoder(vocabulary, pattern: str, with_ids: bool):
@@ -167,16 +170,16 @@ def _encoder(vocabulary, pattern: str, with_ids: bool):
         for batch in batches:
             counts, digests, sources, all_ids = [], [], [], []
             for text in batch.column(batch.num_columns - 1):
-                names, decoded, ids = codec.coded(text.as_py() or "")
-                counts.append(len(ids) // 4)
+                names, decoded = codec.coded(text.as_py() or "")
+                counts.append(names.count(",") + 1 if names else 0)
                 digests.append(hashlib.sha256(names.encode()).hexdigest())
                 sources.append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(numbers(names))
             columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(sources, pa.string())]
             names_out = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.frombuffer(b"".join(all_ids), np.int32))))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]))))
                 names_out.append("ids")
             yield pa.record_batch(columns, names=names_out)
 

@@ -13,7 +13,7 @@ def kept(name: str, make: Callable):
     """What an earlier task of this worker made under ``name``; one thing is kept at a time."""
     store = sys.__dict__.setdefault("_pixelspark_kept", {})
     if name not in store:
-        store.clear()
+        release()
         store[name] = make()
     return store[name]
 
