@@ -196,7 +196,9 @@ def test_contamination_odd_rows(spark):
     assert contamination(frame(spark, rows).limit(0), items).isEmpty()
 
 
-def test_embeddings_equal_brute_force(spark):
+@pytest.mark.parametrize("more", [{}, {"block": 4, "hot": 3}])
+def test_embeddings_equal_brute_force(spark, more):
+    """Also with buckets cut into blocks and copies dealt over several keys."""
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
     rows = []
@@ -205,7 +207,7 @@ def test_embeddings_equal_brute_force(spark):
         rows.append((i, [float(np.float32(x)) for x in v], int(i % 2)))
     rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, rows[0][1], None), (304, [1.0], 0), (305, [2.0], 0), (306, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cls", F.lit("x"))
-    got = {r["vec_id"]: r for r in near_duplicates(df).collect()}
+    got = {r["vec_id"]: r for r in near_duplicates(df, **more).collect()}
     m = np.array([r[1] for r in rows[:300]])
     m = m / np.linalg.norm(m, axis=1, keepdims=True)
     lab = np.array([r[2] for r in rows[:300]])
@@ -222,6 +224,18 @@ def test_embeddings_equal_brute_force(spark):
     assert near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_embedding_labels_and_sizes(spark):
+    """Labels stay apart whatever they contain; huge, tiny and very long vectors are compared as others are."""
+    long = [float(i % 7) for i in range(20_000)]
+    rows = [(1, [2.0], "a,1.0"), (2, [1.0, 2.0], "a"), (3, [1e200, 1e200], "b"), (4, [1.1e200, 1.1e200], "b"), (5, [1e-310, 1e-310], "b"), (6, [1.0, -1.0], "b"), (7, [1.7e308, -1.7e308], "b")]
+    rows += [(8, long, "c"), (9, [x * 3 for x in long], "c"), (9, long, "c"), (None, long, "c"), (None, None, "c"), (10, [0.0, -0.0], "b"), (11, [-0.0, 5.0], "b"), (12, [0.0, 5.0], "b"), (13, [1.0, None], "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect())
+    want = [(0, 3, 8, False), (1, 0, 1, True), (2, 0, 2, True), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False), (6, 1, 6, True), (7, 1, 6, False)]
+    want += [(8, 3, 8, True), (9, 3, 8, False), (9, 3, 8, False), (10, 0, 10, True), (11, 1, 11, True), (12, 1, 11, False), (13, 0, 13, True)]
+    assert [g for g in got if g[2] is not None] == want and [g for g in got if g[2] is None] == [(0, 0, None, True)]
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)]
