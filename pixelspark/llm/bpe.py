@@ -140,7 +140,7 @@ class _Known(dict):
 class Codec:
     """Encodes and decodes with one vocabulary; recent pre-tokens are remembered, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 600_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 450_000, longest: int = 64):
         self.find = regex.compile(pattern).findall
         self.merge = RankQueue(ranks).merge
         self.tokens = {r: t for t, r in ranks.items()}
