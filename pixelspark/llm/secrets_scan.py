@@ -21,9 +21,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "der", "jwt", "pem", "ssh")
 
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# a whole run of token characters, and behind it two more with dots before them: each run is read three times at most
+_SEGMENT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)(?=(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{44,}={0,2}")
+_OPENSSH = b"openssh-key-v1\0"
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 
 
@@ -53,42 +55,103 @@ def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] |
     return out
 
 
+def is_nested(data: bytes, at: int, end: int) -> bool:
+    """Whether DER elements fill data[at:end] exactly, and constructed ones are so filled at every depth."""
+    open_ranges = [(at, end)]
+    while open_ranges:
+        children = der_children(data, *open_ranges.pop())
+        if children is None:
+            return False
+        open_ranges += [(a, b) for tag, a, b in children if tag & 0x20]
+    return True
+
+
 def is_key_structure(data: bytes) -> bool:
-    """A DER SEQUENCE that fills the data, whose nested lengths agree, laid out as a key.
+    """A DER SEQUENCE that fills the data, whose nested lengths agree at every depth, laid out as a key.
 
-    Accepted: an integer version first (private keys), an algorithm identifier first (public
-    keys), or two or more integers only.
+    Accepted: an integer version first (private keys; one behind an algorithm identifier must be DER itself),
+    an algorithm identifier first (public and encrypted keys), or two or more integers only.
     """
     top = der_children(data, 0, len(data))
-    if not top or len(top) != 1 or top[0][0] != 0x30:
+    if not top or len(top) != 1 or top[0][0] != 0x30 or not is_nested(data, 0, len(data)):
         return False
     inner = der_children(data, top[0][1], top[0][2])
-    if not inner or len(inner) < 2:
+    if len(inner) < 2:
         return False
     tags = [t for t, _, _ in inner]
-    for tag, a, b in inner:
-        if tag == 0x30 and der_children(data, a, b) is None:
-            return False
+
+    def algorithm(i: int) -> bool:
+        parts = der_children(data, inner[i][1], inner[i][2])
+        return bool(parts) and parts[0][0] == 0x06
+
     if tags[0] == 0x02:
-        return all(t == 0x02 for t in tags) or inner[0][2] - inner[0][1] == 1 and tags[1] in (0x02, 0x04, 0x30)
-    if tags[0] == 0x30:
-        parts = der_children(data, inner[0][1], inner[0][2])
-        return bool(parts) and parts[0][0] == 0x06 and tags[1] in (0x03, 0x04)
+        if all(t == 0x02 for t in tags):
+            return True
+        if inner[0][2] - inner[0][1] != 1:
+            return False
+        if tags[1] == 0x30:
+            return len(tags) > 2 and tags[2] == 0x04 and algorithm(1) and inner[2][2] > inner[2][1] and is_nested(data, *inner[2][1:])
+        return tags[1] in (0x02, 0x04)
+    if tags[0] == 0x30 and algorithm(0):
+        return tags[1] == 0x04 or tags[1] == 0x03 and inner[1][2] > inner[1][1] and data[inner[1][1]] < 8
     return False
 
 
-def is_ssh_structure(data: bytes) -> bool:
-    """Length-prefixed fields of an SSH key blob, or an OpenSSH private key."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+def ssh_field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """A field with its length before it, and the place behind it."""
+    if at + 4 > len(data):
+        return None
+    end = at + 4 + int.from_bytes(data[at : at + 4])
+    return (data[at + 4 : end], end) if end <= len(data) else None
+
+
+def is_ssh_public(data: bytes) -> bool:
+    """Length-prefixed fields that fill the data, the first of which names a key type."""
     at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4])
-        if at + 4 + n > len(data):
+    while at < len(data):
+        found = ssh_field(data, at)
+        if found is None:
+            return False
+        fields.append(found[0])
+        at = found[1]
+    return len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+
+
+def is_openssh_private(data: bytes) -> bool:
+    """Cipher, key derivation and its options, the public keys, and the private section, by their lengths.
+
+    A section that is not encrypted starts with a check number twice; behind an encrypted one an
+    authentication tag of up to 16 bytes may follow.
+    """
+    at, head = len(_OPENSSH), []
+    for _ in range(3):
+        found = ssh_field(data, at)
+        if found is None:
+            return False
+        head.append(found[0])
+        at = found[1]
+    cipher, kdf, options = head
+    if not cipher or not kdf or not (cipher + kdf).isascii() or (cipher == b"none") != (kdf == b"none") or kdf == b"none" and options:
+        return False
+    keys = int.from_bytes(data[at : at + 4])
+    at += 4
+    if not keys:
+        return False
+    for _ in range(keys):
+        found = ssh_field(data, at)
+        if found is None or not is_ssh_public(found[0]):
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+        at = found[1]
+    found = ssh_field(data, at)
+    if found is None or not found[0] or len(found[0]) % 8:
+        return False
+    section, rest = found[0], len(data) - found[1]
+    return rest == 0 and section[:4] == section[4:8] if cipher == b"none" else rest <= 16
+
+
+def is_ssh_structure(data: bytes) -> bool:
+    """An SSH public key blob, or an OpenSSH private key."""
+    return is_openssh_private(data) if data.startswith(_OPENSSH) else is_ssh_public(data)
 
 
 def unbase64(text: str) -> bytes | None:
@@ -120,11 +183,21 @@ def _key_bytes(data: bytes | None) -> str | None:
         return None
     if data[0] == 0x30 and is_key_structure(data):
         return "der"
-    if data[:4] == b"\0\0\0\x07" or data[:4] == b"\0\0\0\x0b" or data[:3] == b"\0\0\0" or data.startswith(b"openssh"):
+    if data[:3] == b"\0\0\0" or data.startswith(_OPENSSH):
         return "ssh" if is_ssh_structure(data) else None
     return None
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed tokens; a token starts at the first ``eyJ`` of a run of its characters."""
+    last = 0
+    for m in _SEGMENT.finditer(text):
+        at, end = text.find("eyJ", m.start(1), m.end(1)), m.end(2)
+        if at >= last and is_signed_token(text[at:end]):
+            yield at, end
+            last = end
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of the three base kinds: leftmost, non-overlapping per kind, long enough."""
     out = []
@@ -139,7 +212,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans that decode to a key encoding or a signed token."""
     out = []
     if "eyJ" in text:
-        out += [(*m.span(), "jwt") for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        out += [(a, b, "jwt") for a, b in signed_tokens(text)]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             if _key_bytes(unbase64(re.sub(r"\s+", "", m[2]))):
