@@ -1,7 +1,7 @@
 """Toxicity: non-negative positive-unlabelled learning with a class-prior-corrected risk.
 
 A linear numpy classifier over the presence of words (hashed to 2**22 buckets).  Training sees confirmed toxic
-texts (P) and unlabelled texts (U, drawn from everything, labels unread).  With prior ``pi`` the
+texts (P) and unlabelled texts (U, drawn from everything, labels unread); features are chosen by counts over all texts.  With prior ``pi`` the
 risk is ``pi * E_P[l(g, +1)] + max(0, E_U[l(g, -1)] - pi * E_P[l(g, -1)])``; where the bracket
 is negative its gradient is followed backwards, as in non-negative PU learning.
 """
@@ -68,6 +68,27 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
+def _counted(table):
+    """How many texts hold each feature of ``table``: one row for each task and feature, and their number as feature -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        features = table.value
+        model = Model(features, np.zeros(len(features)), 0.0)
+        places, width, n = model.table(), len(features) + 1, 0
+        counts = np.zeros(width, np.int64)
+        for batch in batches:
+            for part in runs(batch.column(0), 4 << 20):
+                pairs = [np.unique(rows * width + hit) for rows, hit in _presence(part, places)]
+                pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
+                counts += np.bincount(pairs % width, minlength=width)
+                n += len(part)
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(np.append(features[at], -1).astype(np.int32)), pa.array(np.append(counts[at], n))], names=["bucket", "k"])
+
+    return run
+
+
 def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
@@ -137,10 +158,12 @@ def fit(texts: DataFrame, prior: float, positives: int = 3000, unlabelled: int =
     """Trains on ``texts(id, text, positive)``: at most so many confirmed positives and other rows.
 
     The rows are those of the smallest hashes of their ids, so the choice is the same in every
-    run.  ``positive`` false means unlabelled: such rows may well be toxic.  Counts and features
-    are made on the executors; the driver gets at most ``tasks`` count vectors and the sample's
-    feature lists.
+    run.  ``positive`` false means unlabelled: such rows may well be toxic.  Only the optimiser works on
+    this bounded sample.  Features are chosen by document counts over all ``texts``: of the words that two
+    confirmed positives or more hold, counted on the executors.  The driver gets a count for each of
+    them, at most ``tasks`` count vectors of the positives and the sample's feature lists.
     """
+    spark = texts.sparkSession
     # ids first: they are small to sort; then the texts of the chosen ids, a bounded broadcast
     ids = texts.select("id", "positive")
     p = ids.where("positive").select("id").orderBy(F.xxhash64("id"), "id").limit(positives).withColumn("positive", F.lit(True))
@@ -148,15 +171,25 @@ def fit(texts: DataFrame, prior: float, positives: int = 3000, unlabelled: int =
     chosen = F.broadcast(p.unionByName(u).distinct())
     sample = texts.select("id", "text").join(chosen, "id").select("text", "positive").repartition(tasks).persist()
     try:
-        counts, seen = np.zeros((2, 1 << BITS)), [0, 0]
-        for r in sample.mapInArrow(_document_counts, "c int, n long, at array<int>, k array<int>").toArrow().to_batches():
-            for c, n, at, k in zip(*(r.column(i) for i in range(4)), strict=True):
-                counts[c.as_py()][at.values.to_numpy()] += k.values.to_numpy()
-                seen[c.as_py()] += n.as_py()
-        if not seen[1]:
+        in_p, n_p = np.zeros(1 << BITS), 0
+        for r in sample.where("positive").mapInArrow(_document_counts, "c int, n long, at array<int>, k array<int>").toArrow().to_batches():
+            for n, at, k in zip(*(r.column(i) for i in range(1, 4)), strict=True):
+                in_p[at.values.to_numpy()] += k.values.to_numpy()
+                n_p += n.as_py()
+        if not n_p:
             return Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
-        chosen = choose_features(counts[1], seen[1], counts[0], seen[0], prior, features, significance)
-        del counts
+        held = np.flatnonzero(in_p >= 2)
+        # only words of the confirmed positives can become features; these are counted in all texts
+        wanted = spark.sparkContext.broadcast(held)
+        seen = texts.select("text").mapInArrow(_counted(wanted), "bucket int, k long").groupBy("bucket").agg(F.sum("k").alias("k")).toArrow()
+        in_u, n_u = np.zeros(1 << BITS), 0
+        for bucket, k in zip(seen.column(0).to_pylist(), seen.column(1).to_pylist(), strict=True):
+            if bucket < 0:
+                n_u = k
+            else:
+                in_u[bucket] = k
+        chosen = choose_features(in_p, n_p, in_u, n_u, prior, features, significance)
+        del in_p, in_u
         got = sample.mapInArrow(_features(Model(chosen, np.zeros(len(chosen)), 0.0)), "positive boolean, features array<int>").toArrow()
     finally:
         sample.unpersist()
