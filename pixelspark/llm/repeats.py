@@ -27,7 +27,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .hashing import _powers, mix
 from .jaccard import TOKEN_BITS, pack, unpack
@@ -278,34 +277,62 @@ def _collect(table: pa.Table, window: int, parts: int) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)])
 
 
-def sort_columns(matrix: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Column-wise construction over documents as columns of ``matrix`` (places x documents).
+class Columns:
+    """The documents of a collection as columns of symbols, in a file of its own: ``places`` rows of ``m`` symbols.
+
+    The file is private to a task and unlinked when it is made, as Spark's own spill files are read by nobody else.
+    """
+
+    def __init__(self, places: int, m: int):
+        self.places, self.m, self.file = places, m, tempfile.TemporaryFile()
+        self.file.truncate(places * m)
+
+    def write(self, block: np.ndarray, at: int) -> None:
+        """A block of documents, from document ``at`` on."""
+        for place, row in enumerate(block):
+            self.file.seek(place * self.m + at)
+            self.file.write(row.tobytes())
+
+    def row(self, place: int) -> np.ndarray:
+        self.file.seek(place * self.m)
+        return np.fromfile(self.file, np.uint8, self.m)
+
+    def block(self, at: int, n: int) -> np.ndarray:
+        out = np.empty((self.places, min(n, self.m - at)), np.uint8)
+        for place in range(self.places):
+            self.file.seek(place * self.m + at)
+            out[place] = np.fromfile(self.file, np.uint8, out.shape[1])
+        return out
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def sort_columns(symbols: Columns, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Column-wise construction over documents of equal length.
 
     From the last place to the first: one symbol of each document is inserted in front of what is there.  Yields
     the place, the documents in the order of their text from there on, and whether each differs from its
-    predecessor within ``window`` symbols.  Symbols, order and common prefixes live in files that each
-    round reads and writes from start to end.
+    predecessor within ``window`` symbols.  Order and common prefixes live in files that each round reads
+    and writes from start to end; a round holds one row of each.
     """
-    places, m = matrix.shape
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as old, tempfile.TemporaryFile() as new:
-        matrix[::-1].tofile(symbols)
-        symbols.seek(0)
+    m, kind = symbols.m, np.min_scalar_type(window)
+    with tempfile.TemporaryFile() as old, tempfile.TemporaryFile() as new:
         np.arange(m, dtype=np.int32).tofile(old)
-        np.zeros(m, dtype=np.uint8).tofile(old)
-        for c in range(places - 1, -1, -1):
+        np.zeros(m, dtype=kind).tofile(old)
+        for c in range(symbols.places - 1, -1, -1):
             old.seek(0)
-            order, prefix = np.fromfile(old, np.int32, m), np.fromfile(old, np.uint8, m)
-            column = np.fromfile(symbols, np.uint8, m)
-            s = column[order]
+            order, prefix = np.fromfile(old, np.int32, m), np.fromfile(old, kind, m)
+            s = symbols.row(c)[order]
             to = np.argsort(s, kind="stable")
-            fresh = np.zeros(m, np.uint8)
+            fresh = np.zeros(m, kind)
             ends = np.flatnonzero(np.diff(s[to], prepend=-1, append=-1))
             # the common prefix with the document before of the same symbol: the least in between, plus one
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 if b - a > 1:
                     at = to[a:b]
                     fresh[a + 1 : b] = np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1)
-                    fresh[a + 1 : b] = np.minimum(fresh[a + 1 : b], 254) + 1
+                    fresh[a + 1 : b] = np.minimum(fresh[a + 1 : b], window - 1) + 1
             order = order[to]
             new.seek(0)
             order.tofile(new)
@@ -348,33 +375,37 @@ def _resolve(table: pa.Table, window: int, k: int, buckets: int) -> pa.Table:
         # bring documents of one anchor together, so that ties before the first round are harmless
         docs = docs[np.argsort(token[docs], kind="stable")]
         places, m = reach + window, len(docs)
-        matrix = np.zeros((places, m), np.uint8)
+        symbols, gone = Columns(places, m), Columns(reach + 1, m)
         begin, size = reach - place[docs], length[docs] + window - 1
         for x in range(0, m, AT_ONCE):  # the places of all symbols at once would take 32 bytes each
             part = slice(x, min(x + AT_ONCE, m))
             joined = np.frombuffer(b"".join(strings[i] for i in docs[part].tolist()), np.uint8)
             n = size[part]
             row = np.arange(len(joined)) + np.repeat(begin[part] - np.cumsum(n) + n, n)
-            matrix[row, np.repeat(np.arange(part.start, part.stop), n)] = joined
-        del best, strings, joined, row
+            matrix = np.zeros((places, part.stop - part.start), np.uint8)
+            matrix[row, np.repeat(np.arange(part.stop - part.start), n)] = joined
+            symbols.write(matrix, x)
+        del best, strings, joined, row, matrix
         mine, past = rank[docs], begin + length[docs]
-        gone = np.zeros((reach + 1, m), bool)
-        for c, by, differs in sort_columns(matrix, window):
+        for c, by, differs in sort_columns(symbols, window):
             if c > reach:
                 continue
+            later = np.zeros(m, np.uint8)
             live = (begin[by] <= c) & (c < past[by])
             group = np.cumsum(differs)[live]
             at = by[live]
-            if not len(at):
-                continue
-            start = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
-            least = np.repeat(np.minimum.reduceat(mine[at], start), np.diff(np.append(start, len(at))))
-            gone[c, at] = mine[at] != least
-        edge = np.diff(gone.astype(np.int8), axis=0, prepend=0, append=0)
-        up, down = np.nonzero(edge.T == 1), np.nonzero(edge.T == -1)
-        for j, a, b in zip(up[0].tolist(), up[1].tolist(), down[1].tolist(), strict=True):
-            removed.append((int(docs[j]), a - int(begin[j]), b - int(begin[j])))
-        del matrix
+            if len(at):
+                start = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+                least = np.repeat(np.minimum.reduceat(mine[at], start), np.diff(np.append(start, len(at))))
+                later[at] = mine[at] != least
+            gone.write(later[None, :], c * m)
+        symbols.close()
+        for x in range(0, m, AT_ONCE):
+            edge = np.diff(gone.block(x, AT_ONCE).astype(np.int8), axis=0, prepend=0, append=0)
+            up, down = np.nonzero(edge.T == 1), np.nonzero(edge.T == -1)
+            for j, a, b in zip((up[0] + x).tolist(), up[1].tolist(), down[1].tolist(), strict=True):
+                removed.append((int(docs[j]), a - int(begin[j]), b - int(begin[j])))
+        gone.close()
     if not removed:
         return pa.Table.from_batches([_batch([])])
     run, a, b = (np.array(c, np.int64) for c in zip(*removed, strict=True))
@@ -444,10 +475,9 @@ def remove_repeats(rows: DataFrame, window: int = 100, k: int = 36, id_col: str
     odd = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
     named = None
     if not odd.isEmpty():
-        # ids that do not name one row: number the rows in order; a range sort and counts by partition
+        # ids that do not name one row: number the rows in order; ranges are numbered one after the other
         ordered = docs.select("id", "text").orderBy(F.asc_nulls_last("id"), F.col("text").cast("binary"))
-        schema = T.StructType([*ordered.schema.fields, T.StructField("key", T.LongType())])
-        docs = scratch.keep(spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema))
+        docs = scratch.keep(ordered.withColumn("key", F.monotonically_increasing_id()))
         named = docs.select("key", "id")
         docs = docs.select("key", "text")
     else:

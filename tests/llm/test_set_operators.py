@@ -113,7 +113,7 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("seed,window,k", [(4, 100, 36), (5, 30, 11), (6, 20, 20)])
+@pytest.mark.parametrize("seed,window,k", [(4, 100, 36), (5, 30, 11), (6, 20, 20), (7, 300, 60)])
 def test_repeats_equal_brute_force(spark, seed, window, k):
     rows = [*corpus(seed), (6000, "ab" * 300), (6001, "z" * 500), (6002, "\0" * 250 + "q" + "\0" * 120)]
     want = brute_repeats(rows, window)
