@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # DDL of the common relations, for readers with a given schema.
 PIXELS = "image_id STRING, band STRING, x INT, y INT, flux DOUBLE, mask INT"
@@ -24,6 +25,16 @@ def keys_of(df: DataFrame) -> list[str]:
     return [c for c in ("image_id", "band") if c in df.columns]
 
 
+def shared_keys(*relations: DataFrame) -> list[str]:
+    """The image keys that all of the relations carry."""
+    return [c for c in keys_of(relations[0]) if all(c in df.columns for df in relations[1:])]
+
+
+def with_summary(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows beside the one row of their image in ``summary``; without keys that is a single row."""
+    return rows.join(summary, keys, "left") if keys else rows.crossJoin(F.broadcast(summary))
+
+
 @dataclass
 class Run:
     """Named results of a pipeline (maps and catalogues)."""

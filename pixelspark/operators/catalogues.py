@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import flux_to_mag
+from ..model import shared_keys
 
 
 def stack(pixels: DataFrame, config: dict[str, tuple[float, float]], magzero: float) -> DataFrame:
@@ -27,12 +28,13 @@ def stack(pixels: DataFrame, config: dict[str, tuple[float, float]], magzero: fl
 def bands_wide(catalogue: DataFrame, bands: list[str], columns: list[str], suffix: str = "t") -> DataFrame:
     """CAT-2, JN-10: one row for each segment, columns named column_band + suffix; all bands in one aggregation."""
     aggs = [F.max(F.when(F.col("band") == b, F.col(c))).alias(f"{c}_{b}{suffix}") for b in bands for c in columns]
-    return catalogue.groupBy("segID").agg(*aggs)
+    return catalogue.groupBy(*[k for k in ("image_id",) if k in catalogue.columns], "segID").agg(*aggs)
 
 
 def band_photometry(pixels: DataFrame, segmap: DataFrame, magzero: dict[str, float]) -> DataFrame:
     """CAT-2: flux, magnitude and pixels of each segment in each band, by one grouping of all bands."""
-    got = pixels.join(segmap.where("segID > 0").select("x", "y", "segID"), ["x", "y"]).groupBy("band", "segID").agg(F.sum("flux").alias("flux"), F.count("flux").alias("N100"))
+    ids = [k for k in shared_keys(pixels, segmap) if k != "band"]
+    got = pixels.join(segmap.where("segID > 0").select(*ids, "x", "y", "segID"), [*ids, "x", "y"]).groupBy(*ids, "band", "segID").agg(F.sum("flux").alias("flux"), F.count("flux").alias("N100"))
     zero = F.coalesce(*(F.when(F.col("band") == b, F.lit(z)) for b, z in magzero.items()))
     return got.withColumn("mag", flux_to_mag("flux", zero))
 
@@ -42,10 +44,11 @@ def merge_groups(segstats: DataFrame, groupstats: DataFrame, groups: DataFrame,
 
     ``groupstats`` has the columns of ``segstats`` and is keyed by groupID in place of segID.
     """
+    ids = shared_keys(segstats, groupstats, groups)
     chosen = groups.where(F.col("groupID").isin(wanted))
-    members = chosen.select(F.explode("segIDs").alias("segID"))
-    rows = groupstats.join(chosen.select("groupID"), "groupID", "left_semi").withColumnRenamed("groupID", "segID").withColumn("origin", F.lit("group"))
-    return segstats.join(members, "segID", "left_anti").withColumn("origin", F.lit("seg")).unionByName(rows)
+    members = chosen.select(*ids, F.explode("segIDs").alias("segID"))
+    rows = groupstats.join(chosen.select(*ids, "groupID"), [*ids, "groupID"], "left_semi").withColumnRenamed("groupID", "segID").withColumn("origin", F.lit("group"))
+    return segstats.join(members, [*ids, "segID"], "left_anti").withColumn("origin", F.lit("seg")).unionByName(rows)
 
 
 def share_flux(segstats: DataFrame, share: DataFrame, normalise: bool = False) -> DataFrame:
@@ -53,31 +56,33 @@ def share_flux(segstats: DataFrame, share: DataFrame, normalise: bool = False) -
 
     With ``normalise`` the shares of each segment are scaled to sum to one.
     """
-    s = share
+    s, ids = share, shared_keys(segstats, share)
     if normalise:
-        total = share.groupBy("segID").agg(F.sum("w").alias("t"))
-        s = share.join(total, "segID").withColumn("w", F.try_divide("w", "t"))
-    both = s.join(segstats.select("segID", "flux", "mag", "N50", "N90", "N100"), "segID")
+        total = share.groupBy(*ids, "segID").agg(F.sum("w").alias("t"))
+        s = share.join(total, [*ids, "segID"]).withColumn("w", F.try_divide("w", "t"))
+    both = s.join(segstats.select(*ids, "segID", "flux", "mag", "N50", "N90", "N100"), [*ids, "segID"])
     sums = {"flux": "w * flux", "flux2": "w * flux * flux", "fluxmag": "w * power(10D, -0.4D * mag)", "N50": "w * N50", "N90": "w * N90", "N100": "w * N100"}
-    return both.groupBy("outID").agg(*(F.sum(F.expr(e)).alias(n) for n, e in sums.items()))
+    return both.groupBy(*ids, "outID").agg(*(F.sum(F.expr(e)).alias(n) for n, e in sums.items()))
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, x: str = "xcen", y: str = "ycen", key: str = "segID") -> DataFrame:
-    """JN-9: for each row of ``left`` the nearest row of ``right`` within ``radius``: (key, match, dist).
+    """JN-9: for each row of ``left`` the nearest row of ``right`` in the same image within ``radius``: (key, match, dist).
 
     Rows of the right go to the nine cells around theirs, so it is an equi-join on cells.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = left.select(F.col(key), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("cx"), cell(y).alias("cy"))
-    b = right.select(F.col(key).alias("match"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("ox"), cell(y).alias("oy"), F.explode(around).alias("o"))
-    b = b.select("match", "bx", "by", (F.col("ox") + F.col("o.i")).alias("cx"), (F.col("oy") + F.col("o.j")).alias("cy"))
+    ids = shared_keys(left, right)
+    a = left.select(*ids, F.col(key), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("cx"), cell(y).alias("cy"))
+    b = right.select(*ids, F.col(key).alias("match"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("ox"), cell(y).alias("oy"), F.explode(around).alias("o"))
+    b = b.select(*ids, "match", "bx", "by", (F.col("ox") + F.col("o.i")).alias("cx"), (F.col("oy") + F.col("o.j")).alias("cy"))
     dist = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    met = a.join(b, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
-    return met.groupBy(key).agg(F.min(F.struct("dist", "match")).alias("m")).select(key, "m.match", "m.dist")
+    met = a.join(b, [*ids, "cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
+    return met.groupBy(*ids, key).agg(F.min(F.struct("dist", "match")).alias("m")).select(*ids, key, "m.match", "m.dist")
 
 
 def label_at(catalogue: DataFrame, segmap: DataFrame, x: str = "xmax", y: str = "ymax") -> DataFrame:
-    """JN-8: ``label``: what a map holds at the pixel of each position."""
-    at = segmap.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("segID").alias("label"))
-    return catalogue.withColumns({"__x": F.ceil(x).cast("int"), "__y": F.ceil(y).cast("int")}).join(at, ["__x", "__y"], "left").drop("__x", "__y")
+    """JN-8: ``label``: what the map of its image holds at the pixel of each position."""
+    ids = shared_keys(catalogue, segmap)
+    at = segmap.select(*ids, F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("segID").alias("label"))
+    return catalogue.withColumns({"__x": F.ceil(x).cast("int"), "__y": F.ceil(y).cast("int")}).join(at, [*ids, "__x", "__y"], "left").drop("__x", "__y")

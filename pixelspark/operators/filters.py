@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import keys_of
+from ..model import keys_of, with_summary
 from .kernels import Kernel, gaussian_1d
 
 
@@ -84,18 +84,19 @@ def cutout(pixels: DataFrame, x: tuple[int, int], y: tuple[int, int]) -> DataFra
 def box_flux(pixels: DataFrame, cx: int, cy: int, size: int) -> DataFrame:
     """FLT-12: flux in a square about a pixel."""
     h = size // 2
-    return cutout(pixels, (cx - h, cx + h), (cy - h, cy + h)).agg(F.sum("flux").alias("flux"))
+    return cutout(pixels, (cx - h, cx + h), (cy - h, cy + h)).groupBy(*keys_of(pixels)).agg(F.sum("flux").alias("flux"))
 
 
 def render_points(sources: DataFrame, psf: Kernel, nx: int, ny: int) -> DataFrame:
     """FLT-9: image of point sources (xcen, ycen, flux): the PSF shared bilinearly by four pixels, clipped."""
+    ids = keys_of(sources)
     x0, y0 = F.floor(F.col("xcen") + 0.5), F.floor(F.col("ycen") + 0.5)
     fx, fy = F.col("xcen") + 0.5 - x0, F.col("ycen") + 0.5 - y0
     four = F.array(*(F.struct((x0 + i).alias("x"), (y0 + j).alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    corners = sources.select("flux", F.explode(four).alias("c")).where("c.w > 0")
-    sent = corners.select((F.col("flux") * F.col("c.w")).alias("f"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.explode(offsets(psf)).alias("k"))
-    placed = sent.select((F.col("cx") + F.col("k.dx")).cast("int").alias("x"), (F.col("cy") + F.col("k.dy")).cast("int").alias("y"), (F.col("f") * F.col("k.w")).alias("f"))
-    return placed.where(F.col("x").between(1, nx) & F.col("y").between(1, ny)).groupBy("x", "y").agg(F.sum("f").alias("flux"))
+    corners = sources.select(*ids, "flux", F.explode(four).alias("c")).where("c.w > 0")
+    sent = corners.select(*ids, (F.col("flux") * F.col("c.w")).alias("f"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.explode(offsets(psf)).alias("k"))
+    placed = sent.select(*ids, (F.col("cx") + F.col("k.dx")).cast("int").alias("x"), (F.col("cy") + F.col("k.dy")).cast("int").alias("y"), (F.col("f") * F.col("k.w")).alias("f"))
+    return placed.where(F.col("x").between(1, nx) & F.col("y").between(1, ny)).groupBy(*ids, "x", "y").agg(F.sum("f").alias("flux"))
 
 
 def pixel_correlation(pixels: DataFrame, lags: list[int]) -> DataFrame:
@@ -138,10 +139,11 @@ def resample(pixels: DataFrame, nx: int, ny: int, ratio: float, fluxscale: str =
     grid = grid.withColumns({"ix": F.least(F.floor("gx"), F.lit(nx - 1)), "iy": F.least(F.floor("gy"), F.lit(ny - 1))})
     four = F.array(*(F.struct((F.col("ix") + i).alias("px"), (F.col("iy") + j).alias("py"), ((F.col("gx") - F.col("ix") if i else 1 - F.col("gx") + F.col("ix")) * (F.col("gy") - F.col("iy") if j else 1 - F.col("gy") + F.col("iy"))).alias("w")) for i in (0, 1) for j in (0, 1)))
     want = grid.select("x", "y", F.explode(four).alias("c")).select("x", "y", F.col("c.px").cast("int").alias("px"), F.col("c.py").cast("int").alias("py"), F.col("c.w").alias("w"))
-    old = pixels.select(F.col("x").alias("px"), F.col("y").alias("py"), "flux")
-    out = want.join(old, ["px", "py"]).groupBy("x", "y").agg(F.sum(F.col("w") * F.col("flux")).alias("flux"))
+    ids = keys_of(pixels)
+    old = pixels.select(*ids, F.col("x").alias("px"), F.col("y").alias("py"), "flux")
+    out = want.join(old, ["px", "py"]).groupBy(*ids, "x", "y").agg(F.sum(F.col("w") * F.col("flux")).alias("flux"))
     if fluxscale == "pixscale":
         return out.withColumn("flux", F.col("flux") * ratio * ratio)
-    total = out.agg(F.sum("flux").alias("new"))
-    whole = pixels.agg(F.sum("flux").alias("old")) if fluxscale == "image" else total.select(F.lit(1.0).alias("old"))
-    return out.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(whole)).select("x", "y", F.try_divide(F.col("flux") * F.col("old"), "new").alias("flux"))
+    total = out.groupBy(*ids).agg(F.sum("flux").alias("new"))
+    whole = pixels.groupBy(*ids).agg(F.sum("flux").alias("old")) if fluxscale == "image" else total.select(*ids, F.lit(1.0).alias("old"))
+    return with_summary(with_summary(out, total, ids), whole, ids).select(*ids, "x", "y", F.try_divide(F.col("flux") * F.col("old"), "new").alias("flux"))

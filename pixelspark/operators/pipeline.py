@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import flux_scale, flux_to_sb
-from ..lineage import cut
-from ..model import Run, keys_of
+from ..lineage import cut, drop
+from ..model import Run, keys_of, shared_keys
 from . import catalogues, filters, kernels, maps, models, segments, sky, stats
 from .watershed import watershed
 
@@ -184,7 +184,8 @@ def detect(pixels: DataFrame, c: Config, segmap: DataFrame | None = None, flag:
         grouped = labelled(now, groupim.withColumnRenamed("groupID", "segID")).withColumn("flux", F.col("flux") - F.col("sky"))
         out["groupstats"] = stats.segment_stats(grouped, c.nx, c.ny, c.magzero, c.gain, c.pixscale).withColumnRenamed("segID", "groupID")
         if c.deblend:
-            db = models.deblend_line(net.where("segID > 0").select("x", "y", "flux", "segID"), groups, cat, c.magzero)
+            db = models.deblend_line(net.where("segID > 0").select(*keys, "flux", "segID"), groups, cat, c.magzero)
+            out["not_deblended"] = models.too_large(groups)
             out["deblend"] = models.deblend_errors(db, cat)
     return Run(out)
 
@@ -208,7 +209,7 @@ def multiband(pixels: DataFrame, detect_bands: list[str], bands: list[str], conf
     if len(detect_bands) == 1:
         base = px.where(F.col("band") == detect_bands[0]).drop("band")
     else:
-        base = catalogues.stack(px.where(F.col("band").isin(detect_bands)), {b: config[b] for b in detect_bands}, c.magzero).select("x", "y", "flux")
+        base = catalogues.stack(px.where(F.col("band").isin(detect_bands)), {b: config[b] for b in detect_bands}, c.magzero).select(*[k for k in ("image_id",) if k in px.columns], "x", "y", "flux")
     run = detect(base, c)
     zero = {b: config[b][0] for b in bands}
     wanted = px.where(F.col("band").isin(bands))
@@ -228,18 +229,19 @@ def fit_with_extra(image: DataFrame, sources: DataFrame, psf: kernels.Kernel, c:
     ``sources`` from the second fit and the extra ones with ``extra`` true.
     """
     first = models.psf_fit(image, sources, psf, c.nx, c.ny, rounds, magzero=c.magzero)
+    ids = shared_keys(image, sources)
     whole = F.floor(F.col("xcen") + 0.5) - 0.5, F.floor(F.col("ycen") + 0.5) - 0.5
-    model = filters.render_points(first.select(whole[0].alias("xcen"), whole[1].alias("ycen"), "flux"), psf, c.nx, c.ny).withColumnRenamed("flux", "model")
-    left = image.join(model, ["x", "y"], "left").select("x", "y", (F.col("flux") - F.coalesce("model", F.lit(0.0))).alias("flux"))
+    model = filters.render_points(first.select(*ids, whole[0].alias("xcen"), whole[1].alias("ycen"), "flux"), psf, c.nx, c.ny).withColumnRenamed("flux", "model")
+    left = image.join(model, [*ids, "x", "y"], "left").select(*ids, "x", "y", (F.col("flux") - F.coalesce("model", F.lit(0.0))).alias("flux"))
     found = detect(left, c).segstats.where("flux > 0 and xcen is not null")
     shift = F.broadcast(sources.agg(F.max("k").alias("shift")))
-    extra = found.crossJoin(shift).select((F.col("segID") + F.coalesce("shift", F.lit(0))).alias("k"), "xcen", "ycen", "flux")
-    every = sources.select("k", "xcen", "ycen", "flux").unionByName(extra)
+    extra = found.crossJoin(shift).select(*ids, (F.col("segID") + F.coalesce("shift", F.lit(0))).alias("k"), "xcen", "ycen", "flux")
+    every = sources.select(*ids, "k", "xcen", "ycen", "flux").unionByName(extra)
     again = models.psf_fit(image, every, psf, c.nx, c.ny, rounds, magzero=c.magzero)
-    return again.join(sources.select("k", F.lit(False).alias("extra")), "k", "left").withColumn("extra", F.coalesce("extra", F.lit(True)))
+    return again.join(sources.select(*ids, "k", F.lit(False).alias("extra")), [*ids, "k"], "left").withColumn("extra", F.coalesce("extra", F.lit(True)))
 
 
-def propagate(pixels: DataFrame, segmap: DataFrame, lam: float = 1e-4, rounds: int = 1000) -> DataFrame:
+def propagate(pixels: DataFrame, segmap: DataFrame, lam: float = 1e-4) -> DataFrame:
     """SEG-8: every pixel takes the label it is reached from at the least cost.
 
     A step between neighbours costs sqrt((difference of values)^2 + lam) / sqrt(1 + lam).  Costs are
@@ -249,17 +251,17 @@ def propagate(pixels: DataFrame, segmap: DataFrame, lam: float = 1e-4, rounds: i
     start = pixels.join(segmap.where("segID > 0").select(*keys, "x", "y", "segID"), [*keys, "x", "y"], "left").select(*keys, "x", "y", "flux", F.when(F.col("segID").isNotNull(), 0.0).alias("cost"), "segID")
     around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in segments.AROUND))
     now = cut(start)
-    for _ in range(rounds):
+    while True:  # costs only fall, so this ends
         sent = now.where("segID is not null").withColumn("k", F.explode(around)).select(*keys, (F.col("x") + F.col("k.dx")).alias("x"), (F.col("y") + F.col("k.dy")).alias("y"), F.col("flux").alias("v"), F.col("cost").alias("c0"), F.col("segID").alias("s"))
         step = F.col("c0") + F.sqrt(F.pow(F.col("flux") - F.col("v"), 2) + lam) / (1 + lam) ** 0.5
         best = sent.join(now.select(*keys, "x", "y", "flux"), [*keys, "x", "y"]).groupBy(*keys, "x", "y").agg(F.min(F.struct(step.alias("c"), "s")).alias("b"))
         both = now.join(best, [*keys, "x", "y"], "left")
         better = F.coalesce((F.col("b.c") < F.col("cost") - 1e-12) | (F.col("cost").isNull() & F.col("b.c").isNotNull()), F.lit(False))
         nxt = cut(both.select(*keys, "x", "y", "flux", F.when(better, F.col("b.c")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("b.s")).otherwise(F.col("segID")).alias("segID"), better.alias("moved")))
+        drop(now)
         if nxt.where("moved").isEmpty():
             return nxt.select(*keys, "x", "y", "segID")
-        now = nxt.drop("moved")
-    raise RuntimeError("propagation did not settle")
+        now = nxt
 
 
 def texture(pixels: DataFrame, levels: int = 8) -> DataFrame:

@@ -7,8 +7,8 @@ from math import ceil, log10
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
-from ..model import keys_of
+from ..lineage import cut, drop
+from ..model import keys_of, shared_keys, with_summary
 from .kernels import Kernel
 from .stats import neighbours
 
@@ -81,26 +81,29 @@ def edge_pixels(segmap: DataFrame) -> DataFrame:
 
 
 def compare(map1: DataFrame, map2: DataFrame, ignore_sky: bool = True, least: float = 0.0) -> DataFrame:
-    """SEG-12, JN-4: shares of common pixels of each pair of labels, both ways, and their product."""
-    keys = [*keys_of(map1), "x", "y"]
+    """SEG-12, JN-4: shares of common pixels of each pair of labels, both ways, and their product, image by image."""
+    ids = shared_keys(map1, map2)
+    keys = [*ids, "x", "y"]
     both = map1.select(*keys, F.col("segID").alias("s1")).join(map2.select(*keys, F.col("segID").alias("s2")), keys)
-    one = map1.groupBy(F.col("segID").alias("s1")).agg(F.count(F.lit(1)).alias("n1"))
-    two = map2.groupBy(F.col("segID").alias("s2")).agg(F.count(F.lit(1)).alias("n2"))
+    one = map1.groupBy(*ids, F.col("segID").alias("s1")).agg(F.count(F.lit(1)).alias("n1"))
+    two = map2.groupBy(*ids, F.col("segID").alias("s2")).agg(F.count(F.lit(1)).alias("n2"))
     if ignore_sky:
         both = both.where("s1 > 0 and s2 > 0")
-    out = both.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("common")).join(one, "s1").join(two, "s2")
+    out = both.groupBy(*ids, "s1", "s2").agg(F.count(F.lit(1)).alias("common")).join(one, [*ids, "s1"]).join(two, [*ids, "s2"])
     out = out.withColumns({"frac1": F.col("common") / F.col("n1"), "frac2": F.col("common") / F.col("n2")}).withColumn("product", F.col("frac1") * F.col("frac2"))
     return out.where(F.col("product") > least)
 
 
 def relabel(segmap: DataFrame, mapping: DataFrame) -> DataFrame:
-    """SEG-15, JN-2: labels replaced by ``mapping(segID, newID)``; others stay."""
-    return segmap.join(mapping.select("segID", "newID"), "segID", "left").withColumn("segID", F.coalesce("newID", "segID")).select(*segmap.columns)
+    """SEG-15, JN-2: labels replaced by ``mapping(segID, newID)``, which may have image keys; others stay."""
+    on = [*shared_keys(segmap, mapping), "segID"]
+    return segmap.join(mapping.select(*on, "newID"), on, "left").withColumn("segID", F.coalesce("newID", "segID")).select(*segmap.columns)
 
 
 def merge_lists_mapping(merges: DataFrame) -> DataFrame:
     """SEG-15: from ``segIDs`` arrays to (segID, newID): each list becomes its least label."""
-    return merges.select(F.array_min("segIDs").alias("newID"), F.explode("segIDs").alias("segID")).groupBy("segID").agg(F.min("newID").alias("newID"))
+    ids = keys_of(merges)
+    return merges.select(*ids, F.array_min("segIDs").alias("newID"), F.explode("segIDs").alias("segID")).groupBy(*ids, "segID").agg(F.min("newID").alias("newID"))
 
 
 def zap_lists(merges: DataFrame, gone: list[int]) -> DataFrame:
@@ -111,7 +114,9 @@ def zap_lists(merges: DataFrame, gone: list[int]) -> DataFrame:
 def paste_groups(segmap: DataFrame, groupim: DataFrame, groups: list[int], clean: DataFrame | None = None) -> DataFrame:
     """SEG-15: pixels of the chosen groups take the group's label; with ``clean`` its members vanish first."""
     keys = [*keys_of(segmap), "x", "y"]
-    base = segmap if clean is None else segmap.join(clean.select("segID"), "segID", "left_anti").select(*segmap.columns)
+    if clean is not None:
+        on = [*shared_keys(segmap, clean), "segID"]
+    base = segmap if clean is None else segmap.join(clean.select(*on), on, "left_anti").select(*segmap.columns)
     over = groupim.where(F.col("groupID").isin(groups)).select(*keys, "groupID")
     return base.join(over, keys, "full").select(*keys, F.coalesce("groupID", "segID").alias("segID"))
 
@@ -119,14 +124,15 @@ def paste_groups(segmap: DataFrame, groupim: DataFrame, groups: list[int], clean
 def merge_maps(base: DataFrame, add: DataFrame, base_stats: DataFrame, add_stats: DataFrame) -> DataFrame:
     """SEG-11, SET-4: two maps; of segments with one uniqueID the brighter survives, ``add`` overrides.
 
-    Stats have segID, uniqueID, flux.  Labels of ``add`` move above those of ``base``.
+    Stats have segID, uniqueID, flux.  Labels of ``add`` move above those of ``base`` in the same image.
     """
-    keys = [*keys_of(base), "x", "y"]
-    shift = F.broadcast(base.agg(F.max("segID").alias("shift")))
-    pairs = base_stats.select("uniqueID", F.col("segID").alias("s1"), F.col("flux").alias("f1")).join(add_stats.select("uniqueID", F.col("segID").alias("s2"), F.col("flux").alias("f2")), "uniqueID")
-    lose1, lose2 = pairs.where("f2 > f1").select(F.col("s1").alias("segID")), pairs.where("f2 <= f1").select(F.col("s2").alias("segID"))
-    one = base.where("segID > 0").join(lose1, "segID", "left_anti").select(*keys, F.col("segID").alias("a"))
-    two = add.where("segID > 0").join(lose2, "segID", "left_anti").crossJoin(shift).select(*keys, (F.col("segID") + F.col("shift")).alias("b"))
+    ids = shared_keys(base, add, base_stats, add_stats)
+    keys = [*ids, "x", "y"]
+    shift = base.groupBy(*ids).agg(F.max("segID").alias("shift"))
+    pairs = base_stats.select(*ids, "uniqueID", F.col("segID").alias("s1"), F.col("flux").alias("f1")).join(add_stats.select(*ids, "uniqueID", F.col("segID").alias("s2"), F.col("flux").alias("f2")), [*ids, "uniqueID"])
+    lose1, lose2 = pairs.where("f2 > f1").select(*ids, F.col("s1").alias("segID")), pairs.where("f2 <= f1").select(*ids, F.col("s2").alias("segID"))
+    one = base.where("segID > 0").join(lose1, [*ids, "segID"], "left_anti").select(*keys, F.col("segID").alias("a"))
+    two = with_summary(add.where("segID > 0").join(lose2, [*ids, "segID"], "left_anti"), shift, ids).select(*keys, (F.col("segID") + F.coalesce("shift", F.lit(0))).alias("b"))
     return one.join(two, keys, "full").select(*keys, F.coalesce("b", "a").alias("segID"))
 
 
@@ -140,17 +146,17 @@ def components(pixels: DataFrame, connectivity: int = 4, reach: int = 1) -> Data
     places = tuple((i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)) if connectivity == 8 else ((0, 0), *CROSS)
     number = F.col("y").cast("long") * (1 << 32) + F.col("x")
     now = pixels.select(*keys, "x", "y", number.alias("id"), number.alias("comp"))
-    for _ in range(10_000):
+    while True:  # labels only fall, so this ends
         sent = now.select(*keys, "x", "y", "comp", F.explode(_offsets(places)).alias("k")).select(*keys, (F.col("x") + F.col("k.dx")).alias("x"), (F.col("y") + F.col("k.dy")).alias("y"), "comp", F.expr("k.dx = 0 and k.dy = 0").alias("own"))
         got = sent.groupBy(*keys, "x", "y").agg(F.min("comp").alias("least"), F.max(F.when(F.col("own"), F.col("comp"))).alias("comp")).where("comp is not null")
         # the pixel that gave a component its name may itself belong to a lesser one by now
         names = got.groupBy(*keys, F.col("comp").alias("least")).agg(F.min("least").alias("further"))
         nxt = got.join(names, [*keys, "least"], "left").select(*keys, "x", "y", number.alias("id"), F.least("least", "further").alias("comp"), F.col("comp").alias("before"))
         nxt = cut(nxt)
+        drop(now)
         if nxt.where("comp <> before").isEmpty():
             return nxt.select(*keys, "x", "y", "comp")
-        now = nxt.drop("before")
-    raise RuntimeError("components did not settle")
+        now = nxt
 
 
 def group_segments(segmap: DataFrame, connectivity: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -164,40 +170,44 @@ def group_segments(segmap: DataFrame, connectivity: int = 4) -> tuple[DataFrame,
     labels = segmap.where("segID > 0")
     comp = components(labels.select(*keys_of(segmap), "x", "y"), connectivity)
     both = labels.join(comp, [*keys_of(segmap), "x", "y"])
+    ids = keys_of(segmap)
     home = majority(both, "segID", "comp")
-    named = home.join(home.groupBy("comp").agg(F.min("segID").alias("groupID")), "comp").select("segID", "groupID")
-    sizes = both.groupBy("segID").agg(F.count(F.lit(1)).alias("n"))
-    groups = named.join(sizes, "segID").groupBy("groupID").agg(F.array_sort(F.collect_set("segID")).alias("segIDs"), F.count(F.lit(1)).cast("int").alias("Ngroup"), F.sum("n").alias("Npix"))
-    return groups, labels.join(named, "segID").select(*keys_of(segmap), "x", "y", "groupID")
+    named = home.join(home.groupBy(*ids, "comp").agg(F.min("segID").alias("groupID")), [*ids, "comp"]).select(*ids, "segID", "groupID")
+    sizes = both.groupBy(*ids, "segID").agg(F.count(F.lit(1)).alias("n"))
+    groups = named.join(sizes, [*ids, "segID"]).groupBy(*ids, "groupID").agg(F.array_sort(F.collect_set("segID")).alias("segIDs"), F.count(F.lit(1)).cast("int").alias("Ngroup"), F.sum("n").alias("Npix"))
+    return groups, labels.join(named, [*ids, "segID"]).select(*ids, "x", "y", "groupID")
 
 
 def merge_closure(merges: DataFrame) -> DataFrame:
-    """SEG-16: lists that share a label become one (the full closure)."""
-    lists = merges.select(F.array_min("segIDs").alias("least"), "segIDs")
-    now = lists.select(F.explode("segIDs").alias("segID"), "least").withColumn("comp", F.col("least"))
-    for _ in range(1000):
-        by_label = now.groupBy("segID").agg(F.min("comp").alias("m"))
-        by_list = now.join(by_label, "segID").groupBy("least").agg(F.min("m").alias("n"))
-        nxt = cut(now.join(by_list, "least").select("segID", "least", F.least("comp", "n").alias("comp"), F.col("comp").alias("before")))
+    """SEG-16: lists of an image that share a label become one (the full closure)."""
+    ids = keys_of(merges)
+    lists = merges.select(*ids, F.array_min("segIDs").alias("least"), "segIDs")
+    now = lists.select(*ids, F.explode("segIDs").alias("segID"), "least").withColumn("comp", F.col("least"))
+    while True:  # labels only fall, so this ends
+        by_label = now.groupBy(*ids, "segID").agg(F.min("comp").alias("m"))
+        by_list = now.join(by_label, [*ids, "segID"]).groupBy(*ids, "least").agg(F.min("m").alias("n"))
+        nxt = cut(now.join(by_list, [*ids, "least"]).select(*ids, "segID", "least", F.least("comp", "n").alias("comp"), F.col("comp").alias("before")))
+        drop(now)
         if nxt.where("comp <> before").isEmpty():
-            return nxt.groupBy("comp").agg(F.array_sort(F.collect_set("segID")).alias("segIDs")).select("segIDs")
-        now = nxt.drop("before")
-    raise RuntimeError("merge lists did not settle")
+            return nxt.groupBy(*ids, "comp").agg(F.array_sort(F.collect_set("segID")).alias("segIDs")).select(*ids, "segIDs")
+        now = nxt
 
 
 def auto_merge(segmap: DataFrame, stats: DataFrame, spur_lim: float, ncut: int = 2, connectivity: int = 4) -> DataFrame:
     """SEG-18: groups of touching segments with cenfrac / (1 + sep) below ``spur_lim``, of at least ``ncut``."""
-    spur = stats.where(F.try_divide("cenfrac", 1 + F.col("sep")) < spur_lim).select("segID")
-    groups, _ = group_segments(segmap.join(spur, "segID", "left_semi").select(*segmap.columns), connectivity)
+    on = [*shared_keys(segmap, stats), "segID"]
+    spur = stats.where(F.try_divide("cenfrac", 1 + F.col("sep")) < spur_lim).select(*on)
+    groups, _ = group_segments(segmap.join(spur, on, "left_semi").select(*segmap.columns), connectivity)
     return groups.where(F.col("Ngroup") >= ncut)
 
 
 def extend_map(segmap: DataFrame, found: DataFrame) -> DataFrame:
     """SEG-14: labels found on the rest of the image, moved above the present ones, added."""
-    shift = F.broadcast(segmap.agg(F.coalesce(F.max("segID"), F.lit(0)).alias("shift")))
-    cols = [*keys_of(segmap), "x", "y"]
-    new = found.where("segID > 0").join(segmap.where("segID > 0").select(*cols), cols, "left_anti").crossJoin(shift)
-    return segmap.where("segID > 0").select(*cols, "segID").unionByName(new.select(*cols, (F.col("segID") + F.col("shift")).alias("segID")))
+    ids = shared_keys(segmap, found)
+    shift = segmap.groupBy(*ids).agg(F.max("segID").alias("shift"))
+    cols = [*ids, "x", "y"]
+    new = with_summary(found.where("segID > 0").join(segmap.where("segID > 0").select(*cols), cols, "left_anti"), shift, ids)
+    return segmap.where("segID > 0").select(*cols, "segID").unionByName(new.select(*cols, (F.col("segID") + F.coalesce("shift", F.lit(0))).alias("segID")))
 
 
 def unique_id(xmax: Column, ymax: Column, ny: int) -> Column:

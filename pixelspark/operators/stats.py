@@ -189,8 +189,9 @@ def mask_cover(segmap: DataFrame) -> DataFrame:
 
 def majority(rows: DataFrame, key: str, value: str) -> DataFrame:
     """AGG-14: the most frequent value of each key, of equals the least."""
-    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(key).agg(F.max(F.struct("n", (-F.col(value)).alias("v"))).alias("m")).select(key, (-F.col("m.v")).alias(value))
+    ids = keys_of(rows)
+    counts = rows.groupBy(*ids, key, value).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*ids, key).agg(F.max(F.struct("n", (-F.col(value)).alias("v"))).alias("m")).select(*ids, key, (-F.col("m.v")).alias(value))
 
 
 def keep_large(segmap: DataFrame, pixcut: int) -> DataFrame:
