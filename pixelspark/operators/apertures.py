@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import ellipse_radius, sersic_weight
 from ..functions.units import flux_to_mag, flux_to_sb
-from ..model import keys_of
+from ..model import keys_of, shared_keys
 
 PI = 3.141593  # fixed value: the constant of the ellipse tests
 CELL = 16
@@ -177,22 +177,23 @@ def segment_photometry(pixels: DataFrame, centres: DataFrame, diameters: list[fl
     the difference between found and full area.
     """
     own = pixels.where("segID > 0 and flux is not null") if "mask" not in pixels.columns else pixels.where("segID > 0 and flux is not null and mask = 0")
-    both = own.join(centres.select("segID", "xcen", "ycen"), "segID")
+    ids = shared_keys(pixels, centres)
+    both = own.join(centres.select(*ids, "segID", "xcen", "ycen"), [*ids, "segID"])
     dx, dy = F.col("x") - 0.5 - F.col("xcen"), F.col("y") - 0.5 - F.col("ycen")
-    out = centres.select("segID", "xcen", "ycen")
+    out = centres.select(*ids, "segID", "xcen", "ycen")
     aggs = []
     for k, d in enumerate(diameters, 1):
         r = d / 2 / pixscale
         both = both.withColumn(f"c{k}", circle_cover(dx, dy, F.lit(r), depth))
         w = 1 - 2 * F.abs(F.col(f"c{k}") - 0.5)
         aggs += [F.sum(F.col("flux") * F.col(f"c{k}")).alias(f"f{k}"), F.sum(f"c{k}").alias(f"n{k}"), F.try_divide(F.sum(F.col("flux") * w), F.sum(w)).alias(f"m{k}")]
-    got = out.join(both.groupBy("segID").agg(*aggs), "segID", "left")
+    got = out.join(both.groupBy(*ids, "segID").agg(*aggs), [*ids, "segID"], "left")
     cols = []
     for k, d in enumerate(diameters, 1):
         full = 3.141592653589793 * (d / 2 / pixscale) ** 2
         flux = F.col(f"f{k}") - (F.col(f"n{k}") - full) * F.coalesce(f"m{k}", F.lit(0.0)) if correct else F.col(f"f{k}")
         cols += [flux.alias(f"flux_app_{k}"), flux_to_mag(flux, magzero).alias(f"mag_app_{k}"), flux_to_sb(flux / full, magzero, pixscale).alias(f"SB_app_{k}"), F.col(f"n{k}").alias(f"N_app_{k}"), (F.col(f"n{k}") / full).alias(f"frac_app_{k}"), F.col(f"m{k}").alias(f"flux_min_{k}")]
-    return got.select("segID", "xcen", "ycen", *cols)
+    return got.select(*ids, "segID", "xcen", "ycen", *cols)
 
 
 def random_apertures(pixels: DataFrame, diameter: float, n: int, seed: int = 1, depth: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ def brush(size: int, shape: str = "disc", sigma: float = 0.3, angle: float = 45.
     """FLT-4: offsets of a brush; even sizes grow by one.
 
     box; disc (squared distance below (size/2) squared); diamond (city distance below size/2);
-    gaussian (weights, relative width ``sigma``); line (at ``angle`` degrees).
+    gaussian (weights that sum to one, ``sigma`` in pixels); line (at ``angle`` degrees).
     """
     size += 1 - size % 2
     h = size // 2
@@ -23,7 +23,7 @@ def brush(size: int, shape: str = "disc", sigma: float = 0.3, angle: float = 45.
     if shape == "diamond":
         return [(i, j, 1.0) for i, j in at if abs(i) + abs(j) < size / 2]
     if shape == "gaussian":
-        return [(i, j, exp(-(i * i + j * j) / (2 * (sigma * size) ** 2))) for i, j in at]
+        return normalised([(i, j, exp(-(i * i + j * j) / (2 * sigma * sigma))) for i, j in at])
     if shape == "line":
         a = angle % 180
         if a <= 45 or a > 135:

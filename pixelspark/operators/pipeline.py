@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -54,7 +55,9 @@ class Config:
     deblend: bool = False
     flux_unit: str = "Raw"
     static: bool = False
-    cor_err: dict[float, float] | None = field(default=None, hash=False)
+    cor_err: dict[float, float] | Callable | None = field(default=None, hash=False)
+    app_diam: float | None = None
+    header: dict[str, float] | None = field(default=None, hash=False)
 
 
 def static_photometry(config: Config) -> Config:
@@ -162,7 +165,7 @@ def detect(pixels: DataFrame, c: Config, segmap: DataFrame | None = None, flag:
     if c.local_sky:
         now = local_annulus_sky(now, seg, c)
     net = labelled(now, seg).withColumn("flux", F.col("flux") - F.col("sky"))
-    cat = stats.segment_stats(net, c.nx, c.ny, c.magzero, c.gain, c.pixscale, c.rotstats, c.boundstats, c.cor_err)
+    cat = stats.segment_stats(net, c.nx, c.ny, c.magzero, c.gain, c.pixscale, c.rotstats, c.boundstats, c.cor_err, app_diam=c.app_diam, header=c.header)
     ids = [*keys_of(pixels), "segID"]
     ring_sky = labelled(now, segments.dilate(seg, kernels.brush(c.size, c.shape), c.nx, c.ny).join(seg.select(*keys), keys, "left_anti")).where("segID > 0").groupBy(*ids).agg(F.avg(F.col("flux") - F.col("sky")).alias("skyseg_mean"))
     cat = cat.join(history, ids, "left").join(ring_sky, ids, "left")

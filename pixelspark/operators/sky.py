@@ -103,8 +103,12 @@ def clip_exact(values: np.ndarray, sigma: float | None = None, rounds: int = 5,
 def tile_stats(tiles: DataFrame, skytype: str = "median", rmstype: str = "quanlo", sigmasel: float = 1.0) -> DataFrame:
     """SKY-3, SKY-4, SKY-5: sky and skyRMS of each tile from its values."""
     keys = _tile_keys(tiles)
+    if skytype == "converge" or rmstype == "converge":
+        spread = converged(tiles)
     if skytype == "mode":
         centre = density_mode(tiles)
+    elif skytype == "converge":
+        centre = spread.drop("sd_sky")
     else:
         agg = {"median": F.percentile("flux", 0.5), "mean": F.avg("flux")}[skytype]
         centre = tiles.groupBy(*keys).agg(agg.alias("sky"))
@@ -112,7 +116,9 @@ def tile_stats(tiles: DataFrame, skytype: str = "median", rmstype: str = "quanlo
     p = 2 * _phi(-sigmasel)
     lo = F.abs(F.percentile(F.when(d < 0, d), p)) / sigmasel
     hi = F.abs(F.percentile(F.when(d > 0, d), 1 - p)) / sigmasel
-    rms = {"quanlo": lo, "quanhi": hi, "quanboth": (lo + hi) / 2, "sd": F.sqrt(F.avg(d * d))}[rmstype]
+    rms = {"quanlo": lo, "quanhi": hi, "quanboth": (lo + hi) / 2, "sd": F.sqrt(F.avg(d * d)), "converge": F.first("sd_sky")}[rmstype]
+    if rmstype == "converge":
+        centre = centre.join(spread.drop("sky"), keys)
     return tiles.join(centre, keys).groupBy(*keys, "sky").agg(rms.alias("skyRMS"), F.count(F.lit(1)).alias("n"), F.avg(F.when(d < 0, d * d)).alias("below"))
 
 
@@ -332,34 +338,80 @@ def poly_sky(pixels: DataFrame, degree: int = 1, nx: int = 1, ny: int = 1) -> tu
     return pixels.withColumn("sky", sum((float(x) * t for x, t in zip(c, terms, strict=True)), F.lit(0.0))), [float(x) for x in c]
 
 
-def annulus_sky(pixels: DataFrame, xcen: float, ycen: float, lo: float, hi: float, bins: int = 20) -> DataFrame:
-    """SKY-13: sky in an annulus: medians of radial bins, weighted by their errors."""
-    rad = F.sqrt(F.pow(F.col("x") - 0.5 - xcen, 2) + F.pow(F.col("y") - 0.5 - ycen, 2))
-    inside = sky_values(pixels).withColumn("rad", rad).where(F.col("rad").between(lo, hi))
-    keys = keys_of(pixels)
-    binned = inside.withColumns({"gx": F.least(F.floor((F.col("rad") - lo) / ((hi - lo) / bins)), F.lit(bins - 1)), "gy": F.lit(0).cast("long")})
-    med = clip(binned).groupBy(*keys, "gx").agg(F.percentile("flux", 0.5).alias("m"), F.stddev_samp("flux").alias("s"), F.count(F.lit(1)).alias("n"))
-    w = F.try_divide("n", F.col("s") * F.col("s"))
-    return med.groupBy(*keys).agg(F.try_divide(F.sum(w * F.col("m")), F.sum(w)).alias("sky"), (1 / F.sqrt(F.sum(w))).alias("skyerr"), F.sqrt(F.try_divide(F.sum(F.col("n") * F.col("s") * F.col("s")), F.sum("n"))).alias("skyRMS"))
-
+def annulus_sky(pixels: DataFrame, xcen: float, ycen: float, lo: float, hi: float, bins: int = 10, radweight: float = 0.0) -> DataFrame:
+    """SKY-13: sky in an annulus, from medians of ``bins`` rings with equal numbers of pixels.
 
-def truncated_normal(mean: float, sd: float, rounds: int = 100, upper: float | None = None) -> tuple[float, float]:
-    """SKY-6: mean and deviation of a normal whose values above ``upper`` (its own mean by default) were cut.
+    Pixels are clipped, then dealt by radius.  A ring's error is its deviation over the root of its number; the
+    sky is the mean of the medians weighted by the inverse square of error and of radius to the power of
+    minus ``radweight``, over the rings whose error reaches the sky, until their number settles.  ``skyerr`` is
+    the deviation of all medians, ``skyRMS`` the mean error times the root of the mean number.
+    """
+    keys = keys_of(pixels)
+    rad = F.sqrt(F.pow(F.col("x") - 0.5 - xcen, 2) + F.pow(F.col("y") - 0.5 - ycen, 2))
+    inside = clip(sky_values(pixels).withColumn("rad", rad).where(F.col("rad").between(lo, hi)).withColumn("gx", F.lit(0)))
+    ring = F.ntile(bins).over(Window.partitionBy(*keys, "gx").orderBy("rad", "y", "x"))
+    rings = inside.withColumn("ring", ring).groupBy(*keys, "ring").agg(F.percentile("rad", 0.5).alias("r"), F.percentile("flux", 0.5).alias("m"), F.stddev_samp("flux").alias("s"), F.count(F.lit(1)).alias("n"))
+    names = ["sky", "skyerr", "skyRMS", "Nnear"]
 
-    Fixed-point iteration: the observed moments of the lower part are corrected by the moments of a
-    normal truncated there.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, n = pdf["m"].to_numpy(), pdf["n"].to_numpy(float)
+        err = pdf["s"].to_numpy() / np.sqrt(n)
+        w = (pdf["r"].to_numpy() ** radweight / err) ** 2
+        near, before = np.ones(len(m), bool), -1
+        while True:
+            sky = float(np.average(m[near], weights=w[near])) if near.any() else float("nan")
+            near = np.abs(m - sky) <= err
+            if near.sum() == before:
+                break
+            before = near.sum()
+        use = near if near.any() else np.ones(len(m), bool)
+        row = [sky, float(np.std(m, ddof=1)), float(err[use].mean() * np.sqrt(n[use].mean())), int(near.sum())]
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *row]], columns=[*keys, *names])
+
+    schema = "".join(f"{k} {rings.schema[k].dataType.simpleString()}, " for k in keys) + "sky double, skyerr double, skyRMS double, Nnear long"
+    # a ring without spread has no error to weigh by
+    return rings.where("s > 0").withColumn("one", F.lit(1)).groupBy(*(keys or ["one"])).applyInPandas(run, schema)
+
+
+def untruncated(mean: np.ndarray, sd: np.ndarray, low_mean: np.ndarray, low_sd: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """SKY-6: mean and deviation of the normals whose parts below mean + sd have the moments ``low_mean``, ``low_sd``.
+
+    From the first guess (mean, sd), each round compares the moments that such a truncated normal would have
+    with the observed ones: the mean moves by twice the difference, the deviation by the ratio.
     """
-    m, s = mean, sd
-    for _ in range(rounds):
-        top = mean + sd if upper is None else upper
-        b = (top - m) / s if s > 0 else 0.0
-        ratio = np.exp(-0.5 * b * b) / sqrt(2 * np.pi) / max(_phi(b), 1e-300)
-        s_new = sd / sqrt(max(1e-12, 1 - b * ratio - ratio * ratio))
-        m_new = mean + s_new * ratio
-        if abs(m_new - m) + abs(s_new - s) < 1e-12 * max(1.0, s):
-            return float(m_new), float(s_new)
-        m, s = m_new, s_new
-    return float(m), float(s)
+    upper, mu, sigma = mean + sd, mean.copy(), sd.copy()
+    erfs = np.frompyfunc(erf, 1, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(rounds):
+            z = (upper - mu) / sigma
+            share = 0.5 * (1 + erfs(z / sqrt(2)).astype(float))
+            ratio = np.exp(-0.5 * z * z) / sqrt(2 * np.pi) / share
+            mu, sigma = mu + 2 * (low_mean - (mu - sigma * ratio)), sigma * low_sd / (sigma * np.sqrt(1 - z * ratio - ratio * ratio))
+    return mu, sigma
+
+
+def converged(tiles: DataFrame, rounds: int = 100) -> DataFrame:
+    """SKY-4 (converge), SKY-6: sky and deviation of each tile from the lower part of its values.
+
+    Values above the median plus five rough deviations (twice that of the values below the median) go; of the rest
+    the part below mean plus deviation is taken for a truncated normal.
+    """
+    keys = _tile_keys(tiles)
+    whole = Window.partitionBy(*keys)
+    v = tiles.withColumn("mid", F.percentile("flux", 0.5).over(whole))
+    v = v.withColumn("rough", 2 * F.stddev_samp(F.when(F.col("flux") < F.col("mid"), F.col("flux"))).over(whole))
+    v = v.where(F.col("flux") < F.col("mid") + 5 * F.col("rough"))
+    v = v.withColumns({"mean": F.avg("flux").over(whole), "sd": F.stddev_samp("flux").over(whole)})
+    low = v.where(F.col("flux") < F.col("mean") + F.col("sd")).groupBy(*keys, "mean", "sd").agg(F.avg("flux").alias("low_mean"), F.stddev_samp("flux").alias("low_sd"))
+    names = ["mean", "sd", "low_mean", "low_sd"]
+    schema = ", ".join(f"{k} {low.schema[k].dataType.simpleString()}" for k in keys) + ", sky double, sd_sky double"
+
+    def run(batches):
+        for pdf in batches:
+            mu, sigma = untruncated(*(pdf[n].to_numpy(float) for n in names), rounds)
+            yield pdf[keys].assign(sky=mu, sd_sky=sigma)
+
+    return low.mapInPandas(run, schema)
 
 
 def blur_sky(pixels: DataFrame, sigma: float) -> DataFrame:

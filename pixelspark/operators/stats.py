@@ -7,12 +7,13 @@ break ties by (flux, y, x), so results do not depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, log10
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cov_angle, cov_eigenvalues
+from ..functions.geometry import cov_angle, cov_eigenvalues, tan_pixel_to_sky
 from ..functions.special import normal_quantile, significance
 from ..functions.units import flux_to_mag, flux_to_sb
 from ..model import keys_of
@@ -251,15 +252,20 @@ def segment_stats(
     pixscale: float = 1.0,
     rotstats: bool = False,
     boundstats: bool = False,
-    cor_err: dict[float, float] | None = None,
+    cor_err: dict[float, float] | Callable[[Column], Column] | None = None,
     sortcol: str | None = None,
     decreasing: bool = False,
+    app_diam: float | None = None,
+    header: dict[str, float] | None = None,
 ) -> DataFrame:
     """AGG-10: the catalogue of segments; columns that were not asked for are NULL.
 
     ``pixels`` holds x, y, flux (sky subtracted), segID, and optionally mask, sky, skyRMS; sky pixels are
     needed for ``boundstats``.  ``cor_err`` maps pixel counts to the share of correlated error and is
-    interpolated linearly (UDF-2).
+    interpolated linearly (UDF-2), or is a function from the column of counts to a column (UDF-1): an
+    expression or a pandas UDF.  ``app_diam`` (arc seconds) gives ``flux_app``: the circle about the centre over
+    the segment's own pixels, corrected to the circle's full area by the mean flux at its edge.  ``header`` (the
+    values of an image's header) gives sky coordinates.
     """
     keys = by_segment(pixels)
     has = set(pixels.columns)
@@ -286,7 +292,7 @@ def segment_stats(
         "R100": radius("N100"),
         "flux_err_sky": F.col("sd_sky") * F.col("N100"),
         "flux_err_shot": F.when(F.col("flux") >= 0, F.sqrt("flux") / gain) if gain else F.lit(0.0),
-        "cor_seg": interpolate_knots(F.col("N100"), cor_err) if cor_err else F.lit(0.0),
+        "cor_seg": F.lit(0.0) if not cor_err else cor_err(F.col("N100")) if callable(cor_err) else interpolate_knots(F.col("N100"), cor_err),
         "signif": significance("chi2", F.col("N100").cast("double")) if "skyRMS" in has else null,
         "FPlim": normal_quantile(1 - F.col("N100") / (nx * ny)),
     })
@@ -309,7 +315,21 @@ def segment_stats(
         cat = cat.join(boundary(pixels, nx, ny), keys, "left").withColumn("edge_excess", edge_excess(F.col("R100") / pixscale, F.col("axrat"), F.col("Nedge")))
     else:
         cat = cat.withColumns({c: null for c in (*bounds, "edge_excess")})
-    cat = cat.withColumns({c: null for c in ("RAcen", "Deccen", "RAmax", "Decmax", "flux_app", "mag_app")})
+    if header:
+        values = F.create_map(*(F.lit(v) for k, x in header.items() for v in (k, str(x))))
+        cat = cat.withColumn("keyvalues", values)
+        for end in ("cen", "max"):  # the header counts from the middle of the first pixel as 1
+            ra, dec = tan_pixel_to_sky(F.col(f"x{end}") + 0.5, F.col(f"y{end}") + 0.5)
+            cat = cat.withColumns({f"RA{end}": ra, f"Dec{end}": dec})
+    else:
+        cat = cat.withColumns({c: null for c in ("RAcen", "Deccen", "RAmax", "Decmax")})
+    if app_diam:
+        from .apertures import segment_photometry
+
+        app = segment_photometry(pixels, mom, [app_diam], magzero=magzero, pixscale=pixscale).select(*keys, F.col("flux_app_1").alias("flux_app"), F.col("mag_app_1").alias("mag_app"))
+        cat = cat.join(app, keys, "left")
+    else:
+        cat = cat.withColumns({"flux_app": null, "mag_app": null})
     out = cat.select(*keys_of(pixels), *SEGSTATS)
     if sortcol:
         out = out.orderBy(F.desc(sortcol) if decreasing else F.asc(sortcol), "segID")

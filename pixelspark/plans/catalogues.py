@@ -72,13 +72,13 @@ def dbl_share(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_fixtures(
         "f4",
-        "p AS (SELECT a.k, b.k AS match, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS dist FROM f4 a JOIN f4 b ON a.k % 2 = 0 AND b.k % 2 = 1) SELECT k::BIGINT AS segID, match::BIGINT AS match, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dist, match) AS rn FROM p WHERE dist <= 20) WHERE rn = 1",
+        "p AS (SELECT a.k, b.k AS match, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS dist FROM f4 a JOIN f4 b ON a.k % 2 = 0 AND b.k % 2 = 1) SELECT k::BIGINT AS segID, match::BIGINT AS match, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dist, match) AS rn FROM p WHERE dist <= 60) WHERE rn = 1",
     )
 )
 def jn_nearest(spark: SparkSession, d: str) -> DataFrame:
     """JN-9."""
     src = f4(spark, d).select(F.col("k").alias("segID"), F.col("cx").alias("xcen"), F.col("cy").alias("ycen"))
-    out = C.nearest(src.where("segID % 2 = 0"), src.where("segID % 2 = 1"), 20.0)
+    out = C.nearest(src.where("segID % 2 = 0"), src.where("segID % 2 = 1"), 60.0)
     return out.select(F.col("segID").cast("long").alias("segID"), F.col("match").cast("long").alias("match"), *r("dist"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as L
 from ..operators import kernels as B
-from .fixtures import f1, f2, f3, f4, height, with_fixtures
+from .fixtures import f1, f2, f3, f4, f5, height, with_fixtures
 from .maps import xy
 from .registry import query
 from .statistics import r
@@ -103,6 +103,27 @@ def flt_box(spark: SparkSession, d: str) -> DataFrame:
     return L.box_flux(f2(spark, d), 32, 100, 11)
 
 
+@query(with_fixtures("f5", "s AS (SELECT band, (x + 1) // 2 AS x, (y + 1) // 2 AS y, sum(flux) / 4 AS f FROM f5 GROUP BY 1, 2, 3) SELECT band, x::BIGINT AS x, y::BIGINT AS y, round(f * sum(o.t) / sum(n.t), 6) AS flux FROM s JOIN (SELECT band, sum(flux) AS t FROM f5 GROUP BY 1) o USING (band) JOIN (SELECT band, sum(f) AS t FROM s GROUP BY 1) n USING (band) GROUP BY band, x, y, f"))
+def flt_resample_bands(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-6 on several images at once."""
+    out = L.resample(f5(spark, d), 100, 100, 2.0, "image")
+    return out.select("band", *xy(out), *r("flux"))
+
+
+_AT = "cl AS (SELECT i, j FROM (SELECT unnest(generate_series(-2, 2)) AS i), (SELECT unnest(generate_series(-2, 2)) AS j))"
+
+
+@query(
+    f"""WITH {_AT}, w AS (SELECT 'box' AS shape, i, j, 1e0 AS w FROM cl UNION ALL SELECT 'disc', i, j, 1 FROM cl WHERE i * i + j * j < 6.25 UNION ALL SELECT 'diamond', i, j, 1 FROM cl WHERE abs(i) + abs(j) < 2.5
+  UNION ALL SELECT 'gaussian', i, j, exp(-(i * i + j * j) / 4.5e0) / (SELECT sum(exp(-(i * i + j * j) / 4.5e0)) FROM cl) FROM cl UNION ALL SELECT 'line', i, i, 1 FROM cl WHERE i = j)
+  SELECT shape, i::BIGINT AS dx, j::BIGINT AS dy, round(w, 9) AS w FROM w"""
+)
+def flt_brush(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-4, FLT-5."""
+    rows = [(shape, i, j, float(w)) for shape in ("box", "disc", "diamond", "gaussian", "line") for i, j, w in B.brush(5, shape, sigma=1.5)]
+    return spark.createDataFrame(rows, "shape string, dx long, dy long, w double").withColumn("w", F.round("w", 9))
+
+
 @query(with_fixtures("f3", "s AS (SELECT (x + 1) // 2 AS x, (y + 1) // 2 AS y, avg(coalesce(flux, 0)) AS f FROM f3 GROUP BY 1, 2) SELECT x::BIGINT AS x, y::BIGINT AS y, round(f * (SELECT sum(flux) FROM f3) / (SELECT sum(f) FROM s), 6) AS flux FROM s"))
 def flt_resample(spark: SparkSession, d: str) -> DataFrame:
     """FLT-6: half the resolution, the same total flux."""

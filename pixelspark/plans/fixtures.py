@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NY2 = 500  # rows of F2 in the SQL; the plans take all
+#: The height of F2 in its SQL.
+NY2 = "(SELECT max(y) FROM f2)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +62,9 @@ def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _F1 = "SELECT generate_subscripts(embedding, 1)::INT AS x, (vec_id + 1)::INT AS y, unnest(embedding)::DOUBLE AS flux, (label + 1)::INT AS segID FROM embeddings"
-_F2 = f"""SELECT x, y, flux, CASE WHEN flux < -300 THEN 1 ELSE 0 END AS mask,
+_F2 = """SELECT x, y, flux, CASE WHEN flux < -300 THEN 1 ELSE 0 END AS mask,
   CASE WHEN flux > 0 THEN (x - 1) // 8 + 8 * ((y - 1) // 10) + 1 ELSE 0 END AS segID
-  FROM (SELECT x, y, floor(flux * 1000)::DOUBLE AS flux FROM f1) WHERE y <= {NY2}"""
+  FROM (SELECT x, y, floor(flux * 1000)::DOUBLE AS flux FROM f1)"""
 _GRID = "SELECT x, y FROM (SELECT unnest(generate_series(1, 100))::INT AS x), (SELECT unnest(generate_series(1, 100))::INT AS y)"
 _F3 = f"""SELECT g.x, g.y, s.flux FROM ({_GRID}) g LEFT JOIN (SELECT l_partkey % 100 + 1 AS x, l_suppkey % 100 + 1 AS y, sum(l_quantity) AS flux
   FROM lineitem GROUP BY 1, 2) s USING (x, y)"""

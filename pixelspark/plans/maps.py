@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from math import cos, radians, sin
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry, units
+from ..lineage import shared_folder
+from ..model import Run
 from ..operators import apertures as A
 from ..operators import maps as M
 from ..operators import stats as S
-from .fixtures import f2, f3, f5, table, with_fixtures
+from .fixtures import f2, f3, f4, f5, grid, height, table, with_fixtures
 from .registry import query
-from .statistics import r
+from .statistics import HEADER, r
 
 POLYGON = [(5.0, 20.0), (30.0, 8.0), (58.0, 30.0), (40.0, 60.0), (33.0, 35.0), (12.0, 70.0), (8.0, 50.0)]
 _VERTICES = ", ".join(f"({i}, {x!r}e0, {y!r}e0, {POLYGON[i - 1][0]!r}e0, {POLYGON[i - 1][1]!r}e0)" for i, (x, y) in enumerate(POLYGON))
@@ -71,3 +75,73 @@ def pip_sblimit(spark: SparkSession, d: str) -> DataFrame:
     """PIP-6, SCL-3."""
     px = M.sb_limit_map(f2(spark, d).withColumn("skyRMS", 10.0 + F.col("y") % 5), 2.0, 30.0, 0.339, cap=24.2)
     return px.select(*xy(px), *r("SBlim", digits=5))
+
+
+@query("SELECT x::BIGINT AS x, y::BIGINT AS y, CASE WHEN x = 3 AND y = 2 THEN NULL ELSE x * 10e0 + y END AS flux FROM (SELECT unnest(generate_series(1, 6)) AS x), (SELECT unnest(generate_series(1, 4)) AS y)")
+def src_array(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-1: an image from memory."""
+    px = M.pixels_from_array(spark, [[float("nan") if (x, y) == (3, 2) else x * 10.0 + y for y in range(1, 5)] for x in range(1, 7)])
+    return px.select(*xy(px), "flux")
+
+
+@query(
+    """WITH h AS (SELECT s_suppkey AS k, -0.0001e0 - (s_suppkey % 5) * 0.00001e0 AS a, 0.00002e0 AS b, 0.00001e0 * (s_suppkey % 3) AS c, 0.0001e0 AS d FROM supplier)
+  SELECT k::BIGINT AS k, round(3600 * sqrt(abs(a * d - b * c)), 9) AS pixscale, round((1000 + k) * 2000e0 * abs(a * d - b * c), 9) AS area FROM h"""
+)
+def src_header(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-6, SRC-7: pixel scale and area of images from their headers."""
+    k = F.col("s_suppkey")
+    values = {"CD1_1": -0.0001 - (k % 5) * F.lit(0.00001), "CD1_2": F.lit(0.00002), "CD2_1": F.lit(0.00001) * (k % 3), "CD2_2": F.lit(0.0001)}
+    rows = table(spark, d, "supplier").select(k.alias("k"), F.create_map(*(c for n, v in values.items() for c in (F.lit(n), v.cast("string")))).alias("keyvalues"))
+    scale = geometry.pixel_scale()
+    return rows.select(F.col("k").cast("long").alias("k"), F.round(scale, 9).alias("pixscale"), F.round(units.image_area(1000.0 + F.col("k"), 2000.0, scale), 9).alias("area"))
+
+
+@query(
+    with_fixtures(
+        "f4",
+        """p AS (SELECT k, cx + 0.5e0 AS x, cy + 0.5e0 AS y FROM f4), q AS (SELECT *, radians(-0.0001e0 * (x - 32.5e0) + 0.00002e0 * (y - 250.5e0)) AS xi, radians(0.00002e0 * (x - 32.5e0) + 0.0001e0 * (y - 250.5e0)) AS eta, cos(radians(2e0)) AS c, sin(radians(2e0)) AS s FROM p)
+  SELECT k::BIGINT AS k, round(150 + degrees(atan2(xi, c - eta * s)), 9) AS ra, round(degrees(atan2(s + eta * c, sqrt(xi * xi + (c - eta * s) ** 2))), 9) AS dec, round(x, 6) AS x, round(y, 6) AS y FROM q""",
+    )
+)
+def scl_sky(spark: SparkSession, d: str) -> DataFrame:
+    """SCL-20: positions to sky coordinates and back."""
+    header = F.create_map(*(F.lit(v) for k, x in HEADER.items() for v in (k, str(x))))
+    ra, dec = geometry.tan_pixel_to_sky(F.col("cx") + 0.5, F.col("cy") + 0.5)
+    out = f4(spark, d).withColumn("keyvalues", header).withColumns({"ra": ra, "dec": dec})
+    x, y = geometry.tan_sky_to_pixel("ra", "dec")
+    return out.select(F.col("k").cast("long").alias("k"), *r("ra", "dec", digits=9), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query(with_fixtures("f2", "s AS (SELECT segID, sum(flux) AS flux FROM f2 WHERE segID > 0 AND mask = 0 GROUP BY 1) SELECT (segID // 10)::BIGINT AS groupID, segID::BIGINT AS segID, flux, row_number() OVER (ORDER BY segID // 10, flux DESC, segID) AS place FROM s"))
+def srt_composite(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-3: by group, the brightest of each first; ``place`` numbers the sorted rows."""
+    cat = S.segment_flux(f2(spark, d)).withColumn("groupID", F.expr("segID div 10"))
+    per = Window.partitionBy("groupID").orderBy(F.desc("flux"), "segID")
+    sizes = cat.groupBy("groupID").agg(F.count(F.lit(1)).alias("n"))  # one small row for each group
+    sizes = sizes.withColumn("start", F.sum("n").over(Window.orderBy("groupID")) - F.col("n"))
+    out = cat.withColumn("rank", F.row_number().over(per)).join(sizes, "groupID").orderBy("groupID", F.desc("flux"), "segID")
+    return out.select(F.col("groupID").cast("long").alias("groupID"), F.col("segID").cast("long").alias("segID"), "flux", (F.col("start") + F.col("rank")).alias("place"))
+
+
+@query(with_fixtures("f2", "SELECT DISTINCT segID::BIGINT AS segID FROM f2"))
+def set_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """SET-1: the labels of a map."""
+    return f2(spark, d).select(F.col("segID").cast("long").alias("segID")).distinct()
+
+
+@query(with_fixtures("f2", "SELECT x::BIGINT AS x, y::BIGINT AS y FROM (SELECT unnest(generate_series(1, 64)) AS x), (SELECT unnest(generate_series(1, (SELECT max(y) FROM f2))) AS y)"))
+def set_grid(spark: SparkSession, d: str) -> DataFrame:
+    """SET-5: every pixel of the image."""
+    out = grid(spark, 64, height(spark, d))
+    return out.select(*xy(out))
+
+
+@query(with_fixtures("f5", "SELECT band, count(*) AS n, sum(flux) AS flux FROM f5 GROUP BY 1 UNION ALL SELECT 'all', count(*), sum(flux) FROM f5"))
+def snk_run(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-1: maps and catalogues of a run, written by image and read again."""
+    px = f5(spark, d).withColumnRenamed("band", "image_id")
+    path = f"{shared_folder(spark)}/run-{uuid4().hex[:12]}"
+    Run({"pixels": px, "total": px.agg(F.count(F.lit(1)).alias("n"), F.sum("flux").alias("flux"))}).write(path)
+    each = spark.read.parquet(f"{path}/pixels").groupBy(F.col("image_id").cast("string").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("flux").alias("flux"))
+    return each.unionByName(spark.read.parquet(f"{path}/total").withColumn("band", F.lit("all")))

@@ -15,16 +15,14 @@ from .fixtures import f2, f3, f4, f5, height, with_fixtures
 from .registry import query
 from .statistics import _MOMENTS, r
 
-GROUPS = [(1, [1, 2, 9, 10]), (5, [5, 6]), (100, [100, 101, 108])]
+def groups_of(px: DataFrame) -> DataFrame:
+    """Every two by two blocks of F2 as a group, so that all segments are deblended."""
+    block = F.expr("((segID - 1) % 8) div 2 + 4 * (((segID - 1) div 8) div 2)")
+    one = px.where("segID > 0").groupBy("segID").agg(F.count(F.lit(1)).alias("n")).withColumn("block", block)
+    return one.groupBy("block").agg(F.min("segID").alias("groupID"), F.array_sort(F.collect_list("segID")).alias("segIDs"), F.sum("n").alias("Npix"), F.count(F.lit(1)).cast("int").alias("Ngroup")).drop("block")
 
 
-def groups_of(spark: SparkSession, px: DataFrame) -> DataFrame:
-    groups = spark.createDataFrame(GROUPS, "groupID int, segIDs array<int>")
-    n = groups.select("groupID", F.explode("segIDs").alias("segID")).join(px.groupBy("segID").count(), "segID").groupBy("groupID").agg(F.sum("count").alias("Npix"))
-    return groups.join(n, "groupID").withColumn("Ngroup", F.size("segIDs"))
-
-
-_GROUPS = "g(groupID, segID) AS (VALUES " + ", ".join(f"({g}, {s})" for g, ids in GROUPS for s in ids) + ")"
+_GROUPS = "g AS (SELECT segID, min(segID) OVER (PARTITION BY ((segID - 1) % 8) // 2, ((segID - 1) // 8) // 2) AS groupID FROM (SELECT DISTINCT segID FROM f2 WHERE segID > 0))"
 _SHARE = """sh1 AS (SELECT *, coalesce(w / nullif(sum(w) OVER (PARTITION BY groupID, x, y), 0), 0) AS w1 FROM b), sh2 AS (SELECT *, CASE WHEN w1 < 0.1 THEN 0 ELSE w1 END AS w2 FROM sh1),
   e AS (SELECT *, coalesce(w2 / nullif(sum(w2) OVER (PARTITION BY groupID, x, y), 0), 0) AS w3 FROM sh2)
   SELECT groupID::BIGINT AS groupID, segID::BIGINT AS segID, round(sum(w3 * flux), 4) AS flux_db, round(sum(w3), 5) AS N100_db, round(greatest(coalesce(sum(flux) FILTER (own = segID), 0), 0) / sum(flux), 6) AS flux_segfrac FROM e GROUP BY 1, 2"""
@@ -34,13 +32,16 @@ def _out(df: DataFrame) -> DataFrame:
     return df.select(F.col("groupID").cast("long").alias("groupID"), F.col("segID").cast("long").alias("segID"), *r("flux_db", digits=4), *r("N100_db", digits=5), *r("flux_segfrac"))
 
 
-@query(
-    with_fixtures(
-        "f2",
-        f"""{_MOMENTS}, {_GROUPS}, fl AS (SELECT segID, sum(flux) AS sflux FROM f2 WHERE segID > 0 AND mask = 0 GROUP BY 1),
+_GAUSS = f"""{_MOMENTS}, {_GROUPS}, fl AS (SELECT segID, sum(flux) AS sflux FROM f2 WHERE segID > 0 AND mask = 0 GROUP BY 1),
   p AS (SELECT h.groupID, f2.segID AS own, x, y, flux FROM f2 JOIN g h ON h.segID = f2.segID),
   q AS (SELECT p.*, g.segID, xcen, ycen, xsd, ysd, covxy, sflux, xsd ** 2 * ysd ** 2 - covxy ** 2 AS det FROM p JOIN g ON g.groupID = p.groupID JOIN m ON m.segID = g.segID JOIN fl ON fl.segID = g.segID),
   b AS (SELECT *, CASE WHEN det > 0 THEN sflux * exp(-0.5e0 * (((x - xcen) * ysd) ** 2 - 2 * covxy * (x - xcen) * (y - ycen) + ((y - ycen) * xsd) ** 2) / det) / (2 * pi() * sqrt(det)) ELSE 0 END AS w FROM q), """
+
+
+@query(
+    with_fixtures(
+        "f2",
+        _GAUSS
         + _SHARE,
     )
 )
@@ -48,7 +49,7 @@ def dbl_gauss(spark: SparkSession, d: str) -> DataFrame:
     """DBL-1, DBL-3."""
     px = f2(spark, d)
     stats = S.segment_flux(px).join(S.moments(px), "segID")
-    return _out(D.deblend_gauss(px.where("segID > 0").select("x", "y", "flux", "segID"), groups_of(spark, px), stats))
+    return _out(D.deblend_gauss(px.where("segID > 0").select("x", "y", "flux", "segID"), groups_of(px), stats))
 
 
 @query(
@@ -66,7 +67,7 @@ def dbl_line(spark: SparkSession, d: str) -> DataFrame:
     """DBL-1, DBL-2 (line), AGG-24."""
     px = f2(spark, d)
     stats = S.brightest(px).withColumns({"ang": F.lit(0.0), "axrat": F.lit(0.8)})
-    return _out(D.deblend_line(px.where("segID > 0").select("x", "y", "flux", "segID"), groups_of(spark, px), stats))
+    return _out(D.deblend_line(px.where("segID > 0").select("x", "y", "flux", "segID"), groups_of(px), stats))
 
 
 def all_groups(px: DataFrame) -> DataFrame:
@@ -78,6 +79,22 @@ def _stats(px: DataFrame) -> DataFrame:
     return S.segment_flux(px).join(S.brightest(px), "segID").withColumns({"ang": F.lit(0.0), "axrat": F.lit(0.8)})
 
 
+_ERRORS = """, db AS (SELECT groupID, segID, sum(w3 * flux) AS fdb, sum(w3) AS ndb FROM e GROUP BY 1, 2), st AS (SELECT segID, sum(flux) AS f, count(*) AS n, 2e0 + segID % 3 AS es, sqrt(sum(flux)) / 2 AS eh FROM f2 WHERE segID > 0 AND mask = 0 GROUP BY 1),
+  o AS (SELECT *, (SELECT greatest(max(fdb / f), 0) FROM st JOIN db USING (segID)) AS most, abs(f - fdb) * 0.5e0 AS eq FROM st JOIN db USING (segID)), v AS (SELECT *, es * sqrt(ndb / n) AS a, 3 * sqrt(ndb / n) AS b, eh * sqrt(most) AS c FROM o)
+  SELECT segID::BIGINT AS segID, round(a, 5) AS flux_err_sky_db, round(b, 5) AS flux_err_skyRMS_db, round(c, 4) AS flux_err_shot_db, round(eq, 4) AS flux_err_Qseg_db, round(sqrt(a * a + b * b + c * c + eq * eq), 4) AS flux_err_db FROM v"""
+
+
+@query(with_fixtures("f2", _GAUSS + _SHARE.split("\n  SELECT ")[0] + _ERRORS))
+def dbl_errors(spark: SparkSession, d: str) -> DataFrame:
+    """DBL-6."""
+    px = f2(spark, d)
+    stats = S.segment_flux(px).join(S.moments(px), "segID")
+    db = D.deblend_gauss(px.where("segID > 0").select("x", "y", "flux", "segID"), groups_of(px), stats).withColumn("Qseg_db", F.lit(0.5))
+    with_errors = stats.withColumns({"mag": -2.5 * F.log10("flux"), "flux_err_sky": 2.0 + F.col("segID") % 3, "flux_err_skyRMS": F.lit(3.0), "flux_err_shot": F.sqrt("flux") / 2})
+    out = D.deblend_errors(db, with_errors)
+    return out.select(F.col("segID").cast("long").alias("segID"), *r("flux_err_sky_db", "flux_err_skyRMS_db", digits=5), *r("flux_err_shot_db", "flux_err_Qseg_db", "flux_err_db", digits=4))
+
+
 @query()
 def dbl_spline(spark: SparkSession, d: str) -> DataFrame:
     """DBL-2 (spline), DBL-5."""
@@ -142,6 +159,22 @@ def fit_gain(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(gain,)], "gain double")
 
 
+@query()
+def fit_extra(spark: SparkSession, d: str) -> DataFrame:
+    """FIT-6: sources found on what PSF photometry leaves; compared with its parts in the tests."""
+    image = f3(spark, d).select("x", "y", F.coalesce("flux", F.lit(0.0)).alias("flux"), F.lit(10.0).alias("sigma"))
+    src = f4(spark, d).where("cy < 95").select("k", F.col("cx").alias("xcen"), F.col("cy").alias("ycen"), (F.col("rad") * 100).alias("flux"))
+    return P.fit_with_extra(image, src, PSF, P.Config(100, 100, grid=25, box=25, iters=1, redosky=False), rounds=2)
+
+
+@query(with_fixtures("f2", "SELECT segID::BIGINT AS segID, sum(flux) AS flux, count(*) AS N100, round(-2.5e0 * log10(sum(flux)) + 30, 5) AS mag FROM f2 WHERE segID > 0 AND mask = 0 GROUP BY 1"))
+def pip_static(spark: SparkSession, d: str) -> DataFrame:
+    """PIP-3: photometry of given segments as they are."""
+    px = f2(spark, d)
+    run = P.detect(px.select("x", "y", "flux", "mask"), P.static_photometry(P.Config(64, height(spark, d), magzero=30.0)), segmap=px.select("x", "y", "segID"))
+    return run.segstats.select(F.col("segID").cast("long").alias("segID"), "flux", F.col("N100").cast("long").alias("N100"), *r("mag", digits=5))
+
+
 @query()
 def pip_detect(spark: SparkSession, d: str) -> DataFrame:
     """PIP-1, PIP-2, PIP-4, PIP-5, SEG-4: the whole pipeline on F3."""
@@ -159,7 +192,7 @@ def cat_multiband(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_fixtures(
         "f2",
-        """t AS (SELECT *, min(flux) OVER w AS lo, max(flux) OVER w AS hi FROM f2 WHERE segID BETWEEN 1 AND 100 WINDOW w AS (PARTITION BY segID)),
+        """t AS (SELECT *, min(flux) OVER w AS lo, max(flux) OVER w AS hi FROM f2 WHERE segID > 0 WINDOW w AS (PARTITION BY segID)),
   g AS (SELECT segID, x, y, CASE WHEN hi = lo THEN 0 ELSE least(floor((flux - lo) / (hi - lo) * 8), 7) END AS g FROM t),
   q AS (SELECT a.segID, a.g AS a, b.g AS b FROM g a JOIN g b ON a.segID = b.segID AND (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1)), p AS (SELECT segID, a, b FROM q UNION ALL SELECT segID, b, a FROM q),
   c AS (SELECT segID, a, b, count(*) / sum(count(*)) OVER (PARTITION BY segID) AS p FROM p GROUP BY 1, 2, 3),
@@ -169,5 +202,5 @@ def cat_multiband(spark: SparkSession, d: str) -> DataFrame:
 )
 def agg_texture(spark: SparkSession, d: str) -> DataFrame:
     """AGG-25."""
-    out = P.texture(f2(spark, d).where("segID <= 100"))
+    out = P.texture(f2(spark, d))
     return out.select(F.col("segID").cast("long").alias("segID"), *r("asm", "contrast", digits=10), *r("correlation", digits=5), *r("idm", "entropy"))

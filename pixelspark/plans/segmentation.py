@@ -6,35 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kernels as B
+from ..operators import pipeline as P
 from ..operators import segments as G
 from ..operators import stats as S
 from ..operators.watershed import watershed
-from .fixtures import NY2, f2, f6, height, with_fixtures
+from .fixtures import NY2, f2, f3, f5, f6, height, table, with_fixtures
 from .maps import xy
 from .registry import query
 from .statistics import r
 
 DISC = B.brush(5, "disc")
 _DISC = ", ".join(f"({i}, {j})" for i, j, _ in DISC)
-_ALIVE = "seg AS (SELECT x, y, segID FROM f2 WHERE segID > 0 AND segID % 3 <> 0)"
+_ALIVE = "seg AS (SELECT x, y, segID FROM f2 WHERE segID > 0 AND flux > 40)"
 
 
 def sparse(spark: SparkSession, d: str) -> DataFrame:
-    """F2's labels with every third one taken away, so there is room to grow."""
-    return f2(spark, d).where("segID > 0 and segID % 3 <> 0").select("x", "y", "segID")
+    """F2's labels on its brighter pixels, so there is room to grow."""
+    return f2(spark, d).where("segID > 0 and flux > 40").select("x", "y", "segID")
 
 
 @query(
     with_fixtures(
         "f2",
-        f"""{_ALIVE}, k(dx, dy) AS (VALUES {_DISC}), c AS (SELECT x + dx AS x, y + dy AS y, min(segID) AS s FROM seg, k WHERE segID % 2 = 0 GROUP BY 1, 2)
+        f"""{_ALIVE}, k(dx, dy) AS (VALUES {_DISC}), c AS (SELECT x + dx AS x, y + dy AS y, min(segID) AS s FROM seg, k WHERE segID IN (SELECT segID FROM seg GROUP BY 1 HAVING count(*) >= 30) GROUP BY 1, 2)
   SELECT coalesce(a.x, c.x)::BIGINT AS x, coalesce(a.y, c.y)::BIGINT AS y, coalesce(a.segID, c.s)::BIGINT AS segID FROM seg a FULL JOIN c ON a.x = c.x AND a.y = c.y WHERE coalesce(a.x, c.x) BETWEEN 1 AND 64 AND coalesce(a.y, c.y) BETWEEN 1 AND {NY2}""",
     )
 )
 def seg_dilate(spark: SparkSession, d: str) -> DataFrame:
-    """SEG-7, SEG-6, JN-6: even labels grow by a disc."""
+    """SEG-7, SEG-6, JN-6: labels of 30 pixels or more grow by a disc."""
     seg = sparse(spark, d)
-    out = G.dilate(seg, DISC, 64, height(spark, d), expand=seg.where("segID % 2 = 0").select("segID").distinct())
+    out = G.dilate(seg, DISC, 64, height(spark, d), expand=seg.groupBy("segID").count().where("count >= 30").select("segID"))
     return out.select(*xy(out), F.col("segID").cast("long").alias("segID"))
 
 
@@ -157,25 +158,29 @@ def seg_group(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("groupID").cast("long").alias("groupID"), F.array_join("segIDs", ",").alias("segIDs"), F.col("Ngroup").cast("long").alias("Ngroup"), "Npix")
 
 
-@query("SELECT * FROM (VALUES ('1,2,3,7,9'), ('4,5'), ('20,21')) t(segIDs)")
+@query(
+    """WITH RECURSIVE l AS (SELECT s_suppkey AS a, s_suppkey + 1 + s_suppkey % 3 AS b FROM supplier WHERE s_suppkey % 4 < 2), n AS (SELECT a AS v FROM l UNION SELECT b FROM l),
+  e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT v AS a, v AS b FROM n UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), c AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+  SELECT array_to_string(list_sort(list(a)), ',') AS segIDs FROM c GROUP BY c"""
+)
 def seg_merge_closure(spark: SparkSession, d: str) -> DataFrame:
-    """SEG-16."""
-    lists = spark.createDataFrame([([1, 2],), ([4, 5],), ([2, 3, 7],), ([20, 21],), ([7, 9],)], "segIDs array<int>")
+    """SEG-16: lists of two labels, made of the suppliers."""
+    lists = table(spark, d, "supplier").where("s_suppkey % 4 < 2").select(F.expr("array(cast(s_suppkey as int), cast(s_suppkey + 1 + s_suppkey % 3 as int))").alias("segIDs"))
     return G.merge_closure(lists).select(F.array_join("segIDs", ",").alias("segIDs"))
 
 
 @query(
     with_fixtures(
         "f2",
-        f"""{_ALIVE}, k(dx, dy, w) AS (VALUES {", ".join(f"({i}, {j}, {w!r}e0)" for i, j, w in B.normalised(B.brush(5, "gaussian")))}),
+        f"""{_ALIVE}, k(dx, dy, w) AS (VALUES {", ".join(f"({i}, {j}, {w!r}e0)" for i, j, w in B.brush(5, "gaussian", sigma=1.5))}),
   c AS (SELECT x + dx AS x, y + dy AS y, segID, sum(w) AS w FROM seg, k GROUP BY 1, 2, 3 HAVING sum(w) > 0.01), b AS (SELECT x, y, segID FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY round(w, 12) DESC, segID) AS rn FROM c) WHERE rn = 1)
-  SELECT f2.x::BIGINT AS x, f2.y::BIGINT AS y, (CASE WHEN seg.segID IS NOT NULL THEN seg.segID WHEN f2.flux / 50 > 1 THEN coalesce(b.segID, 0) ELSE 0 END)::BIGINT AS segID FROM f2 LEFT JOIN seg ON seg.x = f2.x AND seg.y = f2.y LEFT JOIN b ON b.x = f2.x AND b.y = f2.y""",
+  SELECT f2.x::BIGINT AS x, f2.y::BIGINT AS y, (CASE WHEN seg.segID IS NOT NULL THEN seg.segID WHEN f2.flux / 10 > 1 THEN coalesce(b.segID, 0) ELSE 0 END)::BIGINT AS segID FROM f2 LEFT JOIN seg ON seg.x = f2.x AND seg.y = f2.y LEFT JOIN b ON b.x = f2.x AND b.y = f2.y""",
     )
 )
 def seg_expand(spark: SparkSession, d: str) -> DataFrame:
     """SEG-5."""
-    px = f2(spark, d).select("x", "y", (F.col("flux") / 50).alias("sn"), F.when(F.col("segID") % 3 != 0, F.col("segID")).otherwise(0).alias("segID"))
-    out = G.expand_by_blur(px, B.normalised(B.brush(5, "gaussian")))
+    px = f2(spark, d).select("x", "y", (F.col("flux") / 10).alias("sn"), F.when(F.col("flux") > 40, F.col("segID")).otherwise(0).alias("segID"))
+    out = G.expand_by_blur(px, B.brush(5, "gaussian", sigma=1.5))
     return out.select(*xy(out), F.col("segID").cast("long").alias("segID"))
 
 
@@ -213,3 +218,25 @@ def seg_extend(spark: SparkSession, d: str) -> DataFrame:
     found = f2(spark, d).where("flux > 20").select("x", "y", F.expr("x div 11 + 6 * (y div 7) + 1").cast("int").alias("segID"))
     out = G.extend_map(sparse(spark, d), found)
     return out.select(*xy(out), F.col("segID").cast("long").alias("segID"))
+
+
+_OF_BANDS = """t AS (SELECT band, x, y, ((x - 1) // 5 + 20 * ((y - 1) // 5) + 1)::INT AS segID FROM f5 WHERE flux >= 90), px AS (SELECT band, x, y, y * 4294967296 + x AS id FROM t),
+  e AS (SELECT a.band, a.id AS a, b.id AS b FROM px a JOIN px b ON a.band = b.band AND b.x BETWEEN a.x - 1 AND a.x + 1 AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+  reach AS (SELECT band, id AS a, id AS b FROM px UNION SELECT r.band, r.a, e.b FROM reach r JOIN e ON e.a = r.b AND e.band = r.band WHERE e.b >= 0), comp AS (SELECT band, a AS id, min(b) AS comp FROM reach GROUP BY 1, 2),
+  h AS (SELECT band, segID, comp, count(*) AS n FROM t JOIN px USING (band, x, y) JOIN comp USING (band, id) GROUP BY 1, 2, 3), m AS (SELECT band, segID, comp FROM (SELECT *, row_number() OVER (PARTITION BY band, segID ORDER BY n DESC, comp) AS rn FROM h) WHERE rn = 1)
+  SELECT band, min(m.segID)::BIGINT AS groupID, array_to_string(list_sort(list(m.segID)), ',') AS segIDs, count(*) AS Ngroup, sum(n)::BIGINT AS Npix FROM m JOIN (SELECT band, segID, sum(n) AS n FROM h GROUP BY 1, 2) USING (band, segID) GROUP BY band, comp"""
+
+
+@query(with_fixtures("f5", _OF_BANDS, recursive=True))
+def seg_group_bands(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-10 on several images at once."""
+    seg = f5(spark, d).where("flux >= 90").select("band", "x", "y", F.expr("(x - 1) div 5 + 20 * ((y - 1) div 5) + 1").cast("int").alias("segID"))
+    groups, _ = G.group_segments(seg)
+    return groups.select("band", F.col("groupID").cast("long").alias("groupID"), F.array_join("segIDs", ",").alias("segIDs"), F.col("Ngroup").cast("long").alias("Ngroup"), "Npix")
+
+
+@query()
+def seg_propagate(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-8: from the brightest pixels; compared with a plain model in the tests."""
+    px = f3(spark, d).select("x", "y", (F.coalesce("flux", F.lit(0.0)) / 100).alias("flux"))
+    return P.propagate(px, px.where("flux > 2.2").select("x", "y", F.expr("x * 1000 + y").cast("int").alias("segID")))

@@ -118,6 +118,12 @@ def sky_mode(spark: SparkSession, d: str) -> DataFrame:
     return K.tile_stats(K.tile_windows(f3(spark, d), 20, 20, 100, 100), skytype="mode", rmstype="quanboth")
 
 
+@query()
+def sky_converge(spark: SparkSession, d: str) -> DataFrame:
+    """SKY-4 (converge), SKY-6; compared with a plain model in the tests."""
+    return K.tile_stats(K.tile_windows(f3(spark, d), 20, 20, 100, 100), skytype="converge", rmstype="converge")
+
+
 @query()
 def sky_annulus(spark: SparkSession, d: str) -> DataFrame:
     """SKY-13."""

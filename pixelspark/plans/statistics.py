@@ -12,6 +12,10 @@ from .fixtures import NY2, f1, f2, height, with_fixtures
 from .registry import query
 
 
+#: A header for sky coordinates.
+HEADER = {"CRVAL1": 150.0, "CRVAL2": 2.0, "CRPIX1": 32.5, "CRPIX2": 250.5, "CD1_1": -0.0001, "CD1_2": 0.00002, "CD2_1": 0.00002, "CD2_2": 0.0001}
+
+
 def r(*names: str, digits: int = 6) -> list:
     return [(F.round(n, digits) + 0.0).alias(n) for n in names]
 
@@ -102,7 +106,7 @@ def agg_reflect(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_fixtures(
         "f2",
-        f"""n AS (SELECT a.*, l.segID AS le, ri.segID AS r, u.segID AS u, dn.segID AS dn, greatest(coalesce(l.mask, 0), coalesce(ri.mask, 0), coalesce(u.mask, 0), coalesce(dn.mask, 0)) AS near, a.x BETWEEN 2 AND 63 AND a.y BETWEEN 2 AND {NY2 - 1} AS inside
+        f"""n AS (SELECT a.*, l.segID AS le, ri.segID AS r, u.segID AS u, dn.segID AS dn, greatest(coalesce(l.mask, 0), coalesce(ri.mask, 0), coalesce(u.mask, 0), coalesce(dn.mask, 0)) AS near, a.x BETWEEN 2 AND 63 AND a.y BETWEEN 2 AND {NY2} - 1 AS inside
    FROM f2 a LEFT JOIN f2 l ON l.x = a.x - 1 AND l.y = a.y LEFT JOIN f2 ri ON ri.x = a.x + 1 AND ri.y = a.y LEFT JOIN f2 u ON u.x = a.x AND u.y = a.y + 1 LEFT JOIN f2 dn ON dn.x = a.x AND dn.y = a.y - 1),
   c AS (SELECT segID, count(*) FILTER (inside AND NOT (le = segID AND r = segID AND u = segID AND dn = segID)) AS ie, count(*) FILTER (inside AND (le = 0 OR r = 0 OR u = 0 OR dn = 0)) AS Nsky,
    count(*) FILTER (inside AND near = 1 AND NOT (le = segID AND r = segID AND u = segID AND dn = segID)) AS Nmask,
@@ -179,7 +183,8 @@ def agg_sky_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     with_fixtures(
         "f2",
         """SELECT x::BIGINT AS x, y::BIGINT AS y, CASE WHEN flux > 0 THEN round(-2.5e0 * log10(flux) + 30, 5) END AS mag, CASE WHEN flux > 0 THEN round(-2.5e0 * log10(flux) + 30 + 5 * log10(0.339e0), 5) END AS sb,
-  round(10 ** (-0.4e0 * (20 + x / 10e0 - 30)), 4) AS flux_of_mag, round(20e0 + 2.5e0 * log10(pi() * x * x * 0.5) - 2.5e0 * log10(0.5e0) + 5 * log10(0.339e0), 5) AS mu, round(2.0 * 10 ** (-0.4e0 * (25 - 30)), 6) AS gain, round(flux * 10 ** (-0.4e0 * (30 - 8.9e0)), 9) + 0 AS jansky FROM f2""",
+  round(10 ** (-0.4e0 * (20 + x / 10e0 - 30)), 4) AS flux_of_mag, round(20e0 + 2.5e0 * log10(pi() * x * x * 0.5) - 2.5e0 * log10(0.5e0) + 5 * log10(0.339e0), 5) AS mu, round(2.0 * 10 ** (-0.4e0 * (25 - 30)), 6) AS gain, round(flux * 10 ** (-0.4e0 * (30 - 8.9e0)), 9) + 0 AS jansky,
+  round(10 ** (-0.4e0 * (22 + y % 9 - 5 * log10(0.339e0) - 30)), 4) AS flux_of_sb, round(24 - 2.5e0 * log10(pi() * x * x * 0.5) + 2.5e0 * log10(0.5e0) - 5 * log10(0.339e0), 5) AS mag_of_mu FROM f2""",
     )
 )
 def scl_units(spark: SparkSession, d: str) -> DataFrame:
@@ -189,6 +194,7 @@ def scl_units(spark: SparkSession, d: str) -> DataFrame:
         F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.round(U.flux_to_mag("flux", 30.0), 5).alias("mag"), F.round(U.flux_to_sb("flux", 30.0, 0.339), 5).alias("sb"),
         F.round(U.mag_to_flux(20 + F.col("x") / 10.0, 30.0), 4).alias("flux_of_mag"), F.round(U.mag_to_mu(20.0, F.col("x").cast("double"), 0.5, 0.339), 5).alias("mu"), F.round(U.convert_gain(2.0, 30.0, 25.0), 6).alias("gain"),
         (F.round(F.col("flux") * U.flux_scale("Jansky", 30.0), 9) + 0.0).alias("jansky"),
+        F.round(U.sb_to_flux(22 + F.col("y") % 9, 30.0, 0.339), 4).alias("flux_of_sb"), F.round(U.mu_to_mag(24.0, F.col("x").cast("double"), 0.5, 0.339), 5).alias("mag_of_mu"),
     )
 
 
@@ -212,8 +218,39 @@ def scl_membership(spark: SparkSession, d: str) -> DataFrame:
     return px.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), M.this_in_that("segID", [1, 3, 5, 8]).alias("found"), M.this_in_that("segID", [1, 3, 5, 8], invert=True).alias("missing"), M.this_in_that(F.col("flux").cast("int"), [10, 20, 30]).alias("by_flux"))
 
 
+_PROFILE = """f2s AS (SELECT *, (x % 7)::DOUBLE AS sky, 10e0 + y % 5 AS rms FROM f2 WHERE segID > 0 AND mask = 0),
+  p AS (SELECT segID, flux, row_number() OVER w AS rn, sum(flux) OVER (w ROWS UNBOUNDED PRECEDING) / nullif(sum(flux) OVER (PARTITION BY segID), 0) AS c, sum(flux) OVER (PARTITION BY segID) AS tot FROM f2s WINDOW w AS (PARTITION BY segID ORDER BY flux, y, x)),
+  q AS (SELECT *, lag(c) OVER (PARTITION BY segID ORDER BY rn) AS prev FROM p),
+  a AS (SELECT segID, max(tot) AS flux, count(*) AS n, min(rn) FILTER (c >= 0.5) AS l50, min(rn) FILTER (c >= 0.1) AS l90 FROM q GROUP BY 1),
+  pr AS (SELECT a.segID, a.flux, n - (l50 - 1) + (0.5 - h.prev) / (h.c - h.prev) AS N50, n - (l90 - 1) + (0.1 - t.prev) / (t.c - t.prev) AS N90, n AS N100, e.c - e.prev AS cenfrac
+   FROM a JOIN q h ON h.segID = a.segID AND h.rn = l50 JOIN q t ON t.segID = a.segID AND t.rn = l90 JOIN q e ON e.segID = a.segID AND e.rn = n),
+  t AS (SELECT segID, x - 0.5e0 AS xmax, y - 0.5e0 AS ymax FROM (SELECT *, row_number() OVER (PARTITION BY segID ORDER BY flux DESC, y, x) AS rn FROM f2s) WHERE rn = 1),
+  u AS (SELECT segID, stddev_samp(sky) AS sd_sky, avg(sky) AS sky_mean, sum(sky) AS sky_sum, sqrt(sum(rms * rms)) AS e_rms, avg(rms) AS skyRMS_mean FROM f2s GROUP BY 1),
+  ev AS (SELECT *, (xsd ** 2 + ysd ** 2) / 2 + sqrt(((xsd ** 2 - ysd ** 2) / 2) ** 2 + covxy ** 2) AS hi, (xsd ** 2 + ysd ** 2) / 2 - sqrt(((xsd ** 2 - ysd ** 2) / 2) ** 2 + covxy ** 2) AS lo FROM m),
+  sh AS (SELECT *, sqrt(abs(hi) + 0.08333333e0) AS semimaj, sqrt(abs(lo) + 0.08333333e0) AS semimin, sqrt(abs(lo) + 0.08333333e0) / sqrt(abs(hi) + 0.08333333e0) AS axrat, fmod(90 - degrees(atan((xsd ** 2 - hi) / covxy)), 180) AS ang FROM ev),
+  j AS (SELECT *, sqrt(N50 / (axrat * pi())) * 0.339e0 AS R50, sqrt(N90 / (axrat * pi())) * 0.339e0 AS R90, sqrt(N100 / (axrat * pi())) * 0.339e0 AS R100, sd_sky * N100 AS e_sky, sqrt(flux) / 2 AS e_shot,
+   CASE WHEN N100 <= 10 THEN 0.1e0 WHEN N100 <= 100 THEN 0.1e0 + (N100 - 10) * (0.02e0 - 0.1e0) / 90 ELSE 0.02e0 END AS cor FROM pr JOIN t USING (segID) JOIN u USING (segID) JOIN sh USING (segID)),
+  k AS (SELECT *, sqrt(e_sky ** 2 / (1 - cor) - e_sky ** 2) AS e_cor FROM j), z AS (SELECT *, sqrt(e_sky ** 2 + e_rms ** 2 + e_shot ** 2 + e_cor ** 2) AS e FROM k)"""
+_SB = lambda n, p: f"-2.5e0 * log10(flux * {p}e0 / {n}) + 30 + 5 * log10(0.339e0)"
+_CATALOGUE = {
+    "uniqueID": f"ceil(xmax) * 10 ** ceil(log10({NY2} + 1)) + ceil(ymax)", "xcen": "xcen", "ycen": "ycen", "xmax": "xmax", "ymax": "ymax", "sep": "sqrt((xcen - xmax) ** 2 + (ycen - ymax) ** 2) * 0.339e0", "flux": "flux", "mag": "-2.5e0 * log10(flux) + 30", "cenfrac": "cenfrac",
+    "N50": "N50", "N90": "N90", "N100": "N100", "R50": "R50", "R90": "R90", "R100": "R100", "SB_N50": _SB("N50", 0.5), "SB_N90": _SB("N90", 0.9), "SB_N100": _SB("N100", 1.0), "xsd": "xsd", "ysd": "ysd", "covxy": "covxy", "corxy": "covxy / (xsd * ysd)", "con": "R50 / R90",
+    "semimaj": "semimaj", "semimin": "semimin", "axrat": "axrat", "ang": "ang", "flux_err": "e", "mag_err": "1.0857362047581296e0 * abs(e / flux)", "flux_err_sky": "e_sky", "flux_err_skyRMS": "e_rms", "flux_err_shot": "e_shot", "flux_err_cor": "e_cor", "cor_seg": "cor",
+    "sky_mean": "sky_mean", "sky_sum": "sky_sum", "skyRMS_mean": "skyRMS_mean",
+}
+
+
+@query(with_fixtures("f2", f"{_MOMENTS}, {_PROFILE} SELECT segID::BIGINT AS segID, {', '.join(f'round(({e})::DOUBLE, 4) + 0 AS \"{n}\"' for n, e in _CATALOGUE.items())} FROM z"))
+def agg_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-10 without the columns of :func:`agg_rotated`, :func:`agg_boundary`, sky coordinates and significance, UDF-1."""
+    px = f2(spark, d).withColumns({"sky": (F.col("x") % 7).cast("double"), "skyRMS": 10.0 + F.col("y") % 5})
+    shares = lambda n: F.when(n <= 10, 0.1).when(n <= 100, 0.1 + (n - 10) * (0.02 - 0.1) / 90).otherwise(0.02)
+    cat = S.segment_stats(px, 64, height(spark, d), magzero=30.0, gain=2.0, pixscale=0.339, cor_err=shares)
+    return cat.select(F.col("segID").cast("long").alias("segID"), *((F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in _CATALOGUE))
+
+
 @query()
 def agg_segstats(spark: SparkSession, d: str) -> DataFrame:
     """AGG-10 with SCL-21, UDF-1 and UDF-2: the whole catalogue; its parts have SQL of their own."""
     px = f2(spark, d).withColumns({"sky": (F.col("x") % 7).cast("double"), "skyRMS": 10.0 + F.col("y") % 5})
-    return S.segment_stats(px, 64, height(spark, d), magzero=30.0, gain=2.0, pixscale=0.339, rotstats=True, boundstats=True, cor_err={10.0: 0.1, 100.0: 0.02})
+    return S.segment_stats(px, 64, height(spark, d), magzero=30.0, gain=2.0, pixscale=0.339, rotstats=True, boundstats=True, cor_err={10.0: 0.1, 100.0: 0.02}, app_diam=1.7, header=HEADER)

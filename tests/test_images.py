@@ -166,11 +166,107 @@ def test_bicubic_reproduces_the_nodes_and_a_plane(spark):
     assert np.allclose(K.bicubic_coefficients(z)[:, :, 0, 0], z[:-1, :-1])
 
 
-def test_truncated_normal_of_half_a_sample():
-    v = np.random.default_rng(3).normal(5, 2, 400_000)
-    v = v[v < 6]
-    m, s = K.truncated_normal(float(v.mean()), float(v.std()), 500, upper=6.0)
-    assert m == pytest.approx(5, abs=0.1) and s == pytest.approx(2, abs=0.1)
+def test_converged_sky_equals_a_plain_model(spark):
+    """Tiles of a normal sky under bright contaminants: the same numbers, and near the truth."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(50, 4, (60, 60))
+    a[rng.random((60, 60)) < 0.1] += rng.exponential(60)
+    px = image(spark, a)
+    got = {(r["gx"], r["gy"]): r for r in K.tile_stats(K.tile_windows(px, 30, 29, 60, 60), "converge", "converge").collect()}
+    phi = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
+    for (gx, gy), r in got.items():
+        cx, cy = gx * 30 + 15, gy * 30 + 15
+        v = a[max(cx - 15, 0) : cx + 14, max(cy - 15, 0) : cy + 14].ravel()
+        v = v[v < np.median(v) + 10 * np.std(v[v < np.median(v)], ddof=1)]
+        mu, sd = v.mean(), v.std(ddof=1)
+        top = mu + sd
+        low = v[v < top]
+        for _ in range(100):
+            z = (top - mu) / sd
+            g = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / phi(z)
+            mu, sd = mu + 2 * (low.mean() - mu + sd * g), sd * low.std(ddof=1) / (sd * math.sqrt(1 - z * g - g * g))
+        assert r["sky"] == pytest.approx(mu, rel=1e-6) and r["skyRMS"] == pytest.approx(sd, rel=1e-6)
+        assert r["sky"] == pytest.approx(50, abs=2)
+
+
+def test_annulus_sky_equals_a_plain_model(spark):
+    a = np.random.default_rng(5).normal(20, 3, (40, 40))
+    r = K.annulus_sky(image(spark, a), 20, 20, 5, 18).first()
+    v = sorted((math.hypot(x + 0.5 - 20, y + 0.5 - 20), y, x, a[x, y]) for x in range(40) for y in range(40))
+    v = [t for t in v if 5 <= t[0] <= 18]
+    kept = set(K.clip_exact(np.array([t[3] for t in v])).tolist())
+    v = [t for t in v if t[3] in kept]
+    rings = [[t[3] for t in part] for part in np.array_split(np.array(v, dtype=object), 10)]
+    m, n = np.array([np.median(q) for q in rings]), np.array([len(q) for q in rings])
+    err = np.array([np.std(q, ddof=1) for q in rings]) / np.sqrt(n)
+    near, before = np.ones(10, bool), -1
+    while near.sum() != before:
+        before = near.sum()
+        sky = np.average(m[near], weights=1 / err[near] ** 2)
+        near = abs(m - sky) <= err
+    assert r["sky"] == pytest.approx(sky, abs=0.02) and r["skyerr"] == pytest.approx(m.std(ddof=1), rel=0.1)
+    assert r["skyRMS"] == pytest.approx(3, abs=0.4) and 1 <= r["Nnear"] <= 10
+
+
+def test_gaussian_brush_has_its_width_in_pixels():
+    k = {(i, j): w for i, j, w in B.brush(5, "gaussian", sigma=1.0)}
+    assert sum(k.values()) == pytest.approx(1) and k[1, 0] / k[0, 0] == pytest.approx(math.exp(-0.5)) and k[2, 1] / k[0, 0] == pytest.approx(math.exp(-2.5))
+
+
+def test_propagation_equals_dijkstra(spark):
+    import heapq
+
+    rng = np.random.default_rng(9)
+    a = rng.random((12, 10)).round(3)
+    seeds = {(2, 3): 1, (9, 8): 2, (10, 1): 3}
+    seg = spark.createDataFrame([(x + 1, y + 1, s) for (x, y), s in seeds.items()], "x int, y int, segID int")
+    got = {(r["x"] - 1, r["y"] - 1): r["segID"] for r in P.propagate(image(spark, a), seg, 1e-4).collect()}
+    heap, cost = [(0.0, s, x, y) for (x, y), s in seeds.items()], {}
+    while heap:
+        c, s, x, y = heapq.heappop(heap)
+        if (x, y) in cost:
+            continue
+        cost[x, y] = (c, s)
+        for i, j in G.AROUND:
+            if 0 <= x + i < 12 and 0 <= y + j < 10 and (x + i, y + j) not in cost:
+                heapq.heappush(heap, (c + math.sqrt((a[x, y] - a[x + i, y + j]) ** 2 + 1e-4) / math.sqrt(1 + 1e-4), s, x + i, y + j))
+    assert got == {q: s for q, (_, s) in cost.items()}
+
+
+def test_psf_weights_of_every_mode(spark):
+    px = image(spark, np.arange(1.0, 26).reshape(5, 5)).withColumn("segID", F.when(F.col("x") < 3, 1).otherwise(2))
+    groups = spark.createDataFrame([(1, [1, 2], 25, 2)], "groupID int, segIDs array<int>, Npix long, Ngroup int")
+    stats = S.segment_flux(px).join(S.brightest(px), "segID")
+    psf = B.brush(3, "box")
+    flux = {s: sum(v for v, own in zip(range(1, 26), [1] * 10 + [2] * 15, strict=True) if own == s) for s in (1, 2)}
+    for convmode in ("psf", "extended"):
+        for fluxweight in ("sum", "peak", "none"):
+            got = {r["segID"]: r for r in D.deblend_psf(px, groups, stats, psf, 0.0, convmode, fluxweight).collect()}
+            w = np.zeros((2, 5, 5))
+            for s, cols, peak in ((0, (0, 1), (1, 4)), (1, (2, 3, 4), (4, 4))):
+                at = [peak] if convmode == "psf" else [(x, y) for x in cols for y in range(5)]
+                for x, y in at:
+                    w[s, max(x - 1, 0) : x + 2, max(y - 1, 0) : y + 2] += 1
+                caught = w[s][list(cols)].sum()
+                assert got[s + 1]["beamcorrect"] == pytest.approx(max(9 / caught, 1))
+                w[s] *= {"sum": flux[s + 1], "peak": (10, 25)[s], "none": 1}[fluxweight] / (5 * len(cols) if convmode == "extended" else 1)
+            for _ in range(2):
+                t = w.sum(0)
+                w = np.where(t > 0, w / np.where(t > 0, t, 1), 0)
+                w[w < 0.1] = 0
+            for s in (0, 1):
+                assert got[s + 1]["flux_db"] == pytest.approx((w[s] * np.arange(1.0, 26).reshape(5, 5)).sum())
+
+
+def test_aperture_flux_and_sky_coordinates_of_the_catalogue(spark):
+    a = np.zeros((21, 21))
+    a[5:16, 5:16] = 2.0
+    px = image(spark, a).withColumn("segID", F.when(F.col("flux") > 0, 1).otherwise(0))
+    header = {"CRVAL1": 10.0, "CRVAL2": 0.0, "CRPIX1": 11.0, "CRPIX2": 11.0, "CD1_1": -0.001, "CD2_2": 0.001}
+    r = S.segment_stats(px, 21, 21, 25.0, app_diam=6.0, header=header, cor_err=lambda n: n / 1000).first()
+    assert r["flux_app"] == pytest.approx(2 * math.pi * 9, rel=1e-6) and r["mag_app"] == pytest.approx(-2.5 * math.log10(r["flux_app"]) + 25)
+    assert (r["RAcen"], r["Deccen"]) == (pytest.approx(10.0), pytest.approx(0.0, abs=1e-9)) and r["cor_seg"] == pytest.approx(0.121)
+    assert r["RAmax"] == pytest.approx(10.005, abs=1e-6) and r["Decmax"] == pytest.approx(-0.005, abs=1e-6)
 
 
 def test_regions_have_one_sky_each(spark):
