@@ -12,6 +12,7 @@ import re
 import sys
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +50,8 @@ BARRIERS = frozenset(["table", "td", "th", "caption"])
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/><]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
-_INVISIBLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_GONE = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _WATCHED = re.compile(r"hidden|style|colspan|rowspan|start|open|type", re.I)
 
@@ -151,6 +153,29 @@ def build(html: str) -> Node:
     return root
 
 
+def apply_visibility(root: Node) -> None:
+    """Takes out what ``visibility`` hides: the text of hidden elements, but not elements in them that are visible again.
+
+    Unlike ``display: none`` it is inherited and may be turned back, and what it hides keeps its place: list
+    items count and table cells hold their column.
+    """
+    stack = [(root, False)]
+    while stack:
+        node, hidden = stack.pop()
+        kept = []
+        for child in node.children:
+            if isinstance(child, str):
+                if not hidden:
+                    kept.append(child)
+                continue
+            said = _VISIBILITY.findall(child.attrs.get("style") or "")
+            off = said[-1].lower() != "visible" if said else hidden
+            if not (off and child.tag in ("br", "hr")):
+                kept.append(child)
+            stack.append((child, off))
+        node.children[:] = kept
+
+
 def visible(node: Node) -> bool:
     if node.tag in HIDDEN:
         return False
@@ -159,7 +184,7 @@ def visible(node: Node) -> bool:
         return node.tag != "dialog"
     if "hidden" in attrs or node.tag == "dialog" and "open" not in attrs:
         return False
-    return not (attrs.get("style") and _INVISIBLE.search(attrs["style"]))
+    return not (attrs.get("style") and _GONE.search(attrs["style"]))
 
 
 class Flow:
@@ -275,11 +300,13 @@ def _table(table: Node) -> list[str]:
             if span == 1:
                 width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
     out = [line for lines in captions for line in lines]
+    last = max((c for row in filled for c, _, _ in row), default=0)
+    left_of = list(accumulate((width.get(k, 0) + 2 for k in range(last)), initial=0))
     for row in filled:
         for i in range(max((len(lines) for _, lines, _ in row), default=0)):
             line, at = "", 0
             for c, lines, _ in row:
-                left = sum(width.get(k, 0) + 2 for k in range(c))
+                left = left_of[c]
                 text = lines[i] if i < len(lines) else ""
                 if text:
                     line = line.ljust(left) if len(line) <= left else line + "  "
@@ -392,6 +419,8 @@ def title_of(root: Node) -> str | None:
 def extract(html: str) -> tuple[str, str | None]:
     """Visible text of a page, laid out, and its title."""
     root = build(html)
+    if "visibility" in html.lower():
+        apply_visibility(root)
     # The renderer takes at most four frames a level, and no page is deeper than its tags; calls from Python
     # to Python do not use the C stack, so only the counter of frames has to allow for it.
     before = sys.getrecursionlimit()
@@ -414,8 +443,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     Returns the id, ``text`` and ``title``.  A null page gives a null text, an empty one an empty
     text; a page without tags is text.  Hidden elements (by element, the ``hidden`` attribute
-    or an inline ``display: none`` or ``visibility: hidden``) are left out with all they hold.  Elements
-    may be nested to any depth.  Rows are independent: repeated
+    or an inline ``display: none``) are left out with all they hold; an inline ``visibility: hidden`` hides
+    text up to elements that are ``visible`` again.  Elements may be nested to any depth, and pages be of any length.  Rows are independent: repeated
     rows and null ids stay, an empty table gives an empty result, other columns are ignored.
     """
     kind = dict(pages.dtypes)[id_col]

@@ -152,6 +152,32 @@ def test_shards(spark):
     assert shard_by_bytes(frame(spark, rows).limit(0)).isEmpty()
 
 
+def brute_capacity(sizes, shards):
+    """The least largest sum over all ways to cut the sequence, by dynamic programming."""
+    total = [0]
+    for v in sizes:
+        total.append(total[-1] + v)
+    best = [0, *[float("inf")] * len(sizes)]
+    for _ in range(shards):
+        best = [0] + [min(max(best[j], total[i] - total[j]) for j in range(i + 1)) for i in range(1, len(total))]
+    return best[-1]
+
+
+def test_capacity_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(80):
+        sizes, shards = [rng.randint(1, 30) for _ in range(rng.randint(0, 25))], rng.randint(1, 8)
+        assert smallest_capacity(sizes, shards) == brute_capacity(sizes, shards)
+
+
+def test_shards_of_a_long_text_and_of_one_hot_row(spark):
+    rows = [(1, "é" * 2_000_000), *[(2, "again")] * 300, *[(None, None)] * 200, *[(i, f"text {i}") for i in range(10, 400)]]
+    got = shard_by_bytes(frame(spark, rows), shards=7).toPandas()
+    assert len(got) == len(rows) and int(got["size"].max()) == 4_000_016
+    assert got.groupby("text_md5").shard.nunique().max() == 1
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
+
+
 def test_capacity_is_the_smallest_and_cuts_keep_it():
     rng = random.Random(5)
     for _ in range(60):

@@ -263,3 +263,73 @@ def test_secret_scan_of_long_texts_is_linear():
     part = lambda v: base64.urlsafe_b64encode(json.dumps(v).encode()).rstrip(b"=").decode()
     token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln"
     assert confirmed_spans("eyJx." + token + " a." + token) == [(5, 5 + len(token), "jwt"), (8 + len(token), 8 + 2 * len(token), "jwt")]
+
+
+def random_page(rng, depth, hidden):
+    """A page of nested elements, and the words that are to be seen, in order."""
+    html, words = "", []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.5 or depth == 0:
+            w = "".join(rng.choice("abcdefgh") for _ in range(5))
+            html += f" {w} "
+            words += [] if hidden else [w]
+            continue
+        tag = rng.choice(["div", "section", "span", "b", "ul", "blockquote", "article", "table"])
+        attr, gone, off = rng.choice([("", False, hidden), ("", False, hidden), (" hidden", True, hidden), (' style="color:red;display: none"', True, hidden), (' style="visibility:hidden"', False, True), (" style='visibility: visible'", False, False), (' style="VISIBILITY: collapse;"', False, True)])
+        inner, seen = random_page(rng, depth - 1, off)
+        if tag == "ul":
+            inner = f"<li>{inner}</li>"
+        if tag == "table":
+            inner = f"<tr><td>{inner}</td></tr>"
+        html += f"<{tag}{attr}>{inner}</{tag}>"
+        words += [] if gone else seen
+    return html, words
+
+
+def test_visible_words_equal_a_plain_model():
+    rng = random.Random(12)
+    for _ in range(400):
+        html, words = random_page(rng, 5, False)
+        assert [w for w in extract(html)[0].split() if w != "-"] == words, html
+
+
+def test_visibility_keeps_places():
+    assert extract('<div style="visibility:hidden">no<p style="visibility:visible">yes</p>no</div>end')[0] == "yes\n\nend"
+    assert extract('<ol><li style="visibility:hidden">a<li>b</ol>')[0] == "2. b"
+    assert extract('<table><tr><td>a<td>b<tr><td style="visibility:hidden">c<td>d</table>')[0] == "a  b\n   d"
+
+
+def test_long_pages_and_wide_tables():
+    import time
+
+    began = time.perf_counter()
+    words = " ".join(f"w{i}" for i in range(400_000))
+    assert extract(f"<p>{words}</p><div hidden>{words}</div>")[0] == words
+    row = "".join(f"<td>{i}</td>" for i in range(6000))
+    lines = extract(f"<table><tr>{row}</tr><tr>{row}</tr></table>")[0].split("\n")
+    assert len(lines) == 2 and lines[0].split() == [str(i) for i in range(6000)]
+    assert time.perf_counter() - began < 20
+
+
+def test_licence_base_equals_brute_force(spark):
+    rng = random.Random(4)
+    parts = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "CC-BY", "General Public License", "All rights\nreserved", "é", "x9", ",", ".", "by cc by cc by", "allrights"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(150)] + [(150, None), (151, ""), (152, "..."), (153, "cc\x00by"), (154, "cc\u00a0by")]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    upper = {chr(65 + i): chr(97 + i) for i in range(26)}
+    for i, text in rows:
+        words, word = [], ""
+        for c in [*(text or ""), " "]:
+            c = upper.get(c, c)
+            if c >= "\x80" or "0" <= c <= "9" or "a" <= c <= "z":
+                word += c
+            elif word:
+                words.append(word)
+                word = ""
+        at = [(p, label) for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")) for p in range(len(words)) if words[p : p + len(phrase.split())] == phrase.split()]
+        starts = [p for p, _ in at]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(at), min(starts, default=None), max(starts, default=None)), text
+        assert (r["base_labels"] or "") == ",".join(sorted({label for _, label in at})) and set((r["base_labels"] or "").split(",")) <= {*(r["labels"] or "").split(","), ""}
+        assert 0 <= r["score"] <= 1
