@@ -126,22 +126,41 @@ def covariance_matrix(pixels: DataFrame, axis: str = "x") -> DataFrame:
     return a.join(b, [*keys, other]).where("i <= j").groupBy(*keys, "i", "j").agg(F.covar_samp("fi", "fj").alias("cov"))
 
 
-def resample(pixels: DataFrame, nx: int, ny: int, ratio: float, fluxscale: str = "image") -> DataFrame:
-    """FLT-6: a new grid whose pixels are ``ratio`` old pixels wide, by bilinear interpolation.
+def resample(pixels: DataFrame, nx: int, ny: int, ratio: float, fluxscale: str = "image", kind: str = "bilinear", recentre: bool = False) -> DataFrame:
+    """FLT-6: a new grid whose pixels are ``ratio`` old pixels wide, by bilinear or bicubic (Akima) interpolation.
 
-    fluxscale: image (keep the total), pixscale (scale by the area), norm (sum to one).
+    fluxscale: image (keep the total), pixscale (scale by the area), norm (sum to one).  With ``recentre`` each
+    image is sampled again so that its brightest new pixel comes to the middle.  A bicubic image is one group.
     """
-    mx, my = int(nx / ratio), int(ny / ratio)
-    at = lambda c: ((F.col(c) - 0.5) * ratio + 0.5)  # noqa: E731  old index of a new centre
-    spark = pixels.sparkSession
-    grid = spark.range(1, mx + 1).select(F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(my))).alias("y"))
-    grid = grid.withColumns({"gx": F.greatest(F.lit(1.0), F.least(at("x"), F.lit(float(nx)))), "gy": F.greatest(F.lit(1.0), F.least(at("y"), F.lit(float(ny))))})
-    grid = grid.withColumns({"ix": F.least(F.floor("gx"), F.lit(nx - 1)), "iy": F.least(F.floor("gy"), F.lit(ny - 1))})
-    four = F.array(*(F.struct((F.col("ix") + i).alias("px"), (F.col("iy") + j).alias("py"), ((F.col("gx") - F.col("ix") if i else 1 - F.col("gx") + F.col("ix")) * (F.col("gy") - F.col("iy") if j else 1 - F.col("gy") + F.col("iy"))).alias("w")) for i in (0, 1) for j in (0, 1)))
-    want = grid.select("x", "y", F.explode(four).alias("c")).select("x", "y", F.col("c.px").cast("int").alias("px"), F.col("c.py").cast("int").alias("py"), F.col("c.w").alias("w"))
     ids = keys_of(pixels)
-    old = pixels.select(*ids, F.col("x").alias("px"), F.col("y").alias("py"), "flux")
-    out = want.join(old, ["px", "py"]).groupBy(*ids, "x", "y").agg(F.sum(F.col("w") * F.col("flux")).alias("flux"))
+    mx, my = int(nx / ratio), int(ny / ratio)
+    grid = pixels.sparkSession.range(1, mx + 1).select(F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(my))).alias("y"))
+    if ids:  # the new pixels of every image
+        grid = pixels.select(*ids).distinct().crossJoin(F.broadcast(grid))
+
+    def sampled(points: DataFrame) -> DataFrame:
+        """Flux at the new pixels, moved by (sx, sy)."""
+        at = lambda c, n: F.greatest(F.lit(1.0), F.least((F.col(c) - 0.5 + F.col(f"s{c}")) * ratio + 0.5, F.lit(float(n))))  # noqa: E731  old index of a new centre
+        points = points.withColumns({"gx": at("x", nx), "gy": at("y", ny)})
+        if kind == "bicubic":
+            from .sky import bicubic_at
+
+            old = pixels.select(*ids, (F.col("x") - 1).alias("gx"), (F.col("y") - 1).alias("gy"), "flux")
+            return bicubic_at(points.select(*ids, "x", "y", (F.col("gx") - 1).alias("px"), (F.col("gy") - 1).alias("py")), old, "flux").select(*ids, "x", "y", "flux")
+        points = points.withColumns({"ix": F.least(F.floor("gx"), F.lit(nx - 1)), "iy": F.least(F.floor("gy"), F.lit(ny - 1))})
+        four = F.array(*(F.struct((F.col("ix") + i).alias("px"), (F.col("iy") + j).alias("py"), ((F.col("gx") - F.col("ix") if i else 1 - F.col("gx") + F.col("ix")) * (F.col("gy") - F.col("iy") if j else 1 - F.col("gy") + F.col("iy"))).alias("w")) for i in (0, 1) for j in (0, 1)))
+        want = points.select(*ids, "x", "y", F.explode(four).alias("c")).select(*ids, "x", "y", F.col("c.px").cast("int").alias("px"), F.col("c.py").cast("int").alias("py"), F.col("c.w").alias("w"))
+        old = pixels.select(*ids, F.col("x").alias("px"), F.col("y").alias("py"), "flux")
+        return want.join(old, [*ids, "px", "py"]).groupBy(*ids, "x", "y").agg(F.sum(F.col("w") * F.col("flux")).alias("flux"))
+
+    if kind not in ("bilinear", "bicubic"):
+        raise ValueError("kind is bilinear or bicubic")
+    still = {"sx": F.lit(0.0), "sy": F.lit(0.0)}
+    out = sampled(grid.withColumns(still))
+    if recentre:
+        top = out.groupBy(*ids).agg(F.max(F.struct("flux", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("t"))
+        top = top.select(*ids, (-F.col("t.x") - 0.5 - mx / 2).alias("sx"), (-F.col("t.y") - 0.5 - my / 2).alias("sy"))
+        out = sampled(with_summary(grid, top, ids))
     if fluxscale == "pixscale":
         return out.withColumn("flux", F.col("flux") * ratio * ratio)
     total = out.groupBy(*ids).agg(F.sum("flux").alias("new"))

@@ -271,7 +271,8 @@ def texture(pixels: DataFrame, levels: int = 8) -> DataFrame:
     """AGG-25: Haralick features of each segment from its co-occurrence of neighbouring grey levels.
 
     Grey levels divide each segment's range; pairs to the right and above count both ways.
-    Returns angular second moment, contrast, correlation, inverse difference, entropy.
+    Returns the thirteen features: angular second moment, contrast, correlation, variance, inverse difference moment,
+    average, variance and entropy of the sum, entropy, variance and entropy of the difference, and two information measures.
     """
     keys = [*keys_of(pixels), "segID"]
     good = pixels.where("segID > 0 and flux is not null")
@@ -281,7 +282,23 @@ def texture(pixels: DataFrame, levels: int = 8) -> DataFrame:
     pairs = g.join(moved, [*keys, "x", "y"]).select(*keys, F.explode(F.array(F.struct(F.col("g").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("g").alias("b")))).alias("p")).select(*keys, "p.a", "p.b")
     cells = pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     p = cells.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+    # marginals of every cell, and the distributions of sum and difference
+    p = p.withColumns({"pa": F.sum("p").over(Window.partitionBy(*keys, "a")), "pb": F.sum("p").over(Window.partitionBy(*keys, "b"))})
     m = p.groupBy(*keys).agg(
-        F.sum(F.expr("p * p")).alias("asm"), F.sum(F.expr("p * (a - b) * (a - b)")).alias("contrast"), F.sum(F.expr("p * a")).alias("ma"), F.sum(F.expr("p * a * a")).alias("maa"), F.sum(F.expr("p * a * b")).alias("mab"), F.sum(F.expr("p / (1 + (a - b) * (a - b))")).alias("idm"), F.sum(F.expr("-p * ln(p)")).alias("entropy")
+        F.sum(F.expr("p * p")).alias("asm"), F.sum(F.expr("p * (a - b) * (a - b)")).alias("contrast"), F.sum(F.expr("p * a")).alias("ma"), F.sum(F.expr("p * a * a")).alias("maa"), F.sum(F.expr("p * a * b")).alias("mab"), F.sum(F.expr("p / (1 + (a - b) * (a - b))")).alias("idm"), F.sum(F.expr("-p * ln(p)")).alias("entropy"), F.sum(F.expr("-p * ln(pa * pb)")).alias("hxy1")
+    )
+    per_level = p.groupBy(*keys, "a").agg(F.sum("p").alias("p"))
+    levels_ = per_level.groupBy(*keys).agg(F.sum(F.expr("-p * ln(p)")).alias("hx"))
+
+    def spread(of: str, name: str) -> DataFrame:
+        d = p.groupBy(*keys, F.expr(of).alias("v")).agg(F.sum("p").alias("p"))
+        return d.groupBy(*keys).agg(F.sum(F.expr("p * v")).alias(f"{name}_mean"), F.sum(F.expr("p * v * v")).alias(f"{name}_square"), F.sum(F.expr("-p * ln(p)")).alias(f"{name}_entropy"))
+
+    m = m.join(levels_, keys).join(spread("a + b", "sum"), keys).join(spread("abs(a - b)", "diff"), keys)
+    # the matrix is symmetric, so both marginals have one entropy and hxy2 is twice it
+    hxy2 = 2 * F.col("hx")
+    return m.select(
+        *keys, "asm", "contrast", F.try_divide(F.expr("mab - ma * ma"), F.expr("maa - ma * ma")).alias("correlation"), F.expr("maa - ma * ma").alias("variance"), "idm",
+        F.col("sum_mean").alias("sum_average"), F.expr("sum_square - sum_mean * sum_mean").alias("sum_variance"), "sum_entropy", "entropy", F.expr("diff_square - diff_mean * diff_mean").alias("diff_variance"), "diff_entropy",
+        F.try_divide(F.col("entropy") - F.col("hxy1"), "hx").alias("information1"), F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (hxy2 - F.col("entropy"))))).alias("information2"),
     )
-    return m.select(*keys, "asm", "contrast", F.try_divide(F.expr("mab - ma * ma"), F.expr("maa - ma * ma")).alias("correlation"), "idm", "entropy")

@@ -231,10 +231,17 @@ def bicubic_coefficients(z: np.ndarray) -> np.ndarray:
 
 
 def bicubic(pixels: DataFrame, padded: DataFrame, grid: int, column: str = "sky") -> DataFrame:
-    """SKY-11: bicubic Akima interpolation at pixel centres, clamped to the grid's ends.
+    """SKY-11: bicubic Akima interpolation at pixel centres, clamped to the grid's ends."""
+    at = lambda c: (F.col(c) - 0.5 - grid / 2) / grid
+    out = bicubic_at(pixels.withColumns({"px": at("x"), "py": at("y")}), padded, column)
+    return out.select(*pixels.columns, column)
+
+
+def bicubic_at(points: DataFrame, padded: DataFrame, column: str) -> DataFrame:
+    """SKY-11 at the points (px, py) in units of the grid; adds ``column``.
 
-    Coefficients are computed for each image's small grid; pixels join their cell and evaluate the
-    polynomial as columns.
+    Coefficients are computed for each image's grid, which is one group; points join their cell and evaluate
+    the polynomial as columns.
     """
     keys = keys_of(padded)
     names = [f"c{a}{b}" for a in range(4) for b in range(4)]
@@ -253,14 +260,14 @@ def bicubic(pixels: DataFrame, padded: DataFrame, grid: int, column: str = "sky"
 
     cells = padded.withColumn("one", F.lit(1)).groupBy(*(keys or ["one"])).applyInPandas(run, schema)
     ends = padded.groupBy(*keys).agg(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"))
-    px = pixels.join(ends, keys) if keys else pixels.crossJoin(F.broadcast(ends))
-    at = lambda c: F.greatest(F.col(f"{c}0").cast("double"), F.least(F.col(f"{c}1").cast("double"), (F.col(c) - 0.5 - grid / 2) / grid))
-    px = px.withColumns({"px": at("x"), "py": at("y")})
+    px = points.join(ends, keys) if keys else points.crossJoin(F.broadcast(ends))
+    within = lambda c: F.greatest(F.col(f"{c}0").cast("double"), F.least(F.col(f"{c}1").cast("double"), F.col(f"p{c}")))
+    px = px.withColumns({"px": within("x"), "py": within("y")})
     px = px.withColumns({"ix": F.least(F.floor("px"), F.col("x1") - 1), "iy": F.least(F.floor("py"), F.col("y1") - 1)})
     px = px.withColumns({"tx": F.col("px") - F.col("ix"), "ty": F.col("py") - F.col("iy")})
     row = lambda a: F.expr(f"c{a}0 + ty * (c{a}1 + ty * (c{a}2 + ty * c{a}3))")
     value = row(0) + F.col("tx") * (row(1) + F.col("tx") * (row(2) + F.col("tx") * row(3)))
-    return px.join(cells, [*keys, "ix", "iy"]).select(*pixels.columns, value.alias(column))
+    return px.join(cells, [*keys, "ix", "iy"]).select(*points.columns, value.alias(column))
 
 
 def sky_map(pixels: DataFrame, nx: int, ny: int, grid: int = 100, box: int = 100, skytype: str = "median", rmstype: str = "quanlo", kind: str = "bilinear", doclip: bool = True, skypixmin: int | None = None, boxadd: int = 50, boxiters: int = 0) -> DataFrame:
@@ -275,10 +282,23 @@ def sky_map(pixels: DataFrame, nx: int, ny: int, grid: int = 100, box: int = 100
     return bicubic(bicubic(px, padded, grid, "sky"), padded, grid, "skyRMS")
 
 
-def by_region(pixels: DataFrame, region: str = "region", pedestal: bool = False) -> DataFrame:
-    """SKY-19, SKY-21: sky of each region (median), or the median of the regions' sky as one pedestal."""
+def by_region(pixels: DataFrame, region: str = "region", pedestal: bool = False, arguments: DataFrame | None = None) -> DataFrame:
+    """SKY-19, SKY-21: sky of each region (median), or the median of the regions' sky as one pedestal.
+
+    UDF-4: ``arguments(region, quantile, limit)`` gives each region a quantile of its own and a largest
+    flux that counts; a region without a row, or with NULLs there, has the median of all its pixels.
+    """
     keys = keys_of(pixels)
-    got = sky_values(pixels).groupBy(*keys, region).agg(F.percentile("flux", 0.5).alias("sky"), F.count(F.lit(1)).alias("n"))
+    px = sky_values(pixels)
+    if arguments is None:
+        middle = F.percentile("flux", 0.5)
+    else:
+        px = px.join(arguments.select(region, "quantile", "limit"), region, "left").where("limit is null or flux <= limit")
+        q, values = F.coalesce(F.first("quantile"), F.lit(0.5)), F.array_sort(F.collect_list("flux"))
+        at = q * (F.size(values) - 1)
+        low = F.floor(at).cast("int")
+        middle = F.get(values, low) + (at - low) * (F.coalesce(F.get(values, low + 1), F.get(values, low)) - F.get(values, low))
+    got = px.groupBy(*keys, region).agg(middle.alias("sky"), F.count(F.lit(1)).alias("n"))
     return got.groupBy(*keys).agg(F.percentile("sky", 0.5).alias("sky")) if pedestal else got
 
 

@@ -103,6 +103,12 @@ def flt_box(spark: SparkSession, d: str) -> DataFrame:
     return L.box_flux(f2(spark, d), 32, 100, 11)
 
 
+@query()
+def flt_resample_bicubic(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-6, bicubic and recentred; compared with a plain model in the tests."""
+    return L.resample(f3(spark, d).na.fill(0.0), 100, 100, 1.6, "pixscale", kind="bicubic", recentre=True)
+
+
 @query(with_fixtures("f5", "s AS (SELECT band, (x + 1) // 2 AS x, (y + 1) // 2 AS y, sum(flux) / 4 AS f FROM f5 GROUP BY 1, 2, 3) SELECT band, x::BIGINT AS x, y::BIGINT AS y, round(f * sum(o.t) / sum(n.t), 6) AS flux FROM s JOIN (SELECT band, sum(flux) AS t FROM f5 GROUP BY 1) o USING (band) JOIN (SELECT band, sum(f) AS t FROM s GROUP BY 1) n USING (band) GROUP BY band, x, y, f"))
 def flt_resample_bands(spark: SparkSession, d: str) -> DataFrame:
     """FLT-6 on several images at once."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import kernels as B
 from ..operators import models as D
 from ..operators import pipeline as P
 from ..operators import segments as G
@@ -196,11 +197,37 @@ def cat_multiband(spark: SparkSession, d: str) -> DataFrame:
   g AS (SELECT segID, x, y, CASE WHEN hi = lo THEN 0 ELSE least(floor((flux - lo) / (hi - lo) * 8), 7) END AS g FROM t),
   q AS (SELECT a.segID, a.g AS a, b.g AS b FROM g a JOIN g b ON a.segID = b.segID AND (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1)), p AS (SELECT segID, a, b FROM q UNION ALL SELECT segID, b, a FROM q),
   c AS (SELECT segID, a, b, count(*) / sum(count(*)) OVER (PARTITION BY segID) AS p FROM p GROUP BY 1, 2, 3),
+  l AS (SELECT segID, a, sum(p) AS p FROM c GROUP BY 1, 2), lh AS (SELECT segID, sum(-p * ln(p)) AS hx FROM l GROUP BY 1), h1 AS (SELECT c.segID, sum(-c.p * ln(x.p * y.p)) AS h FROM c JOIN l x ON x.segID = c.segID AND x.a = c.a JOIN l y ON y.segID = c.segID AND y.a = c.b GROUP BY 1),
+  su AS (SELECT segID, sum(p * v) AS m, sum(p * v * v) AS q, sum(-p * ln(p)) AS h FROM (SELECT segID, a + b AS v, sum(p) AS p FROM c GROUP BY 1, 2) GROUP BY 1), di AS (SELECT segID, sum(p * v) AS m, sum(p * v * v) AS q, sum(-p * ln(p)) AS h FROM (SELECT segID, abs(a - b) AS v, sum(p) AS p FROM c GROUP BY 1, 2) GROUP BY 1),
   m AS (SELECT segID, sum(p * p) AS asm, sum(p * (a - b) ** 2) AS contrast, sum(p * a) AS ma, sum(p * a * a) AS maa, sum(p * a * b) AS mab, sum(p / (1 + (a - b) ** 2)) AS idm, sum(-p * ln(p)) AS entropy FROM c GROUP BY 1)
-  SELECT segID::BIGINT AS segID, round(asm, 10) AS asm, round(contrast, 10) AS contrast, round((mab - ma * ma) / nullif(maa - ma * ma, 0), 5) AS correlation, round(idm, 6) AS idm, round(entropy, 6) AS entropy FROM m""",
+  SELECT m.segID::BIGINT AS segID, round(asm, 10) AS asm, round(contrast, 10) AS contrast, round((mab - ma * ma) / nullif(maa - ma * ma, 0), 5) AS correlation, round(maa - ma * ma, 6) AS variance, round(idm, 6) AS idm, round(su.m, 6) AS sum_average, round(su.q - su.m * su.m, 6) AS sum_variance, round(su.h, 6) AS sum_entropy,
+   round(entropy, 6) AS entropy, round(di.q - di.m * di.m, 6) AS diff_variance, round(di.h, 6) AS diff_entropy, round((entropy - h1.h) / hx, 5) AS information1, round(sqrt(greatest(0, 1 - exp(-2 * (2 * hx - entropy)))), 5) AS information2
+  FROM m JOIN lh USING (segID) JOIN h1 USING (segID) JOIN su USING (segID) JOIN di USING (segID)""",
     )
 )
 def agg_texture(spark: SparkSession, d: str) -> DataFrame:
     """AGG-25."""
     out = P.texture(f2(spark, d))
-    return out.select(F.col("segID").cast("long").alias("segID"), *r("asm", "contrast", digits=10), *r("correlation", digits=5), *r("idm", "entropy"))
+    return out.select(F.col("segID").cast("long").alias("segID"), *r("asm", "contrast", digits=10), *r("correlation", "information1", "information2", digits=5), *r("variance", "idm", "sum_average", "sum_variance", "sum_entropy", "entropy", "diff_variance", "diff_entropy"))
+
+
+def fuzz_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels that the dilated labels of F2's brighter pixels reach, with the catalogue's values."""
+    px = f2(spark, d).withColumn("segID", F.when(F.col("flux") > 40, F.col("segID")).otherwise(0))
+    seg = px.where("segID > 0").select("x", "y", "segID")
+    ring = G.dilate(seg, B.brush(5, "disc"), 64, height(spark, d)).join(px.select("x", "y", "flux"), ["x", "y"]).withColumn("sigma", F.lit(10.0))
+    cat = S.segment_flux(px).join(S.shape(S.moments(px)), "segID").withColumns({"mag": -2.5 * F.log10("flux"), "R50": F.col("semimaj")})
+    return D.annulus_sources(seg, ring, cat)
+
+
+@query()
+def fit_fuzz(spark: SparkSession, d: str) -> DataFrame:
+    """FIT-8: compared with known profiles in the tests."""
+    return D.fuzz_fit(fuzz_rows(spark, d))
+
+
+@query()
+def fit_psf_fuzz(spark: SparkSession, d: str) -> DataFrame:
+    """FIT-9: compared with known profiles in the tests."""
+    out, shape = D.fuzz_fit_shared(fuzz_rows(spark, d), rounds=3)
+    return out.withColumns({n: F.lit(v) for n, v in shape.items()})

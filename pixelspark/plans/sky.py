@@ -106,6 +106,14 @@ def sky_disco(spark: SparkSession, d: str) -> DataFrame:
     return K.by_region(px).select(F.col("region").cast("long").alias("region"), *r("sky"), "n")
 
 
+@query(with_fixtures("f3", "SELECT (CASE WHEN x <= 50 THEN 1 ELSE 2 END)::BIGINT AS region, round(CASE WHEN x <= 50 THEN quantile_cont(flux, 0.3) FILTER (flux <= 200) ELSE quantile_cont(flux, 0.5) END, 6) AS sky, count(*) FILTER (x > 50 OR flux <= 200) AS n FROM f3 WHERE flux IS NOT NULL GROUP BY x <= 50").replace("CASE WHEN x <= 50 THEN 1 ELSE 2 END", "CASE WHEN any_value(x) <= 50 THEN 1 ELSE 2 END").replace("CASE WHEN x <= 50 THEN quantile", "CASE WHEN any_value(x) <= 50 THEN quantile"))
+def sky_disco_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """SKY-19, UDF-4: a quantile and a limit of one region's own."""
+    px = f3(spark, d).withColumn("region", F.when(F.col("x") <= 50, 1).otherwise(2))
+    own = spark.createDataFrame([(1, 0.3, 200.0)], "region int, quantile double, limit double")
+    return K.by_region(px, arguments=own).select(F.col("region").cast("long").alias("region"), *r("sky"), "n")
+
+
 @query()
 def sky_map(spark: SparkSession, d: str) -> DataFrame:
     """SKY-8 with the automatic clip, growing boxes (SKY-2) and both maps."""

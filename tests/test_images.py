@@ -389,3 +389,70 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = stream_segment_flux(df)
     assert sorted(map(tuple, spark.table("seg_out").collect())) == sorted(map(tuple, want.collect()))
+
+
+def plain_akima(z, px, py):
+    c = K.bicubic_coefficients(z)
+    out = np.zeros((len(px), len(py)))
+    for a, x in enumerate(px):
+        for b, y in enumerate(py):
+            i, j = min(int(x), z.shape[0] - 2), min(int(y), z.shape[1] - 2)
+            t, u = (x - i) ** np.arange(4), (y - j) ** np.arange(4)
+            out[a, b] = t @ c[i, j] @ u
+    return out
+
+
+def test_bicubic_resampling_and_recentring(spark):
+    x, y = np.meshgrid(np.arange(12), np.arange(10), indexing="ij")
+    a = np.exp(-((x - 4.2) ** 2 + (y - 6.1) ** 2) / 6)
+    at = lambda m, n, shift: np.clip((np.arange(m) + 0.5 + shift) * 0.5 - 0.5, 0, n - 1)
+    want = plain_akima(a, at(24, 12, 0), at(20, 10, 0))
+    got = array(L.resample(image(spark, a), 12, 10, 0.5, "image", kind="bicubic"), (24, 20))
+    assert np.allclose(got, want * a.sum() / want.sum())
+    i, j = np.unravel_index(np.argmax(want), want.shape)
+    moved = plain_akima(a, at(24, 12, i + 0.5 - 12), at(20, 10, j + 0.5 - 10))
+    got = array(L.resample(image(spark, a), 12, 10, 0.5, "norm", kind="bicubic", recentre=True), (24, 20))
+    assert np.allclose(got, moved / moved.sum())
+
+
+def test_fuzz_fits_find_known_profiles(spark):
+    truth = {1: (20.0, 20.0, 3000.0), 2: (60.0, 25.0, 800.0)}
+    x, y = np.meshgrid(np.arange(80) + 0.5, np.arange(50) + 0.5, indexing="ij")
+    a = sum(f * D.sersic_image(np.hypot(x - cx, y - cy), 6.0, 1.0, 1.0) for cx, cy, f in truth.values())
+    px = image(spark, a)
+    near = F.when(F.col("x") <= 40, 1).otherwise(2)
+    r2 = F.when(F.col("x") <= 40, F.pow(F.col("x") - 20.5, 2) + F.pow(F.col("y") - 20.5, 2)).otherwise(F.pow(F.col("x") - 60.5, 2) + F.pow(F.col("y") - 25.5, 2))
+    seg = px.where(r2 < 16).select("x", "y", near.alias("segID"))
+    ring = px.where(r2 < 144).select("x", "y", near.alias("segID"), "flux", F.lit(0.1).alias("sigma"))
+    stats = spark.createDataFrame([(s, cx, cy, 0.0, 4.0, 1.0, 0.0) for s, (cx, cy, _) in truth.items()], "segID int, xcen double, ycen double, mag double, R50 double, axrat double, ang double")
+    rows = D.annulus_sources(seg, ring, stats)
+    for r in D.fuzz_fit(rows, magzero=25.0).collect():
+        assert r["re"] == pytest.approx(6.0, rel=0.03) and r["mag"] == pytest.approx(-2.5 * math.log10(truth[r["segID"]][2]) + 25, abs=0.05)
+    out, shape = D.fuzz_fit_shared(rows, re=(1.0, 20.0), nser=(0.5, 4.0), magzero=25.0, rounds=5)
+    assert shape["re"] == pytest.approx(6.0, rel=0.1) and shape["nser"] == pytest.approx(1.0, rel=0.1)
+    assert {r["segID"]: r["flux"] for r in out.collect()} == {s: pytest.approx(f, rel=0.1) for s, (_, _, f) in truth.items()}
+
+
+def test_pictures(spark):
+    import struct
+    import zlib
+
+    from pixelspark.sinks import plots
+
+    a = np.random.default_rng(2).normal(10, 2, (30, 20))
+    px = image(spark, a).withColumns({"sky": F.lit(10.0), "segID": F.when(F.col("x").between(5, 12) & F.col("y").between(4, 9), 3).otherwise(0)})
+
+    def opened(data):
+        w, h = struct.unpack(">II", data[16:24])
+        n = struct.unpack(">I", data[33:37])[0]
+        rows = np.frombuffer(zlib.decompress(data[41 : 41 + n]), np.uint8).reshape(h, 1 + 3 * w)
+        assert data[:4] == b"\x89PNG" and not rows[:, 0].any()
+        return rows[:, 1:].reshape(h, w, 3)
+
+    assert opened(plots.diagnostic_plot(px, 30, 20, ["flux", "sky"])).shape == (20, 64, 3)
+    assert opened(plots.diagnostic_plot(px, 30, 20, ["flux"], most=10)).shape == (7, 10, 3)
+    seen = opened(plots.segment_plot(px, px.select("x", "y", "segID"), 30, 20))
+    coloured = {(int(i) + 1, 20 - int(j)) for j, i in np.argwhere((seen[:, :, 0] != seen[:, :, 1]) | (seen[:, :, 1] != seen[:, :, 2]))}
+    assert coloured == {(x, y) for x in range(5, 13) for y in range(4, 10) if x in (5, 12) or y in (4, 9)}
+    model = px.select("x", "y", F.lit(10.0).alias("flux"))
+    assert opened(plots.psf_plot(px, model, 30, 20)).shape == (20, 98, 3)
