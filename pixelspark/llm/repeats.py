@@ -13,12 +13,14 @@ Equal windows are found in three steps.
 3. The earliest of equal windows stays; the bytes of all others are removed.
 
 Runs with equal bytes are one document of the collection (their earliest owner stands for them), and
-an anchor with one such document needs no sorting.  Texts travel twice, in compressed blocks.
+an anchor with one such document needs no sorting.  Runs of an anchor that is hot (a share of all runs) are cut into
+single windows, which meet by their own hash.  Texts travel twice, in compressed blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -109,46 +111,44 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
         yield v.as_py() or b""
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, k: int, parts: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _part_of(token: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the range of anchor hashes."""
+    return np.minimum((token.astype(np.float64) * (parts / 2.0**TOKEN_BITS)).astype(np.int64), parts - 1)
+
+
+def _stretches(to: np.ndarray, kind: int, key: np.ndarray, first: np.ndarray, shape: np.ndarray, token: np.ndarray) -> Iterator[tuple]:
+    """Rows of runs by where they go; ``to`` ascends."""
+    start = np.flatnonzero(np.diff(to, prepend=-1))
+    for a, b in zip(start.tolist(), np.append(start, len(to))[1:].tolist(), strict=True):
+        ids, at = np.unique(key[a:b], return_inverse=True)
+        yield int(to[a]), kind, pack(ids, step=True), pack(at), pack(first[a:b]), pack(shape[a:b]), pack(token[a:b])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], window: int, k: int, parts: int, step: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs by part of the range of anchor hashes: owner keys, owner, start, shape (length, anchor, known), hash.
 
     An anchor that occurs again among the runs at hand is known to repeat: its runs go to the buckets of
     their texts at once, and one of them, marked so, to the part.  However frequent an anchor is, its
-    part gets it once from each lot of runs.
+    part gets it once from each lot of runs.  ``step`` parts or buckets share a row.
     """
     release()
     keys, sizes, cols, held = [], [], [], 0
 
-    def block(number: int, kind: int, ids: np.ndarray, owner: np.ndarray, first: np.ndarray, shape: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
-        have, at = np.unique(owner, return_inverse=True)
-        return _batch([(number, kind, pack(ids[have], step=True), pack(at), pack(first), pack(shape), pack(token))])
-
     def blocks() -> Iterator[pa.RecordBatch]:
         first, length, place, token = (np.concatenate(c) for c in zip(*cols, strict=True))
-        owner = np.repeat(np.arange(len(keys)), sizes)
+        key = np.repeat(np.array(keys, np.int64).view(np.uint64), sizes)
         order = np.argsort(token, kind="stable")
-        first, shape, token, owner = first[order], (length * 512 + place * 2)[order], token[order], owner[order]
-        new = np.diff(token, prepend=token[:1] ^ np.uint64(1)) != 0
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(token)))
-        known = np.repeat(count > 1, count)
-        ids = np.array(keys, np.int64).view(np.uint64)
-        lead = start
-        mark = shape[lead] + (count > 1)
-        cuts = np.searchsorted(token[lead], (np.arange(parts + 1, dtype=np.float64) * (2.0**TOKEN_BITS / parts)).astype(np.uint64))
-        cuts[-1] = len(lead)
-        for p in range(parts):
-            x = slice(cuts[p], cuts[p + 1])
-            if cuts[p + 1] > cuts[p]:
-                yield block(p, RUNS, ids, owner[lead[x]], first[lead[x]], mark[x], token[lead[x]])
-        again = np.flatnonzero(known)
-        bucket = _bucket_of(ids[owner[again]], parts)
-        again = again[np.argsort(bucket, kind="stable")]
-        bucket = _bucket_of(ids[owner[again]], parts)
-        for b in np.unique(bucket):
-            x, y = np.searchsorted(bucket, [b, b + 1])
-            o = again[x:y]
-            yield block(int(b), KNOWN, ids, owner[o], first[o], shape[o], token[o])
+        first, shape, token, key = first[order], (length * 512 + place * 2)[order], token[order], key[order]
+        lead = np.flatnonzero(np.diff(token, prepend=token[:1] ^ np.uint64(1)))
+        count = np.diff(np.append(lead, len(token)))
+        for row in _stretches(_part_of(token[lead], parts) // step, RUNS, key[lead], first[lead], shape[lead] + (count > 1), token[lead]):
+            yield _batch([row])
+        again = np.flatnonzero(np.repeat(count > 1, count))
+        bucket = _bucket_of(key[again], parts) // step
+        order = np.argsort(bucket, kind="stable")
+        again = again[order]
+        for row in _stretches(bucket[order], KNOWN, key[again], first[again], shape[again], token[again]):
+            yield _batch([row])
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
@@ -167,18 +167,66 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, k: int, parts: int,
     release()
 
 
+def _respread(batches: Iterator[pa.RecordBatch], parts: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows for several parts or buckets at once, dealt out to each: the second half of an exchange to very many."""
+    lots: dict[int, list[list[np.ndarray]]] = {kind: [[], [], [], []] for kind in (RUNS, KNOWN)}
+    held = 0
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        for kind, lot in lots.items():
+            key, first, shape, token = (np.concatenate([np.zeros(0, np.uint64), *c]) for c in lot)
+            to = _part_of(token, parts) if kind == RUNS else _bucket_of(key, parts)
+            order = np.argsort(to, kind="stable")
+            for row in _stretches(to[order], kind, key[order], first[order], shape[order], token[order]):
+                yield _batch([row])
+            for c in lot:
+                c.clear()
+
+    for batch in batches:
+        for kind, *row in zip(*(batch.column(c) for c in _FIELDS[1:]), strict=True):
+            ids, at, *values = (unpack(x.as_py()) for x in row)
+            for column, v in zip(lots[kind.as_py()], (ids[at.astype(np.int64)], *values), strict=True):
+                column.append(v)
+            held += len(at)
+        if held >= flush:
+            yield from blocks()
+            held = 0
+    yield from blocks()
+    release()
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], least: int = 8, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Anchors that many runs of a lot share, and how many; and the number of runs, as anchor -1."""
+    held: list[np.ndarray] = []
+    n = 0
+
+    def counted() -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        often = count >= least
+        return pa.record_batch([pa.array(np.append(token[often].astype(np.int64), -1)), pa.array(np.append(count[often], n))], names=["token", "n"])
+
+    for batch in batches:
+        for e in batch.column("e"):
+            held.append(unpack(e.as_py()))
+            n += len(held[-1])
+            if n >= flush:
+                yield counted()
+                held, n = [], 0
+    yield counted()
+
+
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _repeated_runs(table: pa.Table, buckets: int) -> pa.Table:
+def _repeated_runs(table: pa.Table, parts: int, step: int) -> pa.Table:
     """Runs of a part whose anchor occurs more than once, by bucket of their text; known ones pass through."""
     cols: list[list[np.ndarray]] = [[], [], [], []]
     rows = []
     for bucket, kind, *row in zip(*(table.column(c) for c in _FIELDS), strict=True):
         row = [x.as_py() for x in row]
         if kind.as_py() == KNOWN:
-            rows.append((bucket.as_py(), RUNS, *row))
+            rows.append((bucket.as_py() // step, KNOWN, *row))
             continue
         ids, at, first, shape, token = map(unpack, row)
         for col, v in zip(cols, (ids[at.astype(np.int64)], first, shape, token), strict=True):
@@ -190,13 +238,9 @@ def _repeated_runs(table: pa.Table, buckets: int) -> pa.Table:
         same = np.diff(t) == 0
         order = order[np.append(same, False) | np.insert(same, 0, False)]
         order = order[(shape[order] & np.uint64(1)) == 0]  # the others have been sent
-        bucket = _bucket_of(key[order], buckets)
+        bucket = _bucket_of(key[order], parts) // step
         order = order[np.lexsort((first[order], key[order], bucket))]
-        bucket = _bucket_of(key[order], buckets)
-        for b in np.unique(bucket):
-            o = order[np.searchsorted(bucket, b) : np.searchsorted(bucket, b, side="right")]
-            ids, at = np.unique(key[o], return_inverse=True)
-            rows.append((int(b), RUNS, pack(ids, step=True), pack(at), pack(first[o]), pack(shape[o]), pack(token[o])))
+        rows += _stretches(_bucket_of(key[order], parts) // step, KNOWN, key[order], first[order], shape[order], token[order])
     out = pa.Table.from_batches([_batch(rows)])
     release()
     return out
@@ -229,7 +273,7 @@ def _open_bucket(table: pa.Table) -> tuple[dict[int, bytes], tuple[np.ndarray, .
             for key, n in zip(unpack(a).view(np.int64).tolist(), size.tolist(), strict=True):
                 texts[key] = body[at : at + n]
                 at += n
-        elif kind == RUNS:
+        elif kind in (RUNS, KNOWN):
             for col, v in zip(cols, (unpack(a)[unpack(b).astype(np.int64)].view(np.int64), unpack(c).astype(np.int64), unpack(d).astype(np.int64), unpack(e)), strict=True):
                 col.append(v)
         else:
@@ -262,12 +306,32 @@ def _earliest(texts: dict[int, bytes], runs: tuple[np.ndarray, ...], window: int
     return strings, np.array(firsts, np.int64), later
 
 
-def _collect(table: pa.Table, window: int, parts: int) -> pa.Table:
+def _single_windows(strings: list[bytes], runs: list[np.ndarray], hot: np.ndarray, window: int) -> tuple[list[bytes], list[np.ndarray]]:
+    """Runs of hot anchors, cut into their windows; each goes by its own hash, so no part gets all of an anchor.
+
+    Equal windows have one hash, one place of the anchor and one part, as equal runs have.
+    """
+    key, first, length, place, token = runs
+    if not len(hot):
+        return strings, runs
+    is_hot = np.isin(token, hot)
+    rest = np.flatnonzero(~is_hot)
+    out, kept = [c[rest].tolist() for c in runs], [strings[i] for i in rest.tolist()]
+    for i in np.flatnonzero(is_hot).tolist():
+        for o in range(int(length[i])):
+            w = strings[i][o : o + window]
+            kept.append(w)
+            for column, v in zip(out, (int(key[i]), int(first[i]) + o, 1, int(place[i]) - o, int.from_bytes(hashlib.blake2b(w, digest_size=TOKEN_BITS // 8).digest())), strict=True):
+                column.append(v)
+    return kept, [np.array(c, old.dtype) for c, old in zip(out, runs, strict=True)]
+
+
+def _collect(table: pa.Table, window: int, parts: int, hot) -> pa.Table:
     """The distinct runs of a bucket with their earliest owners, by part of the range of anchor hashes."""
     texts, runs, _ = _open_bucket(table)
     strings, at, _ = _earliest(texts, runs, window)
-    key, first, length, place, token = (c[at] for c in runs)
-    part = np.minimum((token.astype(np.float64) * (parts / 2.0**TOKEN_BITS)).astype(np.int64), parts - 1)
+    strings, (key, first, length, place, token) = _single_windows(strings, [c[at] for c in runs], hot.value, window)
+    part = _part_of(token, parts)
     rows = []
     for p in np.unique(part):
         o = np.flatnonzero(part == p)
@@ -456,7 +520,7 @@ def _finish(table: pa.Table, window: int, with_text: bool) -> pa.Table:
     return out if with_text else out.drop_columns(["kept"])
 
 
-def remove_repeats(rows: DataFrame, window: int = 100, k: int = 36, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = 8_000_000) -> DataFrame:
+def remove_repeats(rows: DataFrame, window: int = 100, k: int = 36, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, part_bytes: int = 8_000_000, often: int = 4096, fan: int = 4096) -> DataFrame:
     """Removes every byte covered by a ``window``-byte string that also starts earlier.
 
     Earlier means in a text of smaller id or at a smaller place of the same text; overlaps count, and
@@ -484,10 +548,24 @@ def remove_repeats(rows: DataFrame, window: int = 100, k: int = 36, id_col: str
         docs = docs.select(F.col("id").alias("key"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
-    anchors = docs.where(F.octet_length("text") >= window).mapInArrow(lambda it: _anchors(it, window, k, parts), _BLOB)
-    repeated = scratch.keep(anchors.groupBy("bucket").applyInArrow(lambda t: _repeated_runs(t, parts), _BLOB))
+    step = 1 if parts <= fan else -(-parts // math.isqrt(parts))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows by part; to many parts in two exchanges, as one lot would leave next to nothing for each."""
+        if step == 1:
+            return rows
+        return rows.repartition(-(-parts // step), "bucket").mapInArrow(lambda it: _respread(it, parts), _BLOB)
+
+    anchors = docs.where(F.octet_length("text") >= window).mapInArrow(lambda it: _anchors(it, window, k, parts, step), _BLOB)
+    repeated = scratch.keep(dealt(dealt(anchors).groupBy("bucket").applyInArrow(lambda t: _repeated_runs(t, parts, step), _BLOB)))
+    scratch.forget()
+    counts = repeated.mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    runs = counts.where("token = -1").first()
+    # each hot anchor has at least 1 / 65536 of all runs, so there are at most 65536
+    many = counts.where((F.col("token") >= 0) & (F.col("n") >= max(often, (runs["n"] if runs else 0) >> 16))).toArrow().column("token").to_numpy()
+    hot = spark.sparkContext.broadcast(np.sort(many).astype(np.uint64))
     texts = docs.mapInArrow(lambda it: _texts(it, parts), _BLOB)
-    collected = texts.unionByName(repeated).groupBy("bucket").applyInArrow(lambda t: _collect(t, window, parts), _BLOB)
+    collected = texts.unionByName(repeated).groupBy("bucket").applyInArrow(lambda t: _collect(t, window, parts, hot), _BLOB)
     cuts = scratch.keep(collected.groupBy("bucket").applyInArrow(lambda t: _resolve(t, window, k, parts), _BLOB))
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     out = texts.unionByName(repeated).unionByName(cuts).groupBy("bucket").applyInArrow(lambda t: _finish(t, window, with_text), schema)

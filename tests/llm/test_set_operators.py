@@ -113,11 +113,12 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("seed,window,k", [(4, 100, 36), (5, 30, 11), (6, 20, 20), (7, 300, 60)])
-def test_repeats_equal_brute_force(spark, seed, window, k):
+@pytest.mark.parametrize("seed,window,k,more", [(4, 100, 36, {}), (5, 30, 11, {}), (6, 20, 20, {}), (7, 300, 60, {}), (8, 100, 36, {"often": 10}), (9, 30, 11, {"often": 10, "fan": 4, "part_bytes": 2000}), (4, 100, 36, {"fan": 2, "part_bytes": 9000})])
+def test_repeats_equal_brute_force(spark, seed, window, k, more):
+    """Also with hot anchors (``often``) and with exchanges in two steps (``fan``)."""
     rows = [*corpus(seed), (6000, "ab" * 300), (6001, "z" * 500), (6002, "\0" * 250 + "q" + "\0" * 120)]
     want = brute_repeats(rows, window)
-    got = remove_repeats(frame(spark, rows), window, k).collect()
+    got = remove_repeats(frame(spark, rows), window, k, **more).collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:] == want[r["doc_id"]], r["doc_id"]
