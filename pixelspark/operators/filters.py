@@ -7,7 +7,9 @@ map-side combine, at any image size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import keys_of, with_summary
@@ -118,12 +120,33 @@ def pixel_correlation(pixels: DataFrame, lags: list[int]) -> DataFrame:
     return out.withColumns({f"cor{a}_diff": F.col(f"cor{a}_pos") - F.col(f"cor{a}_neg") for a in ("x", "y")})
 
 
-def covariance_matrix(pixels: DataFrame, axis: str = "x") -> DataFrame:
-    """FLT-11: sample covariance of each pair of columns (``axis`` x) or rows, over the other axis."""
+def covariance_matrix(pixels: DataFrame, axis: str = "x", lines: int = 256) -> DataFrame:
+    """FLT-11: sample covariance of each pair of columns (``axis`` x) or rows, over the other axis.
+
+    A pair is covered where both have a value.  Blocks of ``lines`` lines give partial sums of products by one matrix
+    product each; these are added up, so no row is made for a pair of pixels.
+    """
     other = "y" if axis == "x" else "x"
     keys = keys_of(pixels)
-    a, b = (pixels.select(*keys, other, F.col(axis).alias(n), F.col("flux").alias(f"f{n}")) for n in ("i", "j"))
-    return a.join(b, [*keys, other]).where("i <= j").groupBy(*keys, "i", "j").agg(F.covar_samp("fi", "fj").alias("cov"))
+    middle = F.avg("flux").over(Window.partitionBy(*keys, axis))  # sums about the mean do not cancel
+    px = pixels.where("flux is not null").select(*keys, F.col(axis).alias("i"), F.col(other).alias("line"), (F.col("flux") - middle).alias("flux"))
+    names = ["n", "sij", "si", "sj"]
+    schema = "".join(f"{k} {px.schema[k].dataType.simpleString()}, " for k in keys) + "i int, j int, " + ", ".join(f"{c} double" for c in names)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot(index="line", columns="i", values="flux")
+        have = table.notna().to_numpy().astype(float)
+        v = table.fillna(0.0).to_numpy()
+        i, j = np.triu_indices(v.shape[1])
+        at = table.columns.to_numpy()
+        out = pd.DataFrame({"i": at[i], "j": at[j], "n": (have.T @ have)[i, j], "sij": (v.T @ v)[i, j], "si": (v.T @ have)[i, j], "sj": (have.T @ v)[i, j]})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    block = px.withColumn("block", F.floor((F.col("line") - 1) / lines))
+    sums = block.groupBy(*keys, "block").applyInPandas(run, schema).groupBy(*keys, "i", "j").agg(*(F.sum(c).alias(c) for c in names))
+    return sums.select(*keys, "i", "j", F.when(F.col("n") > 1, (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
 def resample(pixels: DataFrame, nx: int, ny: int, ratio: float, fluxscale: str = "image", kind: str = "bilinear", recentre: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from ..model import keys_of
+from ..model import keys_of, with_summary
 from .segments import components
 
 
@@ -94,12 +94,10 @@ def watershed(pixels: DataFrame, skycut: float = 1.0, pixcut: int = 3, ext: int
 
 
 def rank_globally(seeds: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
-    """WIN-5: ranks by (v desc, y, x) in each image; windows over value bands, offset by the bands before."""
-    span = seeds.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    both = seeds.join(span, keys) if keys else seeds.crossJoin(F.broadcast(span))
-    band = F.least(F.floor(F.coalesce(F.try_divide(F.col("hi") - F.col("v"), F.col("hi") - F.col("lo")), F.lit(0.0)) * parts), F.lit(parts - 1)).cast("int")
-    both = both.withColumn("__band", band)
+    """WIN-5: ranks by (v desc, y, x) in each image; windows over bands of equal numbers, offset by the bands before."""
+    cuts = seeds.groupBy(*keys).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)]).alias("cuts"))
+    both = with_summary(seeds, cuts, keys).withColumn("__band", F.size(F.filter("cuts", lambda c: c > F.col("v"))))
     counts = both.groupBy(*keys, "__band").agg(F.count(F.lit(1)).alias("__n"))
     start = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__band")) - F.col("__n")).drop("__n")
     rn = F.row_number().over(Window.partitionBy(*keys, "__band").orderBy(F.desc("v"), "seed_y", "seed_x"))
-    return both.withColumn("__rn", rn).join(F.broadcast(start), [*keys, "__band"]).select(*keys, "seed_x", "seed_y", (F.col("__before") + F.col("__rn")).cast("int").alias("segID"))
+    return both.withColumn("__rn", rn).join(start, [*keys, "__band"]).select(*keys, "seed_x", "seed_y", (F.col("__before") + F.col("__rn")).cast("int").alias("segID"))
