@@ -110,16 +110,19 @@ def tile_stats(tiles: DataFrame, skytype: str = "median", rmstype: str = "quanlo
     elif skytype == "converge":
         centre = spread.drop("sd_sky")
     else:
+        centre = None  # a window of the tiles: no second computation of them, and no shuffle beside theirs
         agg = {"median": F.percentile("flux", 0.5), "mean": F.avg("flux")}[skytype]
-        centre = tiles.groupBy(*keys).agg(agg.alias("sky"))
+        tiles = tiles.withColumn("sky", agg.over(Window.partitionBy(*keys)))
     d = F.col("flux") - F.col("sky")
     p = 2 * _phi(-sigmasel)
     lo = F.abs(F.percentile(F.when(d < 0, d), p)) / sigmasel
     hi = F.abs(F.percentile(F.when(d > 0, d), 1 - p)) / sigmasel
     rms = {"quanlo": lo, "quanhi": hi, "quanboth": (lo + hi) / 2, "sd": F.sqrt(F.avg(d * d)), "converge": F.first("sd_sky")}[rmstype]
+    if centre is not None:
+        tiles = tiles.join(centre, keys)
     if rmstype == "converge":
-        centre = centre.join(spread.drop("sky"), keys)
-    return tiles.join(centre, keys).groupBy(*keys, "sky").agg(rms.alias("skyRMS"), F.count(F.lit(1)).alias("n"), F.avg(F.when(d < 0, d * d)).alias("below"))
+        tiles = tiles.join(spread.drop("sky"), keys)
+    return tiles.groupBy(*keys, "sky").agg(rms.alias("skyRMS"), F.count(F.lit(1)).alias("n"), F.avg(F.when(d < 0, d * d)).alias("below"))
 
 
 def density_mode(tiles: DataFrame, points: int = 512) -> DataFrame:

@@ -71,7 +71,8 @@ def watershed(pixels: DataFrame, skycut: float = 1.0, pixcut: int = 3, ext: int
     seeds from bright to faint over the whole image, from 1.
     """
     keys = keys_of(pixels)
-    cand = pixels.where(F.col("sn") >= skycut if variant == "old" else F.col("sn") > skycut).select(*keys, "x", "y", "sn")
+    # few of all pixels, used three times
+    cand = cut(pixels.where(F.col("sn") >= skycut if variant == "old" else F.col("sn") > skycut).select(*keys, "x", "y", "sn"))
     comp = components(cand.select(*keys, "x", "y"), connectivity=8, reach=max(ext, 1))
     dealt = cand.join(comp, [*keys, "x", "y"])
     schema = "".join(f"{k} string, " for k in keys) + "x int, y int, seed_x int, seed_y int, seed_v double, is_seed boolean"
