@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workers import kept
+from .workers import kept, trim
 
 
 class RankQueue:
@@ -182,6 +182,8 @@ def _encoder(vocabulary, pattern: str, with_ids: bool):
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]))))
                 names_out.append("ids")
             yield pa.record_batch(columns, names=names_out)
+            del columns, batch, all_ids
+            trim()
 
     return run
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workers import trim
+
 # The base patterns and least lengths, in the order of their kinds.
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -282,6 +284,8 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         masked = pa.array([None if v is None else mask_secrets(v) for v in batch.column(0).to_pylist()], pa.string())
         yield pa.record_batch([*batch.columns[1:], masked], names=[*batch.schema.names[1:], "__masked"])
+        del masked, batch
+        trim()
 
 
 def redact(rows: DataFrame, text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import MARKS, joined_bytes, pieces, runs, word_hashes
-from .workers import release
+from .workers import release, trim
 
 BITS = 22
 
@@ -221,6 +221,8 @@ def _scorer(model, text_col: str, at_once: int = 4 << 20):
             parts = [scores(part) for part in runs(texts, at_once)]
             score = pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
             yield pa.record_batch([*batch.columns, score], names=[*batch.schema.names, "score"])
+            del texts, parts, score, batch
+            trim()
 
     return run
 

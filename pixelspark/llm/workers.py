@@ -18,10 +18,15 @@ def kept(name: str, make: Callable):
     return store[name]
 
 
+def trim() -> None:
+    """Gives free memory back to the system, as Arrow and the C library would keep what a batch needed."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def release() -> None:
     """Forgets what is kept and gives free memory back to the system."""
     sys.__dict__.get("_pixelspark_kept", {}).clear()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()
