@@ -199,6 +199,8 @@ def fit(texts: DataFrame, prior: float, positives: int = 3000, unlabelled: int =
         flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         for i, positive in enumerate(batch.column(0).to_pylist()):
             rows[positive].append(flat[ends[i] : ends[i + 1]])
+    for side in rows.values():  # the order in which rows arrive must not matter to sums of floats
+        side.sort(key=lambda r: r.tobytes())
     weights, bias = train_pu(rows[True], rows[False], len(chosen), prior)
     return Model(chosen, weights, bias)
 
