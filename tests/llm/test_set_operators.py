@@ -200,7 +200,7 @@ def test_contamination_equals_brute_force(spark, block):
         w = words(t)
         for s in range(max(1, len(w) - 9) if w else 0):
             wins.setdefault(tuple(w[s : s + 10]), set()).update(() if i is None else (str(i),))
-    got = contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block=block).collect()
+    got = contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block=block, lot=10 * block).collect()
     assert len(got) == len(rows)
     for r in got:
         w, hit, ids = words(text[r["doc_id"]]), set(), set()
@@ -223,6 +223,15 @@ def test_contamination_odd_rows(spark):
     assert contamination(frame(spark, rows).limit(0), items).isEmpty()
 
 
+def test_contamination_long_words_and_hot_windows(spark):
+    """Windows whose words are very long, a window in many items, one that covers a whole long text."""
+    big = [c * 3000 for c in "abcdefghijklm"]
+    items = [(1, " ".join(big)), (2, " ".join(big[:9] + ["z"]))] + [(i, "one two three") for i in range(100, 400)]
+    rows = [(1, "q " + " ".join(big[1:12])), (2, " ".join(big[:9])), (3, "one two three " * 20_000), (4, "one two"), (5, " ".join(big[:9] + ["zz"]))]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (12, 11, ["1"]), 2: (9, 0, []), 3: (60_000, 60_000, [str(i) for i in range(100, 400)]), 4: (2, 0, []), 5: (10, 0, [])}
+
+
 @pytest.mark.parametrize("more", [{}, {"block": 4, "hot": 3}])
 def test_embeddings_equal_brute_force(spark, more):
     """Also with buckets cut into blocks and copies dealt over several keys."""
