@@ -25,11 +25,16 @@ def sky_tile_stats(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), *r("sky", "skyRMS", digits=5), F.col("n").cast("long").alias("n"))
 
 
-def _round(i: int) -> str:
+# the quantile of 1 - 2 / n by the rational approximation that the clip uses
+_Q = "sqrt(-2 * ln(2e0 / greatest(n, 4)))"
+_AUTO = f"({_Q} - (2.515517e0 + 0.802853e0 * {_Q} + 0.010328e0 * {_Q} * {_Q}) / (1 + 1.432788e0 * {_Q} + 0.189269e0 * {_Q} * {_Q} + 0.001308e0 * {_Q} * {_Q} * {_Q}))"
+
+
+def _round(i: int, limit: str = "2e0") -> str:
     return f"""r{i} AS (SELECT *, row_number() OVER (PARTITION BY gx, gy ORDER BY flux, y, x) AS rn, count(*) OVER (PARTITION BY gx, gy) AS n FROM t{i}),
   m{i} AS (SELECT *, max(CASE WHEN rn = greatest(n // 2, 1) THEN flux END) OVER (PARTITION BY gx, gy) AS med,
    coalesce(max(CASE WHEN rn = floor({P / 2} * n - 1) + 1 THEN flux END) OVER (PARTITION BY gx, gy), min(flux) OVER (PARTITION BY gx, gy)) AS lo FROM r{i}),
-  t{i + 1} AS (SELECT gx, gy, x, y, flux FROM m{i} WHERE abs(flux - med) <= 2e0 * (med - lo) / 1.0)"""
+  t{i + 1} AS (SELECT gx, gy, x, y, flux FROM m{i} WHERE abs(flux - med) <= {limit} * (med - lo) / 1.0)"""
 
 
 @query(with_fixtures("f3", _TILES.replace("t AS", "t0 AS") + ", " + ", ".join(_round(i) for i in range(5)) + ", " + _STATS.format(t="t5") + " SELECT gx::BIGINT AS gx, gy::BIGINT AS gy, round(sky, 5) AS sky, round(skyRMS, 5) AS skyRMS, n FROM q"))
@@ -39,20 +44,22 @@ def sky_tile_clip(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), *r("sky", "skyRMS", digits=5), F.col("n").cast("long").alias("n"))
 
 
-_PAD = """h AS (SELECT gx, gy, sky FROM q),
-  e AS (SELECT gx, gy, sky FROM h UNION ALL SELECT -1, a.gy, 2 * a.sky - b.sky FROM h a JOIN h b ON a.gy = b.gy WHERE a.gx = 0 AND b.gx = 1 UNION ALL SELECT 5, a.gy, 2 * a.sky - b.sky FROM h a JOIN h b ON a.gy = b.gy WHERE a.gx = 4 AND b.gx = 3),
-  p AS (SELECT gx, gy, sky FROM e UNION ALL SELECT a.gx, -1, 2 * a.sky - b.sky FROM e a JOIN e b ON a.gx = b.gx WHERE a.gy = 0 AND b.gy = 1 UNION ALL SELECT a.gx, 5, 2 * a.sky - b.sky FROM e a JOIN e b ON a.gx = b.gx WHERE a.gy = 4 AND b.gy = 3)"""
+def _pad(*columns: str) -> str:
+    both = ", ".join(f"2 * a.{c} - b.{c}" for c in columns)
+    names = ", ".join(columns)
+    return f"""h AS (SELECT gx, gy, {names} FROM q),
+  e AS (SELECT gx, gy, {names} FROM h UNION ALL SELECT -1, a.gy, {both} FROM h a JOIN h b ON a.gy = b.gy WHERE a.gx = 0 AND b.gx = 1 UNION ALL SELECT 5, a.gy, {both} FROM h a JOIN h b ON a.gy = b.gy WHERE a.gx = 4 AND b.gx = 3),
+  p AS (SELECT gx, gy, {names} FROM e UNION ALL SELECT a.gx, -1, {both} FROM e a JOIN e b ON a.gx = b.gx WHERE a.gy = 0 AND b.gy = 1 UNION ALL SELECT a.gx, 5, {both} FROM e a JOIN e b ON a.gx = b.gx WHERE a.gy = 4 AND b.gy = 3)"""
 
 
-@query(
-    with_fixtures(
-        "f3",
-        _TILES + ", " + _STATS.format(t="t") + ", " + _PAD
-        + """, c AS (SELECT x, y, floor((x - 10.5e0) / 20) AS ix, floor((y - 10.5e0) / 20) AS iy, (x - 10.5e0) / 20 - floor((x - 10.5e0) / 20) AS fx, (y - 10.5e0) / 20 - floor((y - 10.5e0) / 20) AS fy FROM f3)
-  SELECT x::BIGINT AS x, y::BIGINT AS y, round(a.sky * (1 - fx) * (1 - fy) + b.sky * fx * (1 - fy) + g.sky * (1 - fx) * fy + k.sky * fx * fy, 8) AS sky FROM c
-  JOIN p a ON a.gx = ix AND a.gy = iy JOIN p b ON b.gx = ix + 1 AND b.gy = iy JOIN p g ON g.gx = ix AND g.gy = iy + 1 JOIN p k ON k.gx = ix + 1 AND k.gy = iy + 1""",
-    )
-)
+def _between(*columns: str, more: str = "") -> str:
+    values = ", ".join(f"round(a.{c} * (1 - fx) * (1 - fy) + b.{c} * fx * (1 - fy) + g.{c} * (1 - fx) * fy + k.{c} * fx * fy, 8) AS {c}" for c in columns)
+    return f"""c AS (SELECT x, y, flux, floor((x - 10.5e0) / 20) AS ix, floor((y - 10.5e0) / 20) AS iy, (x - 10.5e0) / 20 - floor((x - 10.5e0) / 20) AS fx, (y - 10.5e0) / 20 - floor((y - 10.5e0) / 20) AS fy FROM f3)
+  SELECT x::BIGINT AS x, y::BIGINT AS y, {more}{values} FROM c
+  JOIN p a ON a.gx = ix AND a.gy = iy JOIN p b ON b.gx = ix + 1 AND b.gy = iy JOIN p g ON g.gx = ix AND g.gy = iy + 1 JOIN p k ON k.gx = ix + 1 AND k.gy = iy + 1"""
+
+
+@query(with_fixtures("f3", ", ".join((_TILES, _STATS.format(t="t"), _pad("sky"), _between("sky")))))
 def sky_bilinear(spark: SparkSession, d: str) -> DataFrame:
     """SKY-8, SKY-9, SKY-10."""
     px = f3(spark, d)
@@ -114,16 +121,37 @@ def sky_disco_arguments(spark: SparkSession, d: str) -> DataFrame:
     return K.by_region(px, arguments=own).select(F.col("region").cast("long").alias("region"), *r("sky"), "n")
 
 
-@query()
+_GROWN = """l AS (SELECT gx, gy, x, y, flux, greatest(0, ceil((greatest(abs(x - gx * 20 - 10), abs(y - gy * 20 - 10)) - 10) / 5e0)) AS ring
+  FROM f3, (SELECT unnest(generate_series(0, 4)) AS gx), (SELECT unnest(generate_series(0, 4)) AS gy) WHERE flux IS NOT NULL AND abs(x - gx * 20 - 10) <= 20 AND abs(y - gy * 20 - 10) <= 20),
+  u AS (SELECT gx, gy, CASE WHEN count(*) FILTER (ring <= 0) >= 380 THEN 0 WHEN count(*) FILTER (ring <= 1) >= 380 THEN 1 ELSE 2 END AS used FROM l GROUP BY 1, 2),
+  t0 AS (SELECT gx, gy, x, y, flux FROM l JOIN u USING (gx, gy) WHERE ring <= used)"""
+
+
+@query(with_fixtures("f3", ", ".join((_GROWN, *(_round(i, _AUTO) for i in range(5)), _STATS.format(t="t5"), _pad("sky", "skyRMS"), _between("sky", "skyRMS", more="flux, ")))))
 def sky_map(spark: SparkSession, d: str) -> DataFrame:
     """SKY-8 with the automatic clip, growing boxes (SKY-2) and both maps."""
-    return K.sky_map(f3(spark, d), 100, 100, grid=20, box=20, skypixmin=380, boxadd=10, boxiters=2)
+    got = K.sky_map(f3(spark, d), 100, 100, grid=20, box=20, skypixmin=380, boxadd=10, boxiters=2)
+    return got.select(*xy(got), "flux", *r("sky", "skyRMS", digits=8))
 
 
-@query()
+@query(
+    with_fixtures(
+        "f3",
+        _TILES
+        + f""", v AS (SELECT gx, gy, min(flux) AS a, max(flux) AS z, 0.9e0 * least(stddev_samp(flux), (quantile_cont(flux, 0.75) - quantile_cont(flux, 0.25)) / 1.34e0) * pow(count(*), -0.2e0) AS bw FROM t GROUP BY 1, 2),
+  b AS (SELECT gx, gy, bw, a - 3 * bw AS lo, (z - a + 6 * bw) / 511 AS step FROM v),
+  o AS (SELECT gx, gy, (flux - lo) / step AS place FROM t JOIN b USING (gx, gy)), f AS (SELECT gx, gy, place, least(floor(place), 510) AS j FROM o),
+  w AS (SELECT gx, gy, j, sum(w) AS w FROM (SELECT gx, gy, j, j + 1 - place AS w FROM f UNION ALL SELECT gx, gy, j + 1, place - j FROM f) GROUP BY 1, 2, 3),
+  k AS (SELECT gx, gy, i, any_value(lo + i * step) AS spot, sum(w * exp(-0.5e0 * ((i - j) * step / bw) ** 2)) AS density FROM w JOIN b USING (gx, gy), (SELECT unnest(generate_series(0, 511)) AS i) GROUP BY 1, 2, 3),
+  s AS (SELECT gx, gy, arg_max(spot, density) AS sky FROM k GROUP BY 1, 2), d AS (SELECT gx, gy, sky, flux - sky AS d FROM t JOIN s USING (gx, gy))
+  SELECT gx::BIGINT AS gx, gy::BIGINT AS gy, round(any_value(sky), 5) AS sky, count(*) AS n, round(avg(d * d) FILTER (d < 0), 4) AS below,
+   round((abs(quantile_cont(d, {P}) FILTER (d < 0)) + abs(quantile_cont(d, {1 - P!r}) FILTER (d > 0))) / 2, 5) AS skyRMS FROM d GROUP BY 1, 2""",
+    )
+)
 def sky_mode(spark: SparkSession, d: str) -> DataFrame:
     """SKY-4: density mode of each tile."""
-    return K.tile_stats(K.tile_windows(f3(spark, d), 20, 20, 100, 100), skytype="mode", rmstype="quanboth")
+    got = K.tile_stats(K.tile_windows(f3(spark, d), 20, 20, 100, 100), skytype="mode", rmstype="quanboth")
+    return got.select(F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), *r("sky", "skyRMS", digits=5), *r("below", digits=4), F.col("n").cast("long").alias("n"))
 
 
 @query()
@@ -132,10 +160,31 @@ def sky_converge(spark: SparkSession, d: str) -> DataFrame:
     return K.tile_stats(K.tile_windows(f3(spark, d), 20, 20, 100, 100), skytype="converge", rmstype="converge")
 
 
-@query()
+_EACH = "list_transform(generate_series(1, len(m)), lambda k: CASE WHEN near[k] THEN {} ELSE 0e0 END)"
+_MEAN = f"list_sum({_EACH.format('m[k] / (e[k] * e[k])')}) / list_sum({_EACH.format('1 / (e[k] * e[k])')})"
+_NEAR = "list_transform(generate_series(1, len(m)), lambda k: abs(m[k] - sky) <= e[k])"
+
+
+@query(
+    with_fixtures(
+        "f3",
+        """t0 AS (SELECT 0 AS gx, 0 AS gy, x, y, flux FROM f3 WHERE flux IS NOT NULL AND sqrt((x - 50.5e0) ** 2 + (y - 50.5e0) ** 2) BETWEEN 10 AND 45), """
+        + ", ".join(_round(i, _AUTO) for i in range(5))
+        + f""", a AS (SELECT flux, ntile(10) OVER (ORDER BY sqrt((x - 50.5e0) ** 2 + (y - 50.5e0) ** 2), y, x) AS ring FROM t5),
+  g AS (SELECT ring, quantile_cont(flux, 0.5) AS m, stddev_samp(flux) AS s, count(*)::DOUBLE AS n FROM a GROUP BY 1),
+  l AS (SELECT list(m ORDER BY ring) AS m, list(s / sqrt(n) ORDER BY ring) AS e, list(n ORDER BY ring) AS n, stddev_samp(m) AS skyerr FROM g WHERE s > 0),
+  it(i, near, number, done) AS (SELECT 0, list_transform(m, lambda v: true), -1, false FROM l UNION ALL SELECT i + 1, nxt, len(list_filter(nxt, lambda v: v)), len(list_filter(nxt, lambda v: v)) = number
+   FROM (SELECT i, number, {_NEAR} AS nxt FROM (SELECT it.*, m, e, {_MEAN} AS sky FROM it, l WHERE NOT done))),
+  z AS (SELECT near FROM it WHERE done), b AS (SELECT near FROM it WHERE i = (SELECT max(i) - 1 FROM it)),
+  k AS (SELECT {_MEAN} AS sky FROM b, l)
+  SELECT round(sky, 5) AS sky, round(skyerr, 5) AS skyerr, round(list_sum({_EACH.format('e[k]')}) / list_sum({_EACH.format('1e0')}) * sqrt(list_sum({_EACH.format('n[k]')}) / list_sum({_EACH.format('1e0')})), 5) AS skyRMS,
+   len(list_filter(near, lambda v: v))::BIGINT AS Nnear FROM z, l, k""",
+        recursive=True,
+    )
+)
 def sky_annulus(spark: SparkSession, d: str) -> DataFrame:
     """SKY-13."""
-    return K.annulus_sky(f3(spark, d), 50.0, 50.0, 10.0, 45.0)
+    return K.annulus_sky(f3(spark, d), 50.0, 50.0, 10.0, 45.0).select(*r("sky", "skyerr", "skyRMS", digits=5), "Nnear")
 
 
 @query()
