@@ -127,12 +127,27 @@ def fit_psf_update(spark: SparkSession, d: str) -> DataFrame:
     return D.psf_update(image, src, PSF).select(F.col("k").cast("long").alias("k"), *r("flux", "flux_err", digits=5), *r("psfLL", digits=4))
 
 
-@query()
+def _fit_round(i: int) -> str:
+    return f"""o{i} AS (SELECT px + dx AS x, py + dy AS y, sum(f * w) AS model FROM n{i}, k GROUP BY 1, 2),
+  d{i} AS (SELECT f2.x, f2.y, flux - coalesce(model, 0) AS flux FROM f2 LEFT JOIN o{i} o ON o.x = f2.x AND o.y = f2.y),
+  t{i} AS (SELECT n.k, f, sum(flux * f * w / 100) AS a, sum(f * w * f * w / 100) AS b, sum(-0.5e0 * flux * flux / 100) AS psfLL FROM n{i} n, k JOIN d{i} d ON d.x = px + dx AND d.y = py + dy GROUP BY 1, 2),
+  u{i} AS (SELECT *, greatest({10**-0.4 - 1!r}e0, least({10**0.4 - 1!r}e0, coalesce(a / nullif(b, 0), 0))) AS s FROM t{i}),
+  n{i + 1} AS (SELECT n.k, n.cx, n.cy, px, py, greatest((n.f + coalesce(u.f * (1 + s), n.f)) / 2, 1e-12) AS f FROM n{i} n LEFT JOIN u{i} u ON u.k = n.k)"""
+
+
+@query(
+    with_fixtures(
+        "f2 f4",
+        f"""k(dx, dy, w) AS (VALUES {_K}), n0 AS (SELECT k, cx, cy, floor(cx + 0.5e0)::INT AS px, floor(cy + 0.5e0)::INT AS py, rad * 100 AS f FROM f4), {", ".join(_fit_round(i) for i in range(3))}
+  SELECT n3.k::BIGINT AS k, cx AS xcen, cy AS ycen, round(n3.f, 5) AS flux, round(sqrt(u2.f * u2.f / nullif(b, 0) + (s * u2.f) ** 2), 5) AS flux_err, round(psfLL, 3) AS psfLL, round(-2.5e0 * log10(n3.f), 6) AS mag FROM n3 LEFT JOIN u2 ON u2.k = n3.k""",
+    )
+)
 def fit_psf(spark: SparkSession, d: str) -> DataFrame:
     """FIT-1: three rounds on F2."""
     image = f2(spark, d).select("x", "y", "flux", F.lit(10.0).alias("sigma"))
     src = f4(spark, d).select("k", F.col("cx").alias("xcen"), F.col("cy").alias("ycen"), (F.col("rad") * 100).alias("flux"))
-    return D.psf_fit(image, src, PSF, 64, height(spark, d), rounds=3)
+    got = D.psf_fit(image, src, PSF, 64, height(spark, d), rounds=3)
+    return got.select(F.col("k").cast("long").alias("k"), "xcen", "ycen", *r("flux", "flux_err", digits=5), *r("psfLL", digits=3), *r("mag"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,10 +189,27 @@ def sky_annulus(spark: SparkSession, d: str) -> DataFrame:
     return K.annulus_sky(f3(spark, d), 50.0, 50.0, 10.0, 45.0).select(*r("sky", "skyerr", "skyRMS", digits=5), "Nnear")
 
 
-@query()
+_LINE = ", ".join(f"({i}, {exp(-i * i / 4.5)!r}e0)" for i in range(-6, 7))
+
+
+def _chisel_round(i: int) -> str:
+    return f"""k{i} AS (SELECT quantile_cont(smooth, 0.95) AS cut, quantile_cont(smooth, 0.5) AS mid FROM o{i} WHERE objects = 0),
+  w{i} AS (SELECT o.*, CASE WHEN smooth > cut AND smooth - mid > 0 THEN 1 ELSE 0 END AS new FROM o{i} o, k{i}), h{i} AS (SELECT avg((new <> objects)::INT) AS changed FROM w{i}),
+  o{i + 1} AS (SELECT x, y, flux, smooth, CASE WHEN done THEN objects ELSE greatest(objects, new) END AS objects, done OR changed < 0.01 AS done FROM w{i}, h{i})"""
+
+
+@query(
+    with_fixtures(
+        "f3",
+        f"""line(d, w) AS (VALUES {_LINE}),
+  o0 AS (SELECT f3.x, f3.y, any_value(f3.flux) AS flux, sum(n.flux * a.w * c.w) / sum(a.w * c.w) AS smooth, 0 AS objects, false AS done FROM f3, line a, line c JOIN f3 n ON n.x = f3.x + a.d AND n.y = f3.y + c.d WHERE n.flux IS NOT NULL GROUP BY 1, 2),
+  {", ".join(_chisel_round(i) for i in range(5))} SELECT x::BIGINT AS x, y::BIGINT AS y, flux, objects::BIGINT AS objects FROM o5""",
+    )
+)
 def sky_chisel(spark: SparkSession, d: str) -> DataFrame:
     """SKY-15, SKY-14."""
-    return K.chisel(f3(spark, d), 0.95, 1.5)
+    out = K.chisel(f3(spark, d), 0.95, 1.5)
+    return out.select(*xy(out), "flux", F.col("objects").cast("long").alias("objects"))
 
 
 @query()
