@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Repeated rows that get their slots at once.
+COPIES_A_PIECE = 65_536
+
 
 def cuts_within(sizes: list[int], shards: int, capacity: int) -> list[int] | None:
     """Greedy check: ends of at most ``shards`` runs that each fit ``capacity``, or None."""
@@ -153,6 +156,8 @@ def shard_by_bytes(rows: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     finds its shard by comparing its digest with at most ``shards - 1`` cut keys, so no row moves
     for that.  Slots number a shard's rows without gaps: rows are dealt into buckets inside
     each shard and numbered there, starting at the bucket's offset, so no task holds a whole shard.
+    Rows of equal id and text are counted before they are dealt and take a run of slots, so
+    however many there are, also without an id, they are one row of a bucket.
 
     Returns id, ``size``, ``text_crc32``, ``law`` ('bytes'), ``shard``, ``slot``, ``grown_shard``
     (null) and ``text_md5``.  Repeated rows each get a slot; null ids are kept; an empty
@@ -183,14 +188,18 @@ def shard_by_bytes(rows: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     dealt = slim.withColumn("shard", shard.cast("int")).withColumn("bucket", F.pmod(F.xxhash64("id", "key"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("offset"))
-    numbered = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "key")))
-    return numbered.join(offsets, ["shard", "bucket"]).select(
+    same = dealt.groupBy("shard", "bucket", "id", "key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
+    so_far = Window.partitionBy("shard", "bucket").orderBy("id", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = same.withColumn("before", F.sum("copies").over(so_far) - F.col("copies")).join(offsets, ["shard", "bucket"])
+    pieces = placed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES_A_PIECE).cast("long"))))
+    numbered = pieces.withColumn("nth", F.explode(F.sequence("from", F.least(F.col("from") + COPIES_A_PIECE, "copies") - 1)))
+    return numbered.select(
         F.col("id").alias(id_col),
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot"),
+        (F.col("offset") + F.col("before") + F.col("nth")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("key").alias("text_md5"),
     )

@@ -153,6 +153,14 @@ def test_shards(spark):
     assert shard_by_bytes(frame(spark, rows).limit(0)).isEmpty()
 
 
+def test_shards_of_many_repeated_rows(spark):
+    """One row, without an id, repeated more often than what gets its slots at once."""
+    many = spark.range(140_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = shard_by_bytes(many.unionByName(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("other").alias("text"))), shards=3)
+    per = got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("a"), F.max("slot").alias("z"), F.countDistinct("text_md5").alias("texts")).collect()
+    assert sorted(tuple(r)[1:] for r in per) == [(50, 50, 0, 49, 1), (140_000, 140_000, 0, 139_999, 1)]
+
+
 def brute_capacity(sizes, shards):
     """The least largest sum over all ways to cut the sequence, by dynamic programming."""
     total = [0]
