@@ -290,19 +290,20 @@ def by_region(pixels: DataFrame, region: str = "region", pedestal: bool = False,
     """SKY-19, SKY-21: sky of each region (median), or the median of the regions' sky as one pedestal.
 
     UDF-4: ``arguments(region, quantile, limit)`` gives each region a quantile of its own and a largest
-    flux that counts; a region without a row, or with NULLs there, has the median of all its pixels.
+    flux that counts; a region without a row, or with NULLs there, has the median of all its pixels.  A region
+    all of whose pixels are above its limit stays, with NULL sky and n 0.
     """
     keys = keys_of(pixels)
     px = sky_values(pixels)
     if arguments is None:
         middle = F.percentile("flux", 0.5)
     else:
-        px = px.join(arguments.select(region, "quantile", "limit"), region, "left").where("limit is null or flux <= limit")
+        px = px.join(arguments.select(region, "quantile", "limit"), region, "left").withColumn("flux", F.expr("if(limit is null or flux <= limit, flux, null)"))
         q, values = F.coalesce(F.first("quantile"), F.lit(0.5)), F.array_sort(F.collect_list("flux"))
         at = q * (F.size(values) - 1)
         low = F.floor(at).cast("int")
         middle = F.get(values, low) + (at - low) * (F.coalesce(F.get(values, low + 1), F.get(values, low)) - F.get(values, low))
-    got = px.groupBy(*keys, region).agg(middle.alias("sky"), F.count(F.lit(1)).alias("n"))
+    got = px.groupBy(*keys, region).agg(middle.alias("sky"), F.count("flux").alias("n"))
     return got.groupBy(*keys).agg(F.percentile("sky", 0.5).alias("sky")) if pedestal else got
 
 
