@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import flux_to_mag
@@ -68,17 +68,34 @@ def share_flux(segstats: DataFrame, share: DataFrame, normalise: bool = False) -
 def nearest(left: DataFrame, right: DataFrame, radius: float, x: str = "xcen", y: str = "ycen", key: str = "segID") -> DataFrame:
     """JN-9: for each row of ``left`` the nearest row of ``right`` in the same image within ``radius``: (key, match, dist).
 
-    Rows of the right go to the nine cells around theirs, so it is an equi-join on cells.
+    Equal places count once.  A place starts with the cells of size ``radius`` around its own and goes down to
+    cells of a quarter the size three times; only cells that may hold the nearest place are kept: none that
+    lies, with all of its places, beyond the farthest corner of another.  So no row is made for a pair that is
+    merely within ``radius``.
     """
-    cell = lambda c: F.floor(F.col(c) / radius)
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     ids = shared_keys(left, right)
-    a = left.select(*ids, F.col(key), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("cx"), cell(y).alias("cy"))
-    b = right.select(*ids, F.col(key).alias("match"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("ox"), cell(y).alias("oy"), F.explode(around).alias("o"))
-    b = b.select(*ids, "match", "bx", "by", (F.col("ox") + F.col("o.i")).alias("cx"), (F.col("oy") + F.col("o.j")).alias("cy"))
+    at, unit = [*ids, "ax", "ay"], radius / 64 * (1 + 1e-12)
+    cell = lambda c, k=0: F.shiftright(F.floor(F.col(c) / unit).cast("long"), 6 - 2 * k)
+    a = left.select(*ids, F.col(key), F.col(x).cast("double").alias("ax"), F.col(y).cast("double").alias("ay")).where("ax is not null and ay is not null")
+    b = right.select(*ids, F.col(key).alias("match"), F.col(x).cast("double").alias("bx"), F.col(y).cast("double").alias("by")).where("bx is not null and by is not null")
+    b = b.groupBy(*ids, "bx", "by").agg(F.min("match").alias("match"))
+    around = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    now = a.select(*at).distinct().withColumn("o", F.explode(around)).select(*at, (cell("ax") + F.col("o.i")).alias("cx"), (cell("ay") + F.col("o.j")).alias("cy"))
+    beside = lambda p, c: F.greatest(F.col(f"{c}0") - F.col(p), F.col(p) - F.col(f"{c}1"), F.lit(0.0))
+    across = lambda p, c: F.greatest(F.col(p) - F.col(f"{c}0"), F.col(f"{c}1") - F.col(p))
+    for k in range(4):
+        # px, py: the cell one level up, by which the rows meet
+        up = [cell(c, max(k - 1, 0)).alias(p) for c, p in (("bx", "px"), ("by", "py"))]
+        boxes = b.groupBy(*ids, *up, cell("bx", k).alias("cx"), cell("by", k).alias("cy")).agg(F.min("bx").alias("x0"), F.max("bx").alias("x1"), F.min("by").alias("y0"), F.max("by").alias("y1"))
+        met = now.select(*at, F.col("cx").alias("px"), F.col("cy").alias("py")).join(boxes, [*ids, "px", "py"])
+        met = met.select(*at, "cx", "cy", F.hypot(beside("ax", "x"), beside("ay", "y")).alias("least"), F.hypot(across("ax", "x"), across("ay", "y")).alias("most"))
+        bound = F.least(F.min("most").over(Window.partitionBy(*at)), F.lit(radius)) * (1 + 1e-9)
+        now = met.where(F.col("least") <= radius * (1 + 1e-9)).withColumn("bound", bound).where("least <= bound")
     dist = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    met = a.join(b, [*ids, "cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
-    return met.groupBy(*ids, key).agg(F.min(F.struct("dist", "match")).alias("m")).select(*ids, key, "m.match", "m.dist")
+    places = b.select(*ids, "match", "bx", "by", cell("bx", 3).alias("cx"), cell("by", 3).alias("cy"))
+    met = now.select(*at, "cx", "cy").join(places, [*ids, "cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
+    best = met.groupBy(*at).agg(F.min(F.struct("dist", "match")).alias("m"))
+    return a.join(best, at).groupBy(*ids, key).agg(F.min("m").alias("m")).select(*ids, key, "m.match", "m.dist")
 
 
 def label_at(catalogue: DataFrame, segmap: DataFrame, x: str = "xmax", y: str = "ymax") -> DataFrame:

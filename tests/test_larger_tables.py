@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from pixelspark.operators import catalogues as C
 from pixelspark.operators import maps as M
 from pixelspark.operators import segments as G
 from pixelspark.operators import sky as K
@@ -12,6 +13,19 @@ def image(spark, a):
     return M.pixels_from_array(spark, a.tolist())
 
 
+def most_rows(df):
+    """The rows of ``df``, and the most that any node of its plan gave out."""
+    rows = df.collect()
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        m = p.metrics().get("numOutputRows")
+        return max([m.get().value() if m.isDefined() else 0, *map(walk, inner)])
+
+    return rows, walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_a_region_above_its_limit_stays(spark):
     px = image(spark, np.arange(40.0).reshape(8, 5)).withColumn("region", F.when(F.col("x") <= 4, 1).otherwise(2))
     own = spark.createDataFrame([(2, 0.5, 10.0)], "region int, quantile double, limit double")
@@ -22,3 +36,17 @@ def test_a_region_above_its_limit_stays(spark):
 def test_numbers_of_places_differ_on_a_tall_image(spark):
     top = spark.createDataFrame([(0.5, 1499.5), (1.5, 499.5)], "xmax double, ymax double")
     assert top.select(G.unique_id(F.col("xmax"), F.col("ymax"), 2000)).distinct().count() == 2
+
+
+def test_nearest_makes_no_row_for_each_pair(spark):
+    rng = np.random.default_rng(5)
+    # many copies of few places, two dense clusters apart, and places all over
+    xy = np.concatenate([rng.integers(0, 9, (900, 2)) * 0.5, rng.normal(size=(300, 2)) * 0.01 + 30, rng.normal(size=(300, 2)) * 0.01 + [70, 31], rng.uniform(-300, 300, (600, 2))])
+    src = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "segID int, xcen double, ycen double")
+    got, most = most_rows(C.nearest(src.where("segID % 2 = 0"), src.where("segID % 2 = 1"), 60.0))
+    want = {}
+    for i in range(0, len(xy), 2):
+        d = np.sqrt((xy[1::2, 0] - xy[i, 0]) ** 2 + (xy[1::2, 1] - xy[i, 1]) ** 2)
+        if d.min() <= 60:
+            want[i] = (int(np.argmin(d)) * 2 + 1, d.min())
+    assert {r["segID"]: (r["match"], r["dist"]) for r in got} == want and most < 60 * len(xy)
