@@ -1,7 +1,7 @@
 """SEG-1, SEG-2, SEG-4: watershed labels.
 
 Pixels above the threshold that lie within ``ext`` of each other form components, which are
-independent.  Each component is flooded by itself in order of brightness; the seeds of all
+independent.  Bins of whole components are flooded in order of brightness; the seeds of all
 components, ranked by (value, place), give the global labels.
 """
 
@@ -16,6 +16,9 @@ from ..lineage import cut
 from ..model import keys_of, with_summary
 from .segments import components
 
+#: Pixels that one call floods, unless a component has more.
+BIN = 50_000
+
 
 def flood(x: np.ndarray, y: np.ndarray, v: np.ndarray, ext: int = 2, abstol: float = 4.0, reltol: float = 0.0, cliptol: float = np.inf, old: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Labels of one component's pixels: for each pixel its seed, as an index into the pixels; and all seeds.
@@ -71,23 +74,24 @@ def watershed(pixels: DataFrame, skycut: float = 1.0, pixcut: int = 3, ext: int
     seeds from bright to faint over the whole image, from 1.
     """
     keys = keys_of(pixels)
-    # few of all pixels, used three times
+    # few of all pixels, used twice
     cand = cut(pixels.where(F.col("sn") >= skycut if variant == "old" else F.col("sn") > skycut).select(*keys, "x", "y", "sn"))
-    comp = components(cand.select(*keys, "x", "y"), connectivity=8, reach=max(ext, 1))
-    dealt = cand.join(comp, [*keys, "x", "y"])
-    schema = "".join(f"{k} string, " for k in keys) + "x int, y int, seed_x int, seed_y int, seed_v double, is_seed boolean"
+    dealt = components(cand, connectivity=8, reach=max(ext, 1), carry=("sn",))
+    schema = "".join(f"{k} {cand.schema[k].dataType.simpleString()}, " for k in keys) + "x int, y int, v double, seed_x int, seed_y int, is_seed boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, v = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["sn"].to_numpy()
         label, seeds = flood(x, y, v, ext, abstol, reltol, cliptol, variant == "old")
-        out = pd.DataFrame({"x": x, "y": y, "seed_x": x[label], "seed_y": y[label], "seed_v": v[label], "is_seed": np.isin(np.arange(len(x)), seeds)})
+        out = pd.DataFrame({"x": x, "y": y, "v": v, "seed_x": x[label], "seed_y": y[label], "is_seed": np.isin(np.arange(len(x)), seeds)})
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    flooded = cut(dealt.groupBy(*keys, "comp").applyInPandas(run, schema))
+    # components never touch, so those of a bin are flooded in one call as if they were alone
+    bins = F.pmod(F.xxhash64("comp"), F.lit(cand.count() // BIN + 1))
+    flooded = cut(dealt.withColumn("__bin", bins).groupBy(*keys, "__bin").applyInPandas(run, schema))
     # every seed counts for the numbers, also those merged away; ranks are made by ranges of value
-    seeds = flooded.where("is_seed").join(cand, [*keys, "x", "y"]).select(*keys, F.col("x").alias("seed_x"), F.col("y").alias("seed_y"), F.col("sn").alias("v"))
+    seeds = flooded.where("is_seed").select(*keys, F.col("x").alias("seed_x"), F.col("y").alias("seed_y"), "v")
     ranked = rank_globally(seeds, keys)
     out = flooded.join(ranked, [*keys, "seed_x", "seed_y"]).select(*keys, "x", "y", "segID")
     size = out.groupBy(*keys, "segID").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pixcut)

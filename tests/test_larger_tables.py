@@ -1,12 +1,14 @@
 """What shows only on larger tables: empty regions, tall images, copies, long borders."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pixelspark.operators import catalogues as C
 from pixelspark.operators import maps as M
 from pixelspark.operators import segments as G
 from pixelspark.operators import sky as K
+from pixelspark.operators import watershed as W
 
 
 def image(spark, a):
@@ -50,3 +52,45 @@ def test_nearest_makes_no_row_for_each_pair(spark):
         if d.min() <= 60:
             want[i] = (int(np.argmin(d)) * 2 + 1, d.min())
     assert {r["segID"]: (r["match"], r["dist"]) for r in got} == want and most < 60 * len(xy)
+
+
+def plain_components(there, connectivity, reach):
+    """By spreading from pixel to pixel: the component's least y * 2^32 + x at each pixel that is there."""
+    near = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)] if connectivity == 8 else [(1, 0), (-1, 0), (0, 1), (0, -1)]
+    out = {}
+    for p in sorted(there, key=lambda p: (p[1], p[0])):
+        todo, name = [p], p[1] * 2**32 + p[0]
+        while todo:
+            q = todo.pop()
+            if q in there and q not in out:
+                out[q] = name
+                todo += [(q[0] + i, q[1] + j) for i, j in near]
+    return out
+
+
+@pytest.mark.parametrize("connectivity, reach, share, in_one", [(4, 1, 0.62, 10**6), (4, 1, 0.62, 0), (8, 1, 0.3, 0), (8, 3, 0.05, 10**6)])
+def test_components_over_tiles(spark, monkeypatch, connectivity, reach, share, in_one):
+    monkeypatch.setattr(G, "TILE", 16)
+    a = np.random.default_rng(3).random((50, 90)) < share
+    there = {(int(x) - 4, int(y) - 7) for x, y in zip(*np.nonzero(a), strict=True)}
+    px = spark.createDataFrame(sorted(there), "x int, y int").withColumn("band", F.lit("a"))
+    got = G.components(px, connectivity, reach, in_one=in_one).collect()
+    assert {(r["x"], r["y"]): r["comp"] for r in got} == plain_components(there, connectivity, reach) and len(got) == len(there)
+
+
+def test_components_are_written_once(spark, monkeypatch):
+    # a line of 900 pixels that turns at every border
+    line = [(x, y) for y in range(1, 31) for x in (range(1, 31) if y % 2 else [30 if y % 4 == 2 else 1])]
+    written, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(1) or cut(df))
+    got = G.components(spark.createDataFrame(line, "x int, y int"))
+    assert got.select("comp").distinct().count() == 1 and len(written) == 2
+
+
+def test_a_bin_holds_many_components(spark, monkeypatch):
+    a = np.round(np.random.default_rng(8).normal(size=(40, 40)), 1) * 10
+    px = image(spark, a).withColumnRenamed("flux", "sn")
+    order = lambda df: sorted(map(tuple, df.collect()))
+    one = order(W.watershed(px, 5.0, 2, 1, 2.0))
+    monkeypatch.setattr(W, "BIN", 5)
+    assert one == order(W.watershed(px, 5.0, 2, 1, 2.0)) and len(one) > 100
