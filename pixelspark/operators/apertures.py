@@ -230,59 +230,89 @@ def moment_ellipse(pixels: DataFrame, scale: float = 2**0.5, pixscale: float = 1
 
 
 def simplex(f, start: np.ndarray, step: np.ndarray, lower: np.ndarray, upper: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Nelder and Mead's minimiser inside bounds."""
-    inside = lambda p: np.minimum(np.maximum(p, lower), upper)
-    pts = [inside(start), *(inside(start + np.eye(len(start))[i] * step) for i in range(len(start)))]
-    val = [f(p) for p in pts]
+    """Nelder and Mead's minimiser inside bounds, for many problems side by side: a row of each array is one of them.
+
+    ``f(rows, p)`` gives the costs of the problems ``rows`` at the points ``p``.  Each row takes the steps it would take alone.
+    """
+    n = start.shape[1]
+    inside = lambda rows, p: np.minimum(np.maximum(p, lower[rows]), upper[rows])
+    live = np.arange(len(start))
+    pts = np.stack([inside(live, start), *(inside(live, start + np.eye(n)[i] * step) for i in range(n))], axis=1)
+    val = np.stack([f(live, pts[:, i]) for i in range(n + 1)], axis=1)
     for _ in range(rounds):
-        order = np.argsort(val)
-        pts, val = [pts[i] for i in order], [val[i] for i in order]
-        if val[-1] - val[0] < 1e-12:
+        order = np.argsort(val[live], axis=1)
+        pts[live], val[live] = np.take_along_axis(pts[live], order[:, :, None], axis=1), np.take_along_axis(val[live], order, axis=1)
+        live = live[~(val[live, -1] - val[live, 0] < 1e-12)]
+        if not len(live):
             break
-        mid = np.mean(pts[:-1], axis=0)
-        try_at = lambda t: (p := inside(mid + t * (pts[-1] - mid)), f(p))
-        p, v = try_at(-1.0)
-        if v < val[0]:
-            q, u = try_at(-2.0)
-            p, v = (q, u) if u < v else (p, v)
-        elif v >= val[-2]:
-            p, v = try_at(-0.5 if v < val[-1] else 0.5)
-            if v >= val[-1]:
-                pts = [pts[0], *(inside((pts[0] + x) / 2) for x in pts[1:])]
-                val = [val[0], *(f(x) for x in pts[1:])]
-                continue
-        pts[-1], val[-1] = p, v
-    return pts[int(np.argmin(val))]
-
-
-def superellipse(pixels: DataFrame, ellipses: DataFrame, pixscale: float = 1.0) -> DataFrame:
+        mid = pts[live, :-1].mean(axis=1)
+        towards = pts[live, -1] - mid
+
+        def try_at(t: np.ndarray, at: np.ndarray, mid=mid, towards=towards, live=live) -> tuple[np.ndarray, np.ndarray]:
+            q = inside(live[at], mid[at] + t * towards[at])
+            return q, f(live[at], q)
+
+        p, v = try_at(-1.0, np.arange(len(live)))
+        low, high = v < val[live, 0], v >= val[live, -2]
+        if len(far := np.flatnonzero(low)):
+            q, u = try_at(-2.0, far)
+            better = u < v[far]
+            p[far[better]], v[far[better]] = q[better], u[better]
+        keep = np.ones(len(live), bool)
+        if len(near := np.flatnonzero(high & ~low)):
+            p[near], v[near] = try_at(np.where(v[near] < val[live[near], -1], -0.5, 0.5)[:, None], near)
+            shrink = near[v[near] >= val[live[near], -1]]
+            keep[shrink] = False
+            for i in range(1, n + 1 if len(shrink) else 1):
+                rows = live[shrink]
+                pts[rows, i] = inside(rows, (pts[rows, 0] + pts[rows, i]) / 2)
+                val[rows, i] = f(rows, pts[rows, i])
+        pts[live[keep], -1], val[live[keep], -1] = p[keep], v[keep]
+    return pts[np.arange(len(pts)), np.argmin(val, axis=1)]
+
+
+def superellipse(pixels: DataFrame, ellipses: DataFrame, pixscale: float = 1.0, batch: int = 2048) -> DataFrame:
     """APR-13 with ``dobox``: radius, angle, axial ratio and box by least variance of the scaled radius about one.
 
-    A fit that ends on a bound is dropped for the moment ellipse.
+    A fit that ends on a bound is dropped for the moment ellipse.  Segments are fitted side by side: up to ``batch`` neighbouring
+    labels are one call, and those with equal numbers of pixels one array.
     """
-    both = pixels.where("segID > 0 and flux is not null").join(ellipses.select("segID", "xcen", "ycen", "radhi", "radlo", "axrat", "ang"), "segID")
+    both = pixels.where("segID > 0 and flux is not null").select("segID", "x", "y", "flux").join(ellipses.select("segID", "xcen", "ycen", "radhi", "radlo", "axrat", "ang"), "segID")
+
+    def fit(pdf: pd.DataFrame, m: int) -> pd.DataFrame:
+        e = pdf.iloc[::m]
+        at = lambda c: pdf[c].to_numpy(float).reshape(-1, m)
+        dx, dy, w = at("x") - 0.5 - at("xcen"), at("y") - 0.5 - at("ycen"), np.maximum(at("flux"), 0)
+        out = e[["segID", "xcen", "ycen", "radhi", "radlo", "axrat", "ang"]].assign(radhi=e["radhi"] * pixscale, radlo=e["radlo"] * pixscale, box=0.0).reset_index(drop=True)
+        radhi, axrat, ang = (e[c].to_numpy(float) for c in ("radhi", "axrat", "ang"))
+        use = np.flatnonzero((w.sum(axis=1) > 0) & (radhi > 0) & (axrat > 0) & np.isfinite(ang))
+        if not len(use):
+            return out
+        dx, dy, w, radhi, axrat, ang = dx[use], dy[use], w[use], radhi[use], axrat[use], ang[use]
+
+        def cost(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+            t, q, k = np.radians(p[:, 1:2]), 10 ** p[:, 2:3], 2 + p[:, 3:4]
+            c, s = np.cos(t), np.sin(t)
+            u, v = np.abs(dx[rows] * c + dy[rows] * s) / q, np.abs(-dx[rows] * s + dy[rows] * c)
+            r = (u**k + v**k) ** (1 / k) / p[:, 0:1]
+            return (w[rows] * (r - 1) ** 2).sum(axis=1) / w[rows].sum(axis=1)
+
+        flat = np.ones(len(use))
+        start = np.column_stack([radhi, ang, np.maximum(np.log10(axrat), -1.9), 0 * flat])
+        lower, upper = np.column_stack([radhi / 10, 0 * flat, -2 * flat, -flat]), np.column_stack([radhi * 10, 180 * flat, 0 * flat, flat])
+        best = simplex(cost, start, np.column_stack([radhi / 5, 10 * flat, -0.1 * flat, 0.2 * flat]), lower, upper)
+        good = ((best > lower) & (best < upper)).all(axis=1)
+        p = best[good]
+        out.loc[use[good], ["radhi", "radlo", "axrat", "ang", "box"]] = np.column_stack([p[:, 0] * pixscale, p[:, 0] * 10 ** p[:, 2] * pixscale, 10 ** p[:, 2], p[:, 1], p[:, 3]])
+        return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf.iloc[0]
-        dx, dy = pdf["x"].to_numpy() - 0.5 - e["xcen"], pdf["y"].to_numpy() - 0.5 - e["ycen"]
-        w = np.maximum(pdf["flux"].to_numpy(), 0)
-        lower, upper = np.array([e["radhi"] / 10, 0, -2, -1]), np.array([e["radhi"] * 10, 180, 0, 1])
-        out = [e["segID"], e["xcen"], e["ycen"], e["radhi"] * pixscale, e["radlo"] * pixscale, e["axrat"], e["ang"], 0.0]
-        if w.sum() > 0 and e["radhi"] > 0 and e["axrat"] > 0 and np.isfinite(e["ang"]):
-
-            def cost(p: np.ndarray) -> float:
-                t = np.radians(p[1])
-                u, v = np.abs(dx * np.cos(t) + dy * np.sin(t)) / 10 ** p[2], np.abs(-dx * np.sin(t) + dy * np.cos(t))
-                r = (u ** (2 + p[3]) + v ** (2 + p[3])) ** (1 / (2 + p[3])) / p[0]
-                return float((w * (r - 1) ** 2).sum() / w.sum())
-
-            start = np.array([e["radhi"], e["ang"], max(np.log10(e["axrat"]), -1.9), 0.0])
-            best = simplex(cost, start, np.array([e["radhi"] / 5, 10, -0.1, 0.2]), lower, upper)
-            if (best > lower).all() and (best < upper).all():
-                out[3:] = [best[0] * pixscale, best[0] * 10 ** best[2] * pixscale, 10 ** best[2], best[1], best[3]]
-        return pd.DataFrame([out], columns=["segID", "xcen", "ycen", "radhi", "radlo", "axrat", "ang", "box"])
-
-    return both.groupBy("segID").applyInPandas(run, "segID long, xcen double, ycen double, radhi double, radlo double, axrat double, ang double, box double")
+        pdf = pdf.sort_values(["segID", "x", "y"])
+        size = pdf.groupby("segID")["segID"].transform("size")
+        return pd.concat([fit(part, int(m)) for m, part in pdf.groupby(size.to_numpy())])
+
+    schema = "segID long, xcen double, ycen double, radhi double, radlo double, axrat double, ang double, box double"
+    return both.withColumn("__batch", F.floor(F.col("segID") / batch)).groupBy("__batch").applyInPandas(run, schema)
 
 
 def isophotes(pixels: DataFrame, levels: list[float], magzero: float = 0.0, pixscale: float = 1.0) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelspark.operators import apertures as A
 from pixelspark.operators import catalogues as C
 from pixelspark.operators import maps as M
 from pixelspark.operators import segments as G
@@ -94,3 +95,12 @@ def test_a_bin_holds_many_components(spark, monkeypatch):
     one = order(W.watershed(px, 5.0, 2, 1, 2.0))
     monkeypatch.setattr(W, "BIN", 5)
     assert one == order(W.watershed(px, 5.0, 2, 1, 2.0)) and len(one) > 100
+
+
+def test_many_minima_are_sought_side_by_side():
+    goal = np.random.default_rng(2).uniform(-1.5, 1.5, (50, 2))
+    cost = lambda rows, p: ((p - goal[rows]) ** 2).sum(axis=1) + (p[:, 0] - goal[rows, 0]) ** 4
+    full = np.ones((50, 2))
+    both = A.simplex(cost, 0 * full, 0.3 * full, -full, full)
+    alone = [A.simplex(lambda _, p, i=i: cost(np.full(len(p), i), p), 0 * full[:1], 0.3 * full[:1], -full[:1], full[:1])[0] for i in range(50)]
+    assert np.array_equal(both, alone) and np.median(np.abs(both - goal.clip(-1, 1))) < 1e-3
