@@ -114,10 +114,18 @@ def with_defaults(apertures: DataFrame) -> DataFrame:
     return apertures.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in apertures.columns})
 
 
+def _shape(pixels: DataFrame, apertures: DataFrame, shape: str, *more: str) -> list[str]:
+    """The columns on which an aperture's pixels and their cover depend."""
+    return [*[k for k in keys_of(pixels) if k in apertures.columns], "cx", "cy", "rad", *(() if shape == "circle" else ("ang", "axrat")), *more]
+
+
 def weight_map(pixels: DataFrame, apertures: DataFrame, depth: int = 4, shape: str = "circle", scalar: bool = True) -> DataFrame:
     """APR-2, APR-4: sum over apertures of weight times cover times profile, at each covered pixel."""
-    keys = [*keys_of(pixels), "x", "y"]
-    return covered(pixels.select(*keys), with_defaults(apertures), depth, shape).groupBy(*keys).agg(F.sum(_weight(shape, scalar) * F.col("cover") * _profile(shape)).alias("weight"))
+    keys, ap = [*keys_of(pixels), "x", "y"], with_defaults(apertures)
+    same = _shape(pixels, ap, shape, "rad_re", "nser")
+    # equal shapes count once, with their weights added up
+    ap = ap.groupBy(*same).agg(F.sum("wt").alias("wt"))
+    return covered(pixels.select(*keys), ap, depth, shape).groupBy(*keys).agg(F.sum(_weight(shape, scalar) * F.col("cover") * _profile(shape)).alias("weight"))
 
 
 def aperture_flux(pixels: DataFrame, apertures: DataFrame, depth: int = 4, shape: str = "circle", deblend: bool = False, scalar: bool = True, iterations: int = 1) -> DataFrame:
@@ -132,15 +140,20 @@ def aperture_flux(pixels: DataFrame, apertures: DataFrame, depth: int = 4, shape
         if i:
             ap = ap.drop("wt").join(out.select("k", F.col("flux").alias("wt")), "k")
             scalar = False
-        both = covered(pixels.where("flux is not null"), ap, depth, shape)
-        if deblend:
+        good = pixels.where("flux is not null").select(*keys, "x", "y", "flux")
+        if not deblend:
+            # equal shapes are measured once
+            same = _shape(pixels, ap, shape)
+            found = covered(good, ap.select(*same).distinct(), depth, shape).groupBy(*same).agg(F.sum(F.col("flux") * F.col("cover")).alias("flux"))
+            found = found.withColumnsRenamed({c: f"__{c}" for c in same})
+            got = ap.join(found, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]).groupBy("k").agg(F.sum("flux").alias("flux"))
+        else:
+            both = covered(good, ap, depth, shape)
             mine = _weight(shape, scalar) * F.col("cover") * _profile(shape)
             both = both.withColumn("mine", mine)
             both = both.withColumn("all", F.sum("mine").over(Window.partitionBy(*keys, "x", "y")))
             value = F.col("flux") * F.col("cover") * F.coalesce(F.try_divide("mine", "all"), F.lit(0.0))
-        else:
-            value = F.col("flux") * F.col("cover")
-        got = both.groupBy("k").agg(F.sum(value).alias("flux"))
+            got = both.groupBy("k").agg(F.sum(value).alias("flux"))
         out = apertures.select("k").join(got, "k", "left").select("k", F.coalesce("flux", F.lit(0.0)).alias("flux"))
     return out
 

@@ -104,3 +104,19 @@ def test_many_minima_are_sought_side_by_side():
     both = A.simplex(cost, 0 * full, 0.3 * full, -full, full)
     alone = [A.simplex(lambda _, p, i=i: cost(np.full(len(p), i), p), 0 * full[:1], 0.3 * full[:1], -full[:1], full[:1])[0] for i in range(50)]
     assert np.array_equal(both, alone) and np.median(np.abs(both - goal.clip(-1, 1))) < 1e-3
+
+
+def test_equal_apertures_are_measured_once(spark):
+    px = image(spark, np.random.default_rng(6).random((20, 20)))
+    shapes = [(7.0, 8.5, 3.0, 20.0, 0.5), (12.5, 6.0, 2.0, 0.0, 0.8), (7.0, 8.5, 3.0, 20.0, 0.6), (30.0, 3.0, 2.0, 0.0, 1.0)]
+    columns = "k int, cx double, cy double, rad double, ang double, axrat double"
+    one = spark.createDataFrame([(i, *s) for i, s in enumerate(shapes)], columns)
+    many = spark.createDataFrame([(i, *shapes[i % 4]) for i in range(400)], columns)
+    for shape in ("circle", "ellipse"):
+        want = {r["k"]: r["flux"] for r in A.aperture_flux(px, one, 2, shape).collect()}
+        got, most = most_rows(A.aperture_flux(px, many, 2, shape))
+        assert {r["k"]: r["flux"] for r in got} == pytest.approx({i: want[i % 4] for i in range(400)}) and want[0] > 0 and most <= 4000
+        weigh = lambda ap, shape=shape: most_rows(A.weight_map(px, ap.withColumns({"wt": 1.0 + F.col("k") % 4, "rad_re": F.lit(2.0), "nser": F.lit(2.0)}), 2, shape, scalar=False))
+        (base, _), (rows, most) = weigh(one), weigh(many)
+        base, rows = ({(r["x"], r["y"]): r["weight"] for r in t} for t in (base, rows))
+        assert rows.keys() == base.keys() and all(abs(rows[p] - 100 * base[p]) < 1e-9 for p in rows) and most <= 4000
