@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.operators import apertures as A
 from pixelspark.operators import catalogues as C
+from pixelspark.operators import kernels as B
 from pixelspark.operators import maps as M
 from pixelspark.operators import segments as G
 from pixelspark.operators import sky as K
@@ -120,3 +121,13 @@ def test_equal_apertures_are_measured_once(spark):
         (base, _), (rows, most) = weigh(one), weigh(many)
         base, rows = ({(r["x"], r["y"]): r["weight"] for r in t} for t in (base, rows))
         assert rows.keys() == base.keys() and all(abs(rows[p] - 100 * base[p]) < 1e-9 for p in rows) and most <= 4000
+
+
+def test_edges_are_dilated_in_parts(spark, monkeypatch):
+    a = np.random.default_rng(9).random((30, 40))
+    seg = image(spark, a).where("flux > 0.6").select("x", "y", F.expr("1 + x div 7 + 9 * (y div 7)").cast("int").alias("segID"))
+    monkeypatch.setattr(G, "PART", 50)
+    order = lambda df: sorted(map(tuple, df.select("x", "y", "segID").collect()))
+    out = G.dilate_edges(seg, B.brush(5, "disc"), 30, 40)
+    assert order(out) == order(G.dilate(seg, B.brush(5, "disc"), 30, 40))
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
